@@ -14,6 +14,7 @@ from lodestrata.llm.exact_dedup import drop_exact_copies
 from lodestrata.llm.packing import pack_documents
 from lodestrata.llm.quality_rules import keep_quality
 from lodestrata.llm.simhash import keep_one_of_each
+from lodestrata.llm.suffix_dedup import without_repeated_bytes
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +32,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes or more that an earlier document has go."""
+    return without_repeated_bytes(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4,096 tokens."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact_copies), ("SimHash near-dedup", near_copies), ("packing", packed)]
+STAGES = [("quality rules", quality), ("exact dedup", exact_copies), ("SimHash near-dedup", near_copies), ("suffix-array dedup", repeated_passages), ("packing", packed)]
 
-#: Expectation-maximisation, fingerprints and packing have no SQL; tests hold the stages against brute force.
+#: Expectation-maximisation, fingerprints, byte strings and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -10,7 +10,9 @@ from .bpe import bpe_digests
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .recompression import remove_repeated_words
 from .simhash import simhash_components
+from .suffix_dedup import remove_repeated_bytes
 from .token_counts import token_counts
 from .warc import archive_pages
 
@@ -27,10 +29,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,7 +63,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_rules, op4_warc, op6_bpe, op7_exact_dedup, op8_packing, op9_simhash, op10_chat_format)
+    for f in (
+        op1_token_counts, op2_quality_rules, op3_suffix_dedup, op4_warc, op5_substring_dedup,
+        op6_bpe, op7_exact_dedup, op8_packing, op9_simhash, op10_chat_format,
+    )
 }
 
 ORACLE_SQL = {
