@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_pair import WordStore, encoder
+from .byte_pair import Store, encoder, split_words, word_store
 from .common import as_bytes
 
 
@@ -19,7 +20,7 @@ def _digest_batches(path: str):
         for batch in batches:
             counts, ids, decoded = [], [], []
             for text in batch.column("text"):
-                made = [m for m in map(words.__getitem__, text.as_py().split()) if m[0]]
+                made = [m for m in map(words.__getitem__, split_words(text.as_py())) if m[0]]
                 counts.append(sum(m[0] for m in made))
                 ids.append(sha256(b" ".join([m[1] for m in made])).hexdigest())
                 decoded.append(sha256(b" ".join([m[2] for m in made])).hexdigest())
@@ -28,9 +29,10 @@ def _digest_batches(path: str):
     return run
 
 
-def _text_store(path: str) -> WordStore:
+@functools.cache
+def _text_store(path: str) -> Store:
     tokenizer = encoder(path)
-    return WordStore(tokenizer, lambda ids: (len(ids), " ".join(map(str, ids)).encode(), tokenizer.decode(ids).encode()))
+    return word_store(tokenizer, lambda ids: (len(ids), " ".join(map(str, ids)).encode(), tokenizer.decode(ids).encode()))
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,8 +51,8 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
 
     @F.pandas_udf("array<int>")
     def ids_of(texts):
-        words = WordStore(encoder(path), tuple)
-        return texts.map(lambda t: [i for w in (t or "").encode().split() for i in words[w]])
+        words = word_store(encoder(path), tuple)
+        return texts.map(lambda t: [i for w in split_words((t or "").encode()) for i in words[w]])
 
     return docs.withColumn(ids_col, ids_of(F.col(text_col)))
 

@@ -7,10 +7,11 @@ import heapq
 import json
 import struct
 import unicodedata
+from collections.abc import Callable
 
 import regex
 
-#: Words whose ids a worker keeps; beyond that the store is emptied, so its size is bounded.
+#: Entries of a generation of a store; there are at most two.
 CACHE_WORDS = 400_000
 CACHED_WORD_BYTES = 64
 
@@ -39,45 +40,57 @@ class BytePairEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")")
         self.strings = {i: s for s, i in [*self.vocabulary.items(), *self.special.items()]}
-        self.letters = byte_letters()
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        self.plain = [self.vocabulary[c] for c in byte_letters()]
+        self.final = [self.vocabulary[c + self.word_end] for c in byte_letters()]
+        # A pair of ids as one number; its rank (from 1) and what it makes as another, which sorts by rank.
+        self.merges: dict[int, int] = {}
+        for rank, pair in enumerate(model["merges"], 1):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.vocabulary[a], self.vocabulary[b]] = (rank, self.vocabulary[a + b])
-
-    def merge(self, piece: str) -> list[int]:
-        """Ids of one non-empty piece, given in byte letters."""
-        ids = [self.vocabulary[c] for c in piece[:-1]] + [self.vocabulary[piece[-1] + self.word_end]]
-        n, merges = len(ids), self.merges
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(found[0], i, found[1]) for i in range(n - 1) if (found := merges.get((ids[i], ids[i + 1])))]
+            self.merges[self.vocabulary[a] << 20 | self.vocabulary[b]] = rank << 20 | self.vocabulary[a + b]
+        # Different words share pieces: those before a comma, at a sentence's start and so on.
+        self.pieces = Store(lambda piece: tuple(self.merge(piece.encode())))
+
+    def merge(self, piece: bytes) -> list[int]:
+        """Ids of one non-empty piece, given in UTF-8."""
+        plain, merges = self.plain, self.merges
+        ids = [plain[b] for b in piece]
+        n = len(ids)
+        ids[-1] = self.final[piece[-1]]
+        get, shift = merges.get, n.bit_length()
+        # An entry is a number: the merge's rank, what it makes, and the place of its left symbol.
+        queue = [found << shift | i for i in range(n - 1) if (found := get(ids[i] << 20 | ids[i + 1]))]
+        if not queue:
+            return ids
         heapq.heapify(queue)
+        push, pop, place = heapq.heappush, heapq.heappop, (1 << shift) - 1
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            rank, i, made = heapq.heappop(queue)
-            j = after[i]
+            entry = pop(queue)
+            i = entry & place
+            left, j = ids[i], after[i]
             # Stale: a side was merged away, or the pair is another one by now.
-            if ids[i] < 0 or j >= n or merges.get((ids[i], ids[j])) != (rank, made):
+            if left < 0 or j >= n or get(left << 20 | ids[j]) != entry >> shift:
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i] = made = entry >> shift & 0xFFFFF
+            ids[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((made, ids[k])):
-                    heapq.heappush(queue, (found[0], i, found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((ids[h], made))):
-                heapq.heappush(queue, (found[0], h, found[1]))
+                if found := get(made << 20 | ids[k]):
+                    push(queue, found << shift | i)
+            if (h := before[i]) >= 0 and (found := get(ids[h] << 20 | made)):
+                push(queue, found << shift | h)
         return [x for x in ids if x >= 0]
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of text without ASCII white space, special tokens in it included."""
         out: list[int] = []
-        for part in self.special_pattern.split(word) if "<|" in word else [word]:
+        for part in self.special_pattern.split(word) if "<|" in word else (word,):
             if part in self.special:
                 out.append(self.special[part])
-                continue
-            lowered = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-            for piece in self.pattern.findall(lowered):
-                out += self.merge("".join(self.letters[b] for b in piece.encode()))
+            else:
+                for piece in self.pattern.findall(folded(part)):
+                    out += self.pieces[piece]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -85,22 +98,43 @@ class BytePairEncoder:
         return " ".join(self.strings[i] for i in ids)
 
 
-class WordStore(dict):
-    """Maps UTF-8 words to what make gives for their ids; emptied when full; long words are not kept."""
+def folded(text: str) -> str:
+    """NFC, then each character's own lower case: a final sigma doesn't depend on what is before it."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
-    def __init__(self, encoder: BytePairEncoder, make) -> None:
-        super().__init__()
-        self.encoder, self.make = encoder, make
 
-    def __missing__(self, word: bytes):
-        made = self.make(self.encoder.encode_word(word.decode("utf-8", "replace")))
-        if len(word) <= CACHED_WORD_BYTES:
-            if len(self) >= CACHE_WORDS:
+class Store(dict):
+    """Maps keys to what make gives for them, in bounded memory: when full, it starts again and takes over what is asked for from its last generation. Long keys are not kept."""
+
+    def __init__(self, make: Callable, size: int = CACHE_WORDS) -> None:
+        super().__init__()
+        self.make, self.last, self.size = make, {}, size
+
+    def __missing__(self, key):
+        made = self.last.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(key) <= CACHED_WORD_BYTES:
+            if len(self) >= self.size:
+                self.last = dict(self)
                 self.clear()
-            self[word] = made
+            self[key] = made
         return made
 
 
+def word_store(encoder: BytePairEncoder, make: Callable, size: int = CACHE_WORDS) -> Store:
+    """UTF-8 words to what make gives for their ids."""
+    return Store(lambda word: make(encoder.encode_word(word.decode("utf-8", "replace"))), size)
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """The words of UTF-8 text between ASCII white space; in lower case as far as ASCII goes, as encoding does that anyway, unless a special token may be there."""
+    return text.split() if b"<|" in text else text.lower().split()
+
+
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return struct.pack(f"<{len(ids)}I", *ids)

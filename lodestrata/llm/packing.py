@@ -17,6 +17,7 @@ of two, which need no padding.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -27,18 +28,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_pair import WordStore, encoder, packed
+from .byte_pair import Store, encoder, packed, split_words, word_store
 from .common import as_bytes
 
 LENGTH, END_ID = 4096, 2
 SENTENCE_PENALTY, INNER_PENALTY = 4, 12
-#: Inner cuts are offered every so many tokens of a stretch without sentence ends.
-INNER_STEP = 16
-HORIZON_WINDOWS, REPLANNED_WINDOWS = 64, 8
+#: Cuts inside a sentence are offered every so many tokens.
+INNER_STEP = 64
+HORIZON_WINDOWS, REPLANNED_WINDOWS = 128, 4
+#: Words in a generation of a worker's store; their ids are small.
+KEPT_WORDS = 700_000
 
 
-def choose_cuts(positions: np.ndarray, penalties: np.ndarray, length: int, free_end: bool) -> list[int]:
-    """Cut positions, the last included, of least cost; positions ascend, are at most `length` apart, and start after an implied 0. free_end: the last window isn't padded."""
+def choose_cuts(positions: np.ndarray, penalties: np.ndarray, length: int) -> list[int]:
+    """Cut positions, the last included, of least cost; positions ascend, are at most `length` apart, and start after an implied 0.
+
+    The last window isn't padded: more will follow, or it is cut into powers of two. (Were it padded, all others could have its padding for nothing.)
+    """
     pos, pen = [0, *positions.tolist()], [0, *penalties.tolist()]
     n = len(pos)
     cost, back = [0] * n, [0] * n
@@ -52,8 +58,7 @@ def choose_cuts(positions: np.ndarray, penalties: np.ndarray, length: int, free_
         value = cost[i] + pos[i] + length + pen[j]
         cost[j] = value - at
         if j == n - 1:
-            if free_end:
-                back[j] = min(queue, key=lambda i: (cost[i], -i))
+            back[j] = min(queue, key=lambda i: (cost[i], -i))
             break
         while queue and cost[queue[-1]] + pos[queue[-1]] >= value:
             queue.pop()
@@ -65,19 +70,20 @@ def choose_cuts(positions: np.ndarray, penalties: np.ndarray, length: int, free_
     return cuts[::-1]
 
 
-def cut_options(ids: np.ndarray, doc_ends: np.ndarray, sentence_ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, penalties) of allowed cuts of a stream; its end is one."""
-    sentence = np.flatnonzero(np.isin(ids, sentence_ids)) + 1
+#: Kinds of places in a stream, the better ones later, and the penalties of a cut there.
+NO_CUT, INNER, SENTENCE_END, DOC_END = range(4)
+PENALTIES = np.array([0, INNER_PENALTY, SENTENCE_PENALTY, 0])
+
+
+def cut_options(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, penalties) of allowed cuts of a stream; its end is one. ends_sentence is a table over ids."""
+    kind = np.zeros(len(ids) + 1, np.uint8)
     step = min(INNER_STEP, length)
-    firm = np.union1d(np.union1d(doc_ends, sentence), [len(ids)])
-    gaps = np.diff(firm, prepend=0)
-    wide = np.flatnonzero(gaps > step)
-    inner = [np.arange(firm[k] - gaps[k] + step, firm[k], step) for k in wide]
-    positions = np.union1d(firm, np.concatenate(inner)) if inner else firm
-    penalties = np.full(len(positions), INNER_PENALTY)
-    penalties[np.isin(positions, sentence)] = SENTENCE_PENALTY
-    penalties[np.isin(positions, doc_ends)] = 0
-    return positions, penalties
+    kind[step::step] = INNER
+    kind[1:][ends_sentence[ids]] = SENTENCE_END
+    kind[doc_ends] = DOC_END
+    positions = np.flatnonzero(kind)
+    return positions, PENALTIES[kind[positions]]
 
 
 def powers_of_two(n: int) -> list[int]:
@@ -88,8 +94,8 @@ def powers_of_two(n: int) -> list[int]:
 class Packer:
     """Takes documents in order and gives pieces: (doc_id, start, length, crc32, doc_tokens, sequence, offset)."""
 
-    def __init__(self, length: int, sentence_ids: np.ndarray, first_sequence: int) -> None:
-        self.length, self.sentence_ids, self.sequence = length, sentence_ids, first_sequence
+    def __init__(self, length: int, ends_sentence: np.ndarray, first_sequence: int) -> None:
+        self.length, self.ends_sentence, self.sequence = length, ends_sentence, first_sequence
         self.waiting: deque[tuple[object, np.ndarray, int]] = deque()  # (doc_id, ids, tokens of it already placed)
         self.tokens = 0
 
@@ -107,8 +113,8 @@ class Packer:
         parts = [ids[placed:] for _, ids, placed in self.waiting]
         stream = np.concatenate(parts)
         ends = np.cumsum([len(p) for p in parts])
-        positions, penalties = cut_options(stream, ends, self.sentence_ids, self.length)
-        cuts = choose_cuts(positions, penalties, self.length, last)
+        positions, penalties = cut_options(stream, ends, self.ends_sentence, self.length)
+        cuts = choose_cuts(positions, penalties, self.length)
         if not last:
             cuts = [c for c in cuts if c <= len(stream) - REPLANNED_WINDOWS * self.length]
         lengths = np.diff([0, *cuts]).tolist()
@@ -129,13 +135,20 @@ class Packer:
             self.tokens -= n
 
 
+@functools.cache
+def _packed_words(path: str) -> Store:
+    """One for each worker process, so that tasks share what is known."""
+    return word_store(encoder(path), packed, KEPT_WORDS)
+
+
 def _pack_batches(path: str, length: int, end_id: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path)
-        words = WordStore(tokenizer, packed)
+        words = _packed_words(path)
         end = packed([end_id])
-        stops = [tokenizer.vocabulary[s] for c in ".!?" if (s := c + tokenizer.word_end) in tokenizer.vocabulary]
-        packer = Packer(length, np.array(stops, np.uint32), TaskContext.get().partitionId() << 32)
+        ends_sentence = np.zeros(max(*tokenizer.strings, end_id) + 1, bool)
+        ends_sentence[[tokenizer.vocabulary[s] for c in ".!?" if (s := c + tokenizer.word_end) in tokenizer.vocabulary]] = True
+        packer = Packer(length, ends_sentence, TaskContext.get().partitionId() << 32)
 
         def made(pieces: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(column), f.type) for column, f in zip(zip(*pieces, strict=True), schema, strict=True)], schema=schema)
@@ -143,7 +156,7 @@ def _pack_batches(path: str, length: int, end_id: int, schema: pa.Schema):
         for batch in batches:
             pieces = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.frombuffer(b"".join(map(words.__getitem__, text.as_py().split())) + end, "<u4")
+                ids = np.frombuffer(b"".join(map(words.__getitem__, split_words(text.as_py()))) + end, "<u4")
                 pieces += packer.add(doc_id, ids)
             if pieces:
                 yield made(pieces)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_pair import CACHE_WORDS, CACHED_WORD_BYTES, byte_letters
+from .byte_pair import Store, byte_letters
 from .common import as_bytes
 
 MISSING = -1
@@ -87,23 +87,15 @@ def matcher(path: str) -> LongestMatch:
     return LongestMatch([bytes(byte_of[c] for c in entry) for entry in spec["model"]["vocab"] if entry not in special])
 
 
-class CountStore(dict):
-    def __init__(self, automaton: LongestMatch) -> None:
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, word: bytes) -> int:
-        n = self.automaton.count(b" " + word)
-        if len(word) <= CACHED_WORD_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = n
-        return n
+@functools.cache
+def _counts(path: str) -> Store:
+    automaton = matcher(path)
+    return Store(lambda word: automaton.count(b" " + word))
 
 
 def _count_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = CountStore(matcher(path))
+        counts = _counts(path)
         for batch in batches:
             words = [t.as_py().split() for t in batch.column("text")]
             totals = [sum(map(counts.__getitem__, w)) for w in words]
