@@ -92,9 +92,12 @@ def language_reasons(path: Column, text: Column, scanned: Column, max_bytes: int
     )
 
 
-def analyse_languages(classified: DataFrame) -> DataFrame:
-    """classified with the language of other sources in parsed_language and its findings appended."""
-    own = F.array_compact(F.array(*language_findings(F.col("path"), F.col("text"))))
-    return classified.withColumn("found", F.concat("found", F.when(F.col("content_scanned"), own).otherwise(F.expr("slice(found, 1, 0)")))).withColumn(
-        "parsed_language", F.coalesce("parsed_language", F.when(F.col("content_scanned"), language(F.col("path"))))
+def analyse_languages(classified: DataFrame, max_bytes: int = DEFAULT.language_bytes) -> DataFrame:
+    """classified with the language of other sources, its findings in language_found, and why a source wasn't analysed in language_reason."""
+    path, text, scanned = F.col("path"), F.col("text"), F.col("content_scanned")
+    own = F.array_compact(F.array(*language_findings(path, text, max_bytes)))
+    return (
+        classified.withColumn("language_found", F.when(scanned, own).otherwise(F.expr("slice(found, 1, 0)")))
+        .withColumn("language", F.when(scanned, language(path)))
+        .withColumn("language_reason", language_reasons(path, text, scanned, max_bytes))
     )
