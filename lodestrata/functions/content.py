@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType
 
 
 def byte_view(text: Column) -> Column:
@@ -18,8 +20,8 @@ def byte_view(text: Column) -> Column:
 def byte_entropy(content: pd.Series) -> pd.Series:
     """Shannon entropy in bits per byte; 0 for empty, null for null."""
 
-    def entropy(value: bytes | None) -> float | None:
-        if value is None:
+    def entropy(value: object) -> float | None:
+        if not isinstance(value, bytes | bytearray):  # a null, however pandas shows it
             return None
         if not value:
             return 0.0
@@ -38,6 +40,12 @@ def entropy_sql(content: str) -> str:
     return f"case when {content} is null then null when octet_length({content}) = 0 then 0.0D else aggregate(transform({runs}, r -> -{share} * log2({share})), 0.0D, (a, x) -> a + x) end"
 
 
+@F.pandas_udf(BinaryType())
+def gzip_bytes(content: pd.Series) -> pd.Series:
+    """Contents as one gzip member each; null for null."""
+    return content.map(lambda v: gzip.compress(v, mtime=0) if isinstance(v, bytes | bytearray) else None)
+
+
 def line_lengths(content: Column) -> Column:
     return F.transform(F.split(F.decode(content, "ISO-8859-1"), "\n"), F.length)
 

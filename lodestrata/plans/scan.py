@@ -14,7 +14,7 @@ from ..limits import PROFILES, ScanLimits
 from ..operators import graph as G
 from ..operators.configs import analyse_configs, execution_roots
 from ..operators.files import classify
-from ..operators.findings import FINDING_FIELDS, cap_per_repo, finding, in_report_order, risk
+from ..operators.findings import FINDING_FIELDS, cap_per_repo, finding, in_report_order, risk, severity_rank
 from ..operators.languages import analyse_languages
 from ..schemas import FILES
 from ..sources.walk import walk_repositories
@@ -32,6 +32,7 @@ class ScanResult:
     unresolved: DataFrame
     coverage: DataFrame
     summary: DataFrame
+    counts: DataFrame
 
     def report_rows(self) -> DataFrame:
         """One row per repository with everything nested, in report order."""
@@ -156,7 +157,7 @@ def scan_rows(raw: DataFrame, limits: ScanLimits) -> ScanResult:
     ]
     ordered = G.numbered(G.union_in_order(parts), ["part", "a", "b", "c"]).select("repo_id", "emit_seq", "found.*")
     findings, over = cap_per_repo(durable(ordered, "findings"), limits.max_findings)
-    findings = findings.withColumn("severity_rank", F.expr("array_position(array('informational', 'low', 'medium', 'high', 'critical'), severity) - 1").cast("int"))
+    findings = with_rank(findings)
 
     edge_limit = limits.graph_edges
     lost = edges.groupBy("repo_id").count().unionByName(unresolved.groupBy("repo_id").count()).groupBy("repo_id").agg(F.sum("count").alias("n")).filter(F.col("n") >= edge_limit)
@@ -176,11 +177,12 @@ def scan_rows(raw: DataFrame, limits: ScanLimits) -> ScanResult:
     coverage = reduce(DataFrame.unionByName, reasons).distinct()
     languages = sources.select("repo_id", "seq", F.col("language").alias("js_language"))
     records = files.join(languages, ["repo_id", "seq"], "left").withColumn("parsed_language", F.coalesce("js_language", "language")).select(*FILES.fieldNames())
-    return ScanResult(records, findings, unresolved, coverage, _summary(raw, findings, coverage))
+    counts = raw.filter("kind = '#counts'").select("repo_id", "note", "size")
+    return ScanResult(records, findings, unresolved, coverage, _summary(counts, findings, coverage), counts)
 
 
-def _summary(raw: DataFrame, findings: DataFrame, coverage: DataFrame) -> DataFrame:
-    totals = raw.filter("kind = '#counts'").groupBy("repo_id").pivot("note", ["entries", "files", "directories", "symlinks", "special_files", "content_bytes"]).agg(F.first("size"))
+def _summary(counts: DataFrame, findings: DataFrame, coverage: DataFrame) -> DataFrame:
+    totals = counts.groupBy("repo_id").pivot("note", ["entries", "files", "directories", "symlinks", "special_files", "content_bytes"]).agg(F.first("size"))
     struct = F.struct(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("entries", "files", "directories", "symlinks", "special_files", "content_bytes")], F.coalesce("n", F.lit(0)).cast("long").alias("findings"))
     joined = totals.join(findings.groupBy("repo_id").agg(F.count("*").alias("n")), "repo_id", "left").join(risk(findings), "repo_id", "left").join(coverage.groupBy("repo_id").agg(F.count("*").alias("reasons")), "repo_id", "left")
     return joined.select(
@@ -189,5 +191,20 @@ def _summary(raw: DataFrame, findings: DataFrame, coverage: DataFrame) -> DataFr
     )
 
 
+def with_history(result: ScanResult, found: DataFrame, reasons: DataFrame, limits: ScanLimits) -> ScanResult:
+    """result with the findings of commits behind its own, within the same limit, and its summary made anew."""
+    own = result.findings.drop("severity_rank").withColumn("part", F.lit(0))
+    ordered = G.numbered(own.unionByName(found.withColumn("part", F.lit(1))).withColumnRenamed("emit_seq", "before"), ["part", "before"]).drop("part", "before")
+    findings, over = cap_per_repo(durable(ordered, "findings"), limits.max_findings)
+    findings = with_rank(findings)
+    coverage = result.coverage.unionByName(reasons).unionByName(over.select("repo_id", F.lit(FINDING_LIMIT).alias("reason"))).distinct()
+    counts = result.counts
+    return ScanResult(result.files, findings, result.unresolved, coverage, _summary(counts, findings, coverage), counts)
+
+
+def with_rank(findings: DataFrame) -> DataFrame:
+    return findings.withColumn("severity_rank", severity_rank(F.col("severity")))
+
+
 def report_findings(result: ScanResult) -> DataFrame:
     return in_report_order(result.findings)
