@@ -92,12 +92,16 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+#: The digit of a pattern that is set where the base rules fail.
+FAILED = 3 ** len(RULES)
+
+
 def with_votes(stats: DataFrame) -> DataFrame:
-    """stats with base_failed and pattern, the rules' votes as one integer to base 3."""
+    """stats with base_failed and pattern: the rules' votes as one integer to base 3, plus FAILED where the base rules fail. The pattern is never null."""
     votes = [F.expr(f"case when {bad} then 0 when {good} then 2 else 1 end") for bad, good in RULES.values()]
-    pattern = sum((v * 3**i for i, v in enumerate(votes)), F.lit(0)).cast("int")
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    return stats.withColumn("pattern", pattern).withColumn("base_failed", failed)
+    pattern = sum((v * 3**i for i, v in enumerate(votes)), F.when(failed, FAILED).otherwise(0)).cast("int")
+    return stats.withColumn("base_failed", failed).withColumn("pattern", pattern)
 
 
 def votes_of(pattern: int) -> list[int]:
@@ -128,16 +132,11 @@ def posterior(pattern: int, share: float, accuracy: list[float]) -> float:
 
 
 def quality_model(voted: DataFrame) -> DataFrame:
-    """(pattern, probability), at most 3 ** len(RULES) rows, fitted on the vote patterns of all rows of voted."""
+    """(pattern, probability, kept), at most 2 * 3 ** len(RULES) rows, fitted on the vote patterns of all rows of voted."""
     counts = {r["pattern"]: r["count"] for r in voted.groupBy("pattern").count().collect()}
     share, accuracy = fit_accuracies(counts)
-    rows = [(p, posterior(p, share, accuracy)) for p in sorted(counts)]
-    return voted.sparkSession.createDataFrame(rows, "pattern int, probability double")
-
-
-def _judged(voted: DataFrame, model: DataFrame) -> DataFrame:
-    # A table of 3 ** 8 rows of 12 bytes at most.
-    return voted.join(F.broadcast(model), "pattern", "left").withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= 0.5))
+    rows = [(p, q := posterior(p, share, accuracy), p < FAILED and q >= 0.5) for p in sorted(counts)]
+    return voted.sparkSession.createDataFrame(rows, "pattern int, probability double, kept boolean")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,11 +149,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     voted = durable(with_votes(text_statistics(named)).drop("text"), "quality-votes")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"]
-    return _judged(voted, quality_model(voted)).select(*columns)
+    return voted.join(F.broadcast(quality_model(voted)), "pattern").select(*columns)  # a table of 2 * 3 ** 8 rows at most
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that quality_rules keeps, all columns kept. The statistics are taken twice, so that no text is shuffled."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     voted = with_votes(text_statistics(docs.select(row, F.col(text_col).alias("text"))))
-    return _judged(voted, quality_model(voted.select("pattern"))).filter("kept").select("row.*")
+    # The verdict is a join on a column that can't be null: a filter on it would be pushed down, with all statistics written out in it again and again.
+    return voted.join(F.broadcast(quality_model(voted.select("pattern")).filter("kept")), "pattern", "left_semi").select("row.*")
