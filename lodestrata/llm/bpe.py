@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_pair import Store, encoder, split_words, word_store
+from .byte_pair import Store, encoder, split_words, unpacked, word_store
 from .common import as_bytes
 
 
@@ -32,7 +32,12 @@ def _digest_batches(path: str):
 @functools.cache
 def _text_store(path: str) -> Store:
     tokenizer = encoder(path)
-    return word_store(tokenizer, lambda ids: (len(ids), " ".join(map(str, ids)).encode(), tokenizer.decode(ids).encode()))
+
+    def texts(ids: bytes) -> tuple[int, bytes, bytes]:
+        numbers = unpacked(ids)
+        return len(numbers), " ".join(map(str, numbers)).encode(), tokenizer.decode(numbers).encode()
+
+    return word_store(tokenizer, texts)
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,7 +56,7 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
 
     @F.pandas_udf("array<int>")
     def ids_of(texts):
-        words = word_store(encoder(path), tuple)
+        words = word_store(encoder(path), unpacked)
         return texts.map(lambda t: [i for w in split_words((t or "").encode()) for i in words[w]])
 
     return docs.withColumn(ids_col, ids_of(F.col(text_col)))

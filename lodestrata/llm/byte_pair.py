@@ -12,7 +12,7 @@ from collections.abc import Callable
 import regex
 
 #: Entries of a generation of a store; there are at most two.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 CACHED_WORD_BYTES = 64
 
 
@@ -48,7 +48,7 @@ class BytePairEncoder:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.vocabulary[a] << 20 | self.vocabulary[b]] = rank << 20 | self.vocabulary[a + b]
         # Different words share pieces: those before a comma, at a sentence's start and so on.
-        self.pieces = Store(lambda piece: tuple(self.merge(piece.encode())))
+        self.pieces = Store(lambda piece: packed(self.merge(piece.encode())))
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one non-empty piece, given in UTF-8."""
@@ -82,16 +82,18 @@ class BytePairEncoder:
                 push(queue, found << shift | h)
         return [x for x in ids if x >= 0]
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of text without ASCII white space, special tokens in it included."""
-        out: list[int] = []
-        for part in self.special_pattern.split(word) if "<|" in word else (word,):
+    def encode_word(self, word: str) -> bytes:
+        """Ids, packed, of text without ASCII white space, special tokens in it included."""
+        pieces = self.pieces
+        if "<|" not in word:
+            return b"".join([pieces[p] for p in self.pattern.findall(folded(word))])
+        out = []
+        for part in self.special_pattern.split(word):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(packed([self.special[part]]))
             else:
-                for piece in self.pattern.findall(folded(part)):
-                    out += self.pieces[piece]
-        return out
+                out += [pieces[p] for p in self.pattern.findall(folded(part))]
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings of ids; such a file has no decoder, so they are joined by spaces."""
@@ -126,7 +128,7 @@ class Store(dict):
 
 
 def word_store(encoder: BytePairEncoder, make: Callable, size: int = CACHE_WORDS) -> Store:
-    """UTF-8 words to what make gives for their ids."""
+    """UTF-8 words to what make gives for their packed ids."""
     return Store(lambda word: make(encoder.encode_word(word.decode("utf-8", "replace"))), size)
 
 
@@ -140,6 +142,10 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def unpacked(ids: bytes) -> tuple[int, ...]:
+    return struct.unpack(f"<{len(ids) // 4}I", ids)
+
+
 @functools.cache
 def encoder(path: str) -> BytePairEncoder:
     """The encoder of a file; one for each worker process."""

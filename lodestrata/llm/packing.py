@@ -37,7 +37,7 @@ SENTENCE_PENALTY, INNER_PENALTY = 4, 12
 INNER_STEP = 64
 HORIZON_WINDOWS, REPLANNED_WINDOWS = 128, 4
 #: Words in a generation of a worker's store; their ids are small.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 500_000
 
 
 def choose_cuts(positions: np.ndarray, penalties: np.ndarray, length: int) -> list[int]:
@@ -138,7 +138,7 @@ class Packer:
 @functools.cache
 def _packed_words(path: str) -> Store:
     """One for each worker process, so that tasks share what is known."""
-    return word_store(encoder(path), packed, KEPT_WORDS)
+    return word_store(encoder(path), bytes, KEPT_WORDS)
 
 
 def _pack_batches(path: str, length: int, end_id: int, schema: pa.Schema):
