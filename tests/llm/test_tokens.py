@@ -1,0 +1,151 @@
+from __future__ import annotations
+
+import json
+import random
+import zlib
+from collections import Counter, defaultdict
+from hashlib import sha256
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from lodestrata.llm.bpe import bpe_decode, bpe_digests, bpe_encode
+from lodestrata.llm.byte_pair import Store, byte_letters, encoder, split_words, unpacked
+from lodestrata.llm.packing import Packer, choose_cuts, pack_documents, powers_of_two
+from lodestrata.llm.token_counts import LongestMatch, matcher, token_counts
+
+WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, start string, length string"
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(WORDS)
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
+def texts(n=400, seed=1):
+    rng = random.Random(seed)
+    alphabet = [*"abcXYZ 's'tİıßſΣσςÀÉ \t\n\x0b\x1c\x1f\x85\xa0…—123٣१", "é", "Å", "‍", "ﬁ", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|end", "'RE", "'S", "ll"]
+    made = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60))) for _ in range(n)]
+    return [None, "", " ", "Hello, World!", "x" * 5000, "word " * 3000, *made, made[0], made[0]]
+
+
+def test_ids_and_decoding_are_the_librarys(spark, library):
+    rows = [(i if i else None, t, "s", "l") for i, t in enumerate(texts())]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    expected = Counter()
+    for d, t, *_ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        expected[d, len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(decoded.encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in bpe_digests(docs, WORDS).collect()) == expected
+    back = bpe_decode(bpe_encode(docs, WORDS), WORDS)
+    assert back.columns == [*docs.columns, "token_ids", "decoded"]
+    for r in back.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert r.token_ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
+    assert bpe_digests(docs.limit(0), WORDS).count() == 0
+
+
+def test_store_is_bounded_and_right():
+    asked = []
+    store = Store(lambda k: asked.append(k) or len(k), size=3)
+    for key in [b"a", b"bb", b"a", b"ccc", b"dddd", b"a", b"eeeee", b"x" * 100, b"a", b"bb"]:
+        assert store[key] == len(key)
+        assert len(store) <= 3 and len(store.last) <= 3
+    assert asked.count(b"a") == 1
+    assert split_words(b"A <|x") == [b"A", b"<|x"] and split_words(b"A b") == [b"a", b"b"]
+
+
+def greedy(vocabulary, longest, word):
+    n = i = 0
+    while i < len(word):
+        i = next((j for j in range(min(len(word), i + longest), i, -1) if word[i:j] in vocabulary), i + 1)
+        n += 1
+    return n
+
+
+def test_token_counts_match_greedy_matching(spark):
+    of = {c: b for b, c in enumerate(byte_letters())}
+    vocabulary = {bytes(of[c] for c in k) for k in json.load(open(BYTES, encoding="utf-8"))["model"]["vocab"] if k != "<|endoftext|>"}
+    longest = max(map(len, vocabulary))
+    rows = [(i if i else None, t, "s", "l") for i, t in enumerate(texts(150))]
+    expected = Counter()
+    for d, t, *_ in rows:
+        words = (t or "").encode().split()
+        expected[d, len(words), sum(greedy(vocabulary, longest, b" " + w) for w in words)] += 1
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert Counter(tuple(r) for r in token_counts(docs, BYTES).collect()) == expected
+    assert token_counts(docs.limit(0), BYTES).count() == 0 and matcher(BYTES) is matcher(BYTES)
+
+
+def test_automaton_on_small_vocabularies():
+    rng = random.Random(2)
+    for _ in range(300):
+        vocabulary = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 12))} | {b"a", b"b", b"c"}
+        automaton = LongestMatch(sorted(vocabulary))
+        for _ in range(20):
+            word = bytes(rng.choice(b"abcd") for _ in range(rng.randrange(0, 12)))
+            assert automaton.count(word) == greedy(vocabulary, 5, word)
+
+
+def test_cuts_are_the_cheapest():
+    rng = random.Random(0)
+    for _ in range(300):
+        length, at, positions = rng.randrange(3, 12), 0, []
+        for _ in range(rng.randrange(1, 20)):
+            at += rng.randrange(1, length + 1)
+            positions.append(at)
+        penalties = [rng.choice([0, 4, 9]) for _ in positions]
+        place, pen = [0, *positions], [0, *penalties]
+        cost = [0] + [10**9] * len(positions)
+        for j in range(1, len(place)):
+            for i in range(j):
+                if (n := place[j] - place[i]) <= length:
+                    cost[j] = min(cost[j], cost[i] + pen[j] * (j < len(positions)) + (0 if j == len(positions) else length - n))
+        cuts = choose_cuts(np.array(positions), np.array(penalties), length)
+        ends = list(zip([0, *cuts], cuts, strict=False))
+        assert all(0 < b - a <= length for a, b in ends) and cuts[-1] == positions[-1]
+        assert sum(length - (b - a) + pen[place.index(b)] for a, b in ends[:-1]) == cost[-1]
+    assert powers_of_two(13) == [8, 4, 1]
+
+
+def test_packing_keeps_every_id_and_pads_little(spark, library):
+    rng = random.Random(3)
+    some = [*texts(150, 9), *(" ".join(rng.choice(["alpha", "beta.", "gamma", "delta"]) for _ in range(rng.randrange(1, 4000))) for _ in range(60))]
+    rows = [(i, t, "s", "l") for i, t in enumerate(some)]
+    pieces = pack_documents(spark.createDataFrame(rows, SCHEMA).coalesce(1), WORDS).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+        by_sequence[p.sequence_id].append(p)
+    for d, t, *_ in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for p in sorted(by_doc[d], key=lambda p: p.start):
+            assert p.start == at and p.length > 0 and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    padding = total = 0
+    for own in by_sequence.values():
+        at = 0
+        for p in sorted(own, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 4096
+        total += at
+        padding += 0 if at & (at - 1) == 0 else 4096 - at
+    assert padding < 0.005 * total
+    assert pack_documents(spark.createDataFrame([], SCHEMA), WORDS).count() == 0
+
+
+def test_packer_places_long_documents():
+    packer = Packer(16, np.zeros(100, bool), 5)
+    pieces = [*packer.add(None, np.arange(7000, dtype="<u4") % 90), *packer.add(None, np.ones(3, "<u4")), *packer.finish()]
+    assert sum(p[2] for p in pieces) == 7003 and pieces[0][5] == 5
+    assert encoder(WORDS).merge(b"hello") and unpacked(encoder(WORDS).encode_word("<|endoftext|>")) == (49407,)
