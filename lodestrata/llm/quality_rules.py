@@ -108,27 +108,45 @@ def votes_of(pattern: int) -> list[int]:
     return [pattern // 3**i % 3 - 1 for i in range(len(RULES))]
 
 
-def fit_accuracies(counts: dict[int, int], rounds: int = 50) -> tuple[float, list[float]]:
-    """(share of clean texts, accuracy of each rule) by EM over pattern counts; without counts, the starting values."""
-    share, accuracy = 0.8, [0.8] * len(RULES)
-    for _ in range(rounds):
-        clean, total, right, cast = 0.0, 0, [2.0] * len(RULES), [2.5] * len(RULES)  # a weak prior of 0.8
-        for pattern, n in sorted(counts.items()):
-            p = posterior(pattern, share, accuracy)
-            clean, total = clean + n * p, total + n
-            for i, v in enumerate(votes_of(pattern)):
-                if v:
-                    cast[i] += n
-                    right[i] += n * (p if v > 0 else 1 - p)
-        share = min(0.99, max(0.01, (clean + 4) / (total + 5)))
-        accuracy = [min(0.98, max(0.55, r / c)) for r, c in zip(right, cast, strict=True)]
+#: For each class (junk, clean) and rule: probabilities of the votes junk, none and clean.
+Accuracies = list[list[list[float]]]
+
+
+def fit_accuracies(counts: dict[int, int], rounds: int = 60) -> tuple[float, Accuracies]:
+    """(share of clean texts, how each rule votes on either class) by EM over counts of vote patterns, those that fail the base rules left out.
+
+    A rule's junk votes and clean votes have accuracies of their own: a rule
+    that knows one kind of junk is right when it says so, and says little else.
+    EM starts from the belief that a junk vote means junk.
+    """
+    patterns = [(votes_of(p), n) for p, n in sorted(counts.items()) if p < FAILED]
+    clean = [0.98 if min(v) >= 0 else 0.3 if v.count(-1) == 1 else 0.05 for v, _ in patterns]
+    share, accuracy = 0.9, [[[0.3, 0.3, 0.4]] * len(RULES), [[0.02, 0.28, 0.7]] * len(RULES)]
+    for _ in range(rounds if patterns else 0):
+        weights = [[n * (1 - c), n * c] for (_, n), c in zip(patterns, clean, strict=True)]
+        total = [sum(w[k] for w in weights) for k in (0, 1)]
+        share = min(0.99, max(0.01, (total[1] + 9) / (sum(total) + 10)))
+        accuracy = []
+        for k, prior in ((0, (0.6, 0.6, 0.8)), (1, (0.04, 0.56, 1.4))):
+            table = [list(prior) for _ in RULES]
+            for (votes, _), w in zip(patterns, weights, strict=True):
+                for row, v in zip(table, votes, strict=True):
+                    row[v + 1] += w[k]
+            accuracy.append([[x / (total[k] + 2) for x in row] for row in table])
+        clean = [_clean(v, share, accuracy) for v, _ in patterns]
     return share, accuracy
 
 
-def posterior(pattern: int, share: float, accuracy: list[float]) -> float:
+def _clean(votes: list[int], share: float, accuracy: Accuracies) -> float:
+    odds = math.log(share / (1 - share))
+    for i, v in enumerate(votes):
+        odds += math.log(accuracy[1][i][v + 1] / accuracy[0][i][v + 1])
+    return 1 / (1 + math.exp(-min(700.0, max(-700.0, odds))))
+
+
+def posterior(pattern: int, share: float, accuracy: Accuracies) -> float:
     """Probability that a text with these votes is clean."""
-    odds = math.log(share / (1 - share)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes_of(pattern), accuracy, strict=True))
-    return 1 / (1 + math.exp(-odds))
+    return _clean(votes_of(pattern % FAILED), share, accuracy)
 
 
 def quality_model(voted: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 
 import xxhash
 
-from lodestrata.llm.quality_rules import RULES, fit_accuracies, keep_quality, posterior, quality_rules
+from lodestrata.llm.quality_rules import FAILED, RULES, fit_accuracies, keep_quality, posterior, quality_rules
 from lodestrata.llm.simhash import keep_one_of_each, simhash_components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -52,16 +52,32 @@ def test_quality_edges(spark):
     assert sorted((r.doc_id or 0, r.w or "") for r in kept) == [(0, ""), (1, "w"), (1, "w")]
 
 
-def test_em_learns_which_rule_errs():
+def test_em_learns_how_each_rule_votes():
     rng = random.Random(1)
     counts = Counter()
-    for _ in range(4000):
-        clean = rng.random() < 0.7
-        votes = [(1 if clean else -1) * (1 if rng.random() < (0.6 if i == 0 else 0.95) else -1) for i in range(len(RULES))]
+    for _ in range(20000):
+        clean = rng.random() < 0.9
+        # The first rule knows junk well, the second half of the time, the third is noise, the others abstain.
+        votes = [1 if clean else -1 if rng.random() < 0.9 else 0, 1 if clean or rng.random() < 0.5 else -1, -1 if rng.random() < 0.03 else 1] + [0] * (len(RULES) - 3)
         counts[sum((v + 1) * 3**i for i, v in enumerate(votes))] += 1
-    share, accuracy = fit_accuracies(counts)
-    assert abs(share - 0.7) < 0.03 and abs(accuracy[0] - 0.6) < 0.05 and all(abs(a - 0.95) < 0.03 for a in accuracy[1:])
-    assert posterior(3 ** len(RULES) - 1, share, accuracy) > 0.99 > 0.01 > posterior(0, share, accuracy)
+    counts[FAILED] = 50_000  # texts that fail the base rules teach nothing
+    share, (junk, good) = fit_accuracies(counts)
+    assert abs(share - 0.9) < 0.02 and abs(junk[0][0] - 0.9) < 0.05 and good[0][0] < 0.02
+    assert abs(junk[1][0] - 0.5) < 0.05 and abs(good[2][0] - 0.03) < 0.01 and abs(junk[2][0] - 0.03) < 0.03
+
+    def chance(*votes):
+        return posterior(sum((v + 1) * 3**i for i, v in enumerate([*votes, *[0] * (len(RULES) - 3)])), share, (junk, good))
+
+    assert chance(-1, 1, 1) < 0.05 and chance(1, 1, -1) > 0.95 and chance(1, 1, 1) > 0.99
+    assert fit_accuracies({})[0] == 0.9
+
+
+def test_verdicts_agree_with_labels(spark):
+    """Labels were not used in fitting."""
+    folder = "/root/testdata/sf0.01"
+    found = quality_rules(spark.read.parquet(f"{folder}/documents.parquet")).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("not base_failed").collect()
+    right = sum(r.kept == (r.quality == 1) for r in found)
+    assert len(found) > 200 and right >= 0.98 * len(found)
 
 
 def plain_fingerprint(text):
