@@ -52,6 +52,16 @@ def test_ids_and_decoding_are_the_librarys(spark, library):
     assert bpe_digests(docs.limit(0), WORDS).count() == 0
 
 
+def test_both_merges_agree(library):
+    tokenizer = encoder(WORDS)
+    for t in texts(300, 7):
+        for word in split_words((t or "").encode()):
+            ids = library.encode(word.decode(), add_special_tokens=False).ids
+            assert list(unpacked(tokenizer.encode_word(word))) == list(unpacked(encoder(WORDS, short_scan=True).encode_word(word))) == ids
+        piece = (t or "x")[:300].encode() or b"x"
+        assert tokenizer.merge(piece) == tokenizer.merge_short(piece)
+
+
 def test_store_is_bounded_and_right():
     asked = []
     store = Store(lambda k: asked.append(k) or len(k), size=3)
@@ -148,4 +158,4 @@ def test_packer_places_long_documents():
     packer = Packer(16, np.zeros(100, bool), 5)
     pieces = [*packer.add(None, np.arange(7000, dtype="<u4") % 90), *packer.add(None, np.ones(3, "<u4")), *packer.finish()]
     assert sum(p[2] for p in pieces) == 7003 and pieces[0][5] == 5
-    assert encoder(WORDS).merge(b"hello") and unpacked(encoder(WORDS).encode_word("<|endoftext|>")) == (49407,)
+    assert encoder(WORDS).merge(b"hello") and unpacked(encoder(WORDS).encode_word(b"<|endoftext|>")) == (49407,)
