@@ -14,6 +14,9 @@ import regex
 #: Entries of a generation of a store; there are at most two.
 CACHE_WORDS = 300_000
 CACHED_WORD_BYTES = 64
+NO_MERGE = 1 << 62
+#: Marks that are a piece of their own after letters.
+SENTENCE_MARKS = (b".", b",", b";", b":", b"!", b"?")
 
 
 def byte_letters() -> list[str]:
@@ -30,7 +33,8 @@ class BytePairEncoder:
     composition or merge crosses, so the ids of a word don't depend on others.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, short_scan: bool = False) -> None:
+        """short_scan: pieces of up to CACHED_WORD_BYTES bytes are merged without a queue."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -48,7 +52,7 @@ class BytePairEncoder:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.vocabulary[a] << 20 | self.vocabulary[b]] = rank << 20 | self.vocabulary[a + b]
         # Different words share pieces: those before a comma, at a sentence's start and so on.
-        self.pieces = Store(lambda piece: packed(self.merge(piece.encode())))
+        self.pieces = Store(lambda piece: packed(self.merge_short(piece) if short_scan and len(piece) <= CACHED_WORD_BYTES else self.merge(piece)))
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one non-empty piece, given in UTF-8."""
@@ -82,17 +86,38 @@ class BytePairEncoder:
                 push(queue, found << shift | h)
         return [x for x in ids if x >= 0]
 
-    def encode_word(self, word: str) -> bytes:
-        """Ids, packed, of text without ASCII white space, special tokens in it included."""
+    def merge_short(self, piece: bytes) -> list[int]:
+        """As merge, by looking for the best pair again and again: quicker for pieces of a word's size, quadratic beyond."""
+        plain, get = self.plain, self.merges.get
+        ids = [plain[b] for b in piece]
+        ids[-1] = self.final[piece[-1]]
+        pairs = [get(a << 20 | b, NO_MERGE) for a, b in zip(ids, ids[1:], strict=False)]
+        while pairs and (found := min(pairs)) != NO_MERGE:
+            i = pairs.index(found)
+            ids[i] = made = found & 0xFFFFF
+            del ids[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = get(ids[i - 1] << 20 | made, NO_MERGE)
+            if i < len(pairs):
+                pairs[i] = get(made << 20 | ids[i + 1], NO_MERGE)
+        return ids
+
+    def encode_word(self, word: bytes) -> bytes:
+        """Packed ids of UTF-8 text without ASCII white space, special tokens in it included."""
         pieces = self.pieces
-        if "<|" not in word:
-            return b"".join([pieces[p] for p in self.pattern.findall(folded(word))])
+        if word.isalpha() and word.islower():  # ASCII letters are one piece, whatever the pattern says of contractions
+            return pieces[word]
+        if word[-1:] in SENTENCE_MARKS and word[:-1].isalpha() and word.islower():
+            return pieces[word[:-1]] + pieces[word[-1:]]
+        text = word.decode("utf-8", "replace")
+        if "<|" not in text:
+            return b"".join([pieces[p.encode()] for p in self.pattern.findall(folded(text))])
         out = []
-        for part in self.special_pattern.split(word):
+        for part in self.special_pattern.split(text):
             if part in self.special:
                 out.append(packed([self.special[part]]))
             else:
-                out += [pieces[p] for p in self.pattern.findall(folded(part))]
+                out += [pieces[p.encode()] for p in self.pattern.findall(folded(part))]
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
@@ -129,7 +154,7 @@ class Store(dict):
 
 def word_store(encoder: BytePairEncoder, make: Callable, size: int = CACHE_WORDS) -> Store:
     """UTF-8 words to what make gives for their packed ids."""
-    return Store(lambda word: make(encoder.encode_word(word.decode("utf-8", "replace"))), size)
+    return Store(lambda word: make(encoder.encode_word(word)), size)
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -147,6 +172,6 @@ def unpacked(ids: bytes) -> tuple[int, ...]:
 
 
 @functools.cache
-def encoder(path: str) -> BytePairEncoder:
+def encoder(path: str, short_scan: bool = False) -> BytePairEncoder:
     """The encoder of a file; one for each worker process."""
-    return BytePairEncoder(path)
+    return BytePairEncoder(path, short_scan)

@@ -138,12 +138,12 @@ class Packer:
 @functools.cache
 def _packed_words(path: str) -> Store:
     """One for each worker process, so that tasks share what is known."""
-    return word_store(encoder(path), bytes, KEPT_WORDS)
+    return word_store(encoder(path, short_scan=True), bytes, KEPT_WORDS)
 
 
 def _pack_batches(path: str, length: int, end_id: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoder(path)
+        tokenizer = encoder(path, short_scan=True)
         words = _packed_words(path)
         end = packed([end_id])
         ends_sentence = np.zeros(max(*tokenizer.strings, end_id) + 1, bool)
