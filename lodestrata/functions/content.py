@@ -52,9 +52,8 @@ def line_lengths(content: Column) -> Column:
 
 def line_count(content: Column) -> Column:
     """Lines by \\n; a final \\n starts no line."""
-    view = F.decode(content, "ISO-8859-1")
-    breaks = F.length(view) - F.length(F.translate(view, "\n", ""))
-    return F.when(F.octet_length(content) == 0, 0).otherwise(breaks + F.when(view.endswith("\n"), 0).otherwise(1)).cast("long")
+    lengths = line_lengths(content)
+    return (F.size(lengths) - F.when(F.element_at(lengths, -1) == 0, 1).otherwise(0)).cast("long")
 
 
 def max_line_length(content: Column) -> Column:

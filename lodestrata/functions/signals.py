@@ -30,6 +30,11 @@ IPV4_TOKEN = r"(?<![0-9.])(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}0*(?:25
 WALLET_TOKEN = r"(?<![A-Za-z0-9])[0-9a-fA-F]{40}(?![A-Za-z0-9])"
 
 
+def whole_run(characters: str, least: int) -> str:
+    """Runs of a class that are at least so long; a run is tried once, from its start."""
+    return rf"(?<![{characters}])[{characters}]{{{least},}}+"
+
+
 def has_text_after_eof(text: Column) -> Column:
     return text.contains("\x1a") & text.rlike(AFTER_EOF)
 
@@ -64,7 +69,7 @@ def has_long_delay(text: Column) -> Column:
 
 def ipv4_tokens(text: Column) -> Column:
     """Maximal runs of digits and dots that are four numbers up to 255."""
-    return F.regexp_count(text, F.lit(IPV4_TOKEN)).cast("long")
+    return F.when(text.rlike(r"[0-9]\.[0-9]"), F.regexp_count(text, F.lit(IPV4_TOKEN))).when(text.isNotNull(), 0).cast("long")
 
 
 def wallet_tokens(text: Column) -> Column:
@@ -92,9 +97,9 @@ def signal_columns(text: Column, longest_line: Column, size: Column, entropy: Co
         "H1": _counted("extreme line length: ", longest_line, LONG_LINE, " bytes"),
         "H2": _plain("content follows an apparent logical EOF marker", has_text_after_eof(text)),
         "H3": F.when(gap > 0, F.concat(F.lit("code follows "), gap.cast("string"), F.lit(" horizontal whitespace bytes"))),
-        "H4": F.when(gap == 0, _counted("extreme horizontal whitespace: ", longest_match(text, rf"[ \t]{{{LONG_GAP},}}"), LONG_GAP, " bytes")),
-        "H5": _counted("large base64-like sequence: ", longest_match(text, rf"[A-Za-z0-9+/=]{{{LONG_RUN},}}"), LONG_RUN, " bytes"),
-        "H6": _counted("large hexadecimal sequence: ", longest_match(text, rf"[0-9A-Fa-f]{{{LONG_RUN},}}"), LONG_RUN, " bytes"),
+        "H4": F.when(gap == 0, _counted("extreme horizontal whitespace: ", longest_match(text, whole_run(r" \t", LONG_GAP)), LONG_GAP, " bytes")),
+        "H5": _counted("large base64-like sequence: ", longest_match(text, whole_run("A-Za-z0-9+/=", LONG_RUN)), LONG_RUN, " bytes"),
+        "H6": _counted("large hexadecimal sequence: ", longest_match(text, whole_run("0-9A-Fa-f", LONG_RUN)), LONG_RUN, " bytes"),
         "H7": _counted("unicode escape sequences: ", occurrences(text, "\\u"), UNICODE_ESCAPES),
         "H8": _plain("character-code string construction", contains_any(text, ["String.fromCharCode", "String['fromCharCode']"])),
         "H9": _plain("possible XOR string decoder", text.contains("charCodeAt") & text.contains("^")),

@@ -142,7 +142,7 @@ def obfuscation_category(signal: Column) -> Column:
 
 def first_obfuscations(signals: Column) -> Column:
     """The first signals of up to two distinct obfuscation categories, in order."""
-    firsts = F.filter(signals, lambda s, i: obfuscation_category(s).isNotNull() & ~F.exists(F.slice(signals, F.lit(1), i), lambda t: obfuscation_category(t) == obfuscation_category(s)))
+    firsts = F.filter(signals, lambda s, i: obfuscation_category(s).isNotNull() & ~F.exists(F.slice(signals, F.lit(1), i), lambda t: obfuscation_category(t).eqNullSafe(obfuscation_category(s))))
     return F.slice(firsts, 1, 2)
 
 

@@ -1,0 +1,123 @@
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestrata.functions.content import byte_entropy, first_line, line_count, max_line_length
+from lodestrata.functions.paths import extension, has_code_extension, language, resolve_from, roles
+from lodestrata.functions.signals import raw_signals
+from lodestrata.operators.commands import resolve_from as plain_resolve
+from lodestrata.operators.files import decoded, detected_mime
+from lodestrata.operators.findings import cap_per_repo, first_per_key, new_findings, risk, severity_at_least
+from lodestrata.operators.graph import first_obfuscations, reachable_modules, tree_changes
+
+SIGNALS = {
+    "": [],
+    "x" * 10_000: ["extreme line length: 10000 bytes", "large base64-like sequence: 10000 bytes"],
+    "a\x1a b": ["content follows an apparent logical EOF marker"],
+    "a\x1a \x1a\x00 \xa0": [],
+    "a" + " " * 512 + "b": ["code follows 512 horizontal whitespace bytes"],
+    "\t" * 600 + "\r\nb": ["extreme horizontal whitespace: 600 bytes"],
+    "\n" + " " * 700 + "\nb" + " " * 600 + "c": ["code follows 600 horizontal whitespace bytes"],
+    "0" * 512: ["large base64-like sequence: 512 bytes", "large hexadecimal sequence: 512 bytes"],
+    "\\u0041" * 32: ["unicode escape sequences: 32"],
+    "String['fromCharCode'] charCodeAt ^": ["character-code string construction", "possible XOR string decoder"],
+    "_0x1 " * 8: ["_0x-style identifiers: 8"],
+    "debugger; QEMU Intl.DateTimeFormat": ["anti-debugging or automation check", "virtual-machine environment check", "locale or regional environment check"],
+    "ps aux Wireshark": ["security-tool process enumeration check"],
+    "tasklist only": [],
+    "setTimeout(f, 5000)": ["long timer delay"],
+    "setTimeout(f, 4999) setInterval(f, 05000)": ["long timer delay"],
+    "setTimeout(" + "é" * 60 + "(9999": ["long timer delay"],
+    "setTimeout(" + "é" * 62 + "9999": [],
+    "setInterval(f, 99999999999999999999)": [],
+    "Invoke-Expression https://a http://b hooks.slack.com bit.ly/x": ["PowerShell download or execution primitive", "URL occurrences: 2", "webhook endpoint", "shortened URL"],
+    "1.2.3.4 256.1.1.1 1.2.3 1.2.3.4.5 001.02.3.255 1..2.3": ["IPv4 address occurrences: 2"],
+    "ab" * 20 + " " + "ab" * 21 + " 0x" + "c" * 40: ["wallet-like identifiers: 1"],
+}
+
+
+def plain_entropy(data: bytes) -> float:
+    return -sum(n / len(data) * math.log2(n / len(data)) for n in Counter(data).values()) if data else 0.0
+
+
+def test_signals(spark):
+    rows = [(i, t) for i, t in enumerate(SIGNALS)]
+    df = spark.createDataFrame(rows, "i long, text string").withColumn("content", F.encode("text", "UTF-8"))
+    got = df.select("i", raw_signals(F.col("text"), max_line_length(F.col("content")), F.octet_length("content"), byte_entropy("content")).alias("s")).collect()
+    for r in got:
+        assert r.s == SIGNALS[rows[r.i][1]], rows[r.i][1][:60]
+
+
+def test_line_and_byte_features(spark):
+    texts = ["", "a", "a\n", "\n\n", "é\nbb\r\n", "x" * 50 + "\ny", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("content", F.encode("text", "UTF-8"))
+    for r in df.select("text", line_count(F.col("content")).alias("n"), max_line_length(F.col("content")).alias("m"), byte_entropy("content").alias("e")).collect():
+        if r.text is None:
+            assert r.n is None and r.e is None
+            continue
+        data = r.text.encode()
+        assert r.n == (0 if not data else data.count(b"\n") + (not data.endswith(b"\n"))) and r.m == max(map(len, data.split(b"\n"))) and abs(r.e - plain_entropy(data)) < 1e-9
+    assert spark.createDataFrame([("a\nbc\nc",)], "t string").select(first_line(F.col("t"), "c")).first()[0] == 2
+
+
+@pytest.mark.parametrize(
+    ("content", "suffix", "encoding", "text"),
+    [
+        (b"a\x00b", "txt", "binary", None), (b"a\x00b", "js", "utf-8", "a\x00b"), (b"\xef\xbb\xbfhi", "txt", "utf-8-bom", "hi"), (b"\xff\xfea\x00\x3d\xd8\x00\xde", "txt", "utf-16le", "a😀"),
+        (b"\xfe\xff\x00a", "txt", "utf-16be", "a"), (b"\xfe\xff\x00", "txt", "unknown", None), (b"\xff\xfe\x00\xd8a\x00", "txt", "unknown", None), (b"\xff", "txt", "unknown", None), (b"", "txt", "utf-8", ""),
+        (b"p" * 8192 + b"\x00", "txt", "utf-8", "p" * 8192 + "\x00"), (b"\x01\x10\x01", "txt", "utf-8", "\x01\x10\x01"),
+    ],
+)
+def test_decoding(spark, content, suffix, encoding, text):
+    e, t = decoded(F.col("c"), F.col("s"))
+    row = spark.createDataFrame([(content, suffix)], "c binary, s string").select(e.alias("e"), t.alias("t")).first()
+    assert (row.e, row.t) == (encoding, text)
+
+
+def test_paths_and_types(spark):
+    names = ["a/B.JS", ".bashrc", "x.", "a.b/c", "docker-compose.yml", ".vscode\\a.json", "vite.config.ts", "sub/build.rs", "x.gemspec", "a.PY", ".cargo/config", "..", "d.mdx"]
+    df = spark.createDataFrame([(n,) for n in names], "p string")
+    p = F.col("p")
+    got = {r.p: (r.e, r.r, r.l, r.c) for r in df.select("p", extension(p).alias("e"), roles(p).alias("r"), language(p).alias("l"), has_code_extension(p).alias("c")).collect()}
+    assert got["a/B.JS"] == ("js", [], None, False) and got[".bashrc"][0] is None and got["x."][0] == "" and got["a.b/c"][0] is None
+    assert got["docker-compose.yml"][1] == ["build_script"] and got[".vscode\\a.json"][1] == ["developer_tool_config"] and got["vite.config.ts"][1] == ["executable_config"]
+    assert got["sub/build.rs"][2] == "rust" and got["x.gemspec"][2] == "ruby" and got["a.PY"][2] is None and got[".cargo/config"][2] == "rust" and got["d.mdx"][3]
+    magic = spark.createDataFrame([(b"\x7fELF",), (b"PK\x03\x04",), (b"\0" * 257 + b"ustar",), (b"",)], "c binary").select(detected_mime(F.col("c"))).collect()
+    assert [m[0] for m in magic] == ["application/x-executable", "application/zip", "application/x-tar", None]
+    cases = [(s, t) for s in ("a.js", "a/b.js", "a/b/c.js") for t in ("./x", "../x", "../../x", "../../../x", "../../../../x/..", "/x", ".", "..", "x/./y/../z", "../b/../../q")]
+    resolved = spark.createDataFrame(cases, "s string, t string").select("s", "t", resolve_from(F.col("s"), F.col("t")).alias("r")).collect()
+    assert all(r.r == plain_resolve(r.s, r.t) for r in resolved)
+
+
+def test_finding_tables(spark):
+    rows = [("r", i, f"f{i % 3}", ["low", "high", "critical"][i % 3], i * 10, 1) for i in range(9)] + [("q", 0, "f", "informational", 1, None)]
+    df = spark.createDataFrame(rows, "repo_id string, emit_seq long, id string, severity string, score int, line long").withColumn("evidence", F.array(F.lit("e"))).withColumn("path", F.lit("p"))
+    kept, over = cap_per_repo(df, 4)
+    assert sorted(r.emit_seq for r in kept.filter("repo_id = 'r'").collect()) == [0, 1, 2, 3] and [tuple(r) for r in over.collect()] == [("r", 5)]
+    assert {(r.id, r.emit_seq) for r in first_per_key(df, ["repo_id", "id"], ["emit_seq"]).collect()} == {("f0", 0), ("f1", 1), ("f2", 2), ("f", 0)}
+    assert {tuple(r) for r in risk(df).collect()} == {("r", "critical", 80), ("q", "informational", 1)}
+    assert severity_at_least(df, "high").count() == 6 and severity_at_least(df, "info").count() == 10
+    with pytest.raises(ValueError):
+        severity_at_least(df, "huge")
+    assert {r.id for r in new_findings(df, df.filter("id != 'f'")).collect()} == {"f"}
+    head, base = spark.createDataFrame([("a", "1"), ("b", None), ("c", "3")], "p string, v string"), spark.createDataFrame([("a", "1"), ("b", "2"), ("z", "9")], "p string, v string")
+    assert {r.p for r in tree_changes(head, base, ["p"], ["v"]).collect()} == {"b", "c"}
+
+
+def test_reachability_ties_and_limits(spark):
+    modules = spark.createDataFrame([("r", i, n, n) for i, n in enumerate("abcdefg")], "repo_id string, seq long, id string, path string")
+    edges = spark.createDataFrame([("r", s, d, n, n, 0) for n, (s, d) in enumerate(["ab", "ac", "cd", "bd", "da", "de", "ef"])], "repo_id string, src string, dst string, line long, seq long, dst_seq long")
+    roots = spark.createDataFrame([("r", 1, "c", "second", None), ("r", 0, "a", "first", 7), ("r", 2, "a", "third", None)], "repo_id string, seq long, file string, trigger string, line long")
+    reached, limited = reachable_modules(roots, edges, modules)
+    routes = {r.id: r.route for r in reached.collect()}
+    assert set(routes) == set("abcdef") and limited.isEmpty()
+    assert routes["a"] == ["trigger: first at line 7", "entry: a"] and routes["c"] == ["trigger: second", "entry: c"] and routes["b"][-1] == "a:0 imports b"
+    assert routes["d"][0] == "trigger: second" and routes["f"][-1] == "e:6 imports f"
+    reached, limited = reachable_modules(roots, edges, modules, max_route=3)
+    assert {r.id for r in reached.collect()} == set("abcd") and limited.count() == 1
+    signals = spark.createDataFrame([(["x", "_0x-style identifiers: 9", "unicode escape sequences: 40", "long timer delay", "high-entropy text: 6.00 bits per byte"],)], "s array<string>")
+    assert signals.select(first_obfuscations(F.col("s"))).first()[0] == ["_0x-style identifiers: 9", "long timer delay"]
