@@ -32,14 +32,6 @@ def byte_entropy(content: pd.Series) -> pd.Series:
     return content.map(entropy, na_action=None).astype("float64")
 
 
-def entropy_sql(content: str) -> str:
-    """The same as a SQL expression, for callers that stay in the JVM: counts the bytes of a sorted hex string by runs."""
-    pairs = f"array_sort(regexp_extract_all(hex({content}), '..', 0))"
-    runs = f"regexp_extract_all(array_join({pairs}, ''), '(?:(..)(?:\\\\1)*)', 0)"
-    share = f"(length(r) / 2.0D / octet_length({content}))"
-    return f"case when {content} is null then null when octet_length({content}) = 0 then 0.0D else aggregate(transform({runs}, r -> -{share} * log2({share})), 0.0D, (a, x) -> a + x) end"
-
-
 @F.pandas_udf(BinaryType())
 def gzip_bytes(content: pd.Series) -> pd.Series:
     """Contents as one gzip member each; null for null."""
