@@ -16,6 +16,9 @@ from lodestrata.llm.quality_rules import keep_quality
 from lodestrata.llm.simhash import keep_one_of_each
 from lodestrata.llm.suffix_dedup import without_repeated_bytes
 
+#: Words that a worker's tokenizer remembers: fewer than alone, as executors hold what earlier stages left.
+KEPT_WORDS = 120_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -39,7 +42,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4,096 tokens."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), kept_words=KEPT_WORDS)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact_copies), ("SimHash near-dedup", near_copies), ("suffix-array dedup", repeated_passages), ("packing", packed)]

@@ -33,8 +33,8 @@ class BytePairEncoder:
     composition or merge crosses, so the ids of a word don't depend on others.
     """
 
-    def __init__(self, path: str, short_scan: bool = False) -> None:
-        """short_scan: pieces of up to CACHED_WORD_BYTES bytes are merged without a queue."""
+    def __init__(self, path: str, short_scan: bool = False, kept_pieces: int = CACHE_WORDS) -> None:
+        """short_scan: pieces of up to CACHED_WORD_BYTES bytes are merged without a queue. kept_pieces: size of a generation of the store of pieces."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -52,7 +52,7 @@ class BytePairEncoder:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.vocabulary[a] << 20 | self.vocabulary[b]] = rank << 20 | self.vocabulary[a + b]
         # Different words share pieces: those before a comma, at a sentence's start and so on.
-        self.pieces = Store(lambda piece: packed(self.merge_short(piece) if short_scan and len(piece) <= CACHED_WORD_BYTES else self.merge(piece)))
+        self.pieces = Store(lambda piece: packed(self.merge_short(piece) if short_scan and len(piece) <= CACHED_WORD_BYTES else self.merge(piece)), kept_pieces)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one non-empty piece, given in UTF-8."""
@@ -172,6 +172,6 @@ def unpacked(ids: bytes) -> tuple[int, ...]:
 
 
 @functools.cache
-def encoder(path: str, short_scan: bool = False) -> BytePairEncoder:
+def encoder(path: str, short_scan: bool = False, kept_pieces: int = CACHE_WORDS) -> BytePairEncoder:
     """The encoder of a file; one for each worker process."""
-    return BytePairEncoder(path, short_scan)
+    return BytePairEncoder(path, short_scan, kept_pieces)

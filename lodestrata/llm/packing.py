@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_pair import Store, encoder, packed, split_words, word_store
+from .byte_pair import BytePairEncoder, Store, encoder, packed, split_words, word_store
 from .common import as_bytes
 
 LENGTH, END_ID = 4096, 2
@@ -136,15 +136,15 @@ class Packer:
 
 
 @functools.cache
-def _packed_words(path: str) -> Store:
+def _packed_words(path: str, kept_words: int) -> tuple[BytePairEncoder, Store]:
     """One for each worker process, so that tasks share what is known."""
-    return word_store(encoder(path, short_scan=True), bytes, KEPT_WORDS)
+    tokenizer = encoder(path, True, kept_words * 3 // 5)
+    return tokenizer, word_store(tokenizer, bytes, kept_words)
 
 
-def _pack_batches(path: str, length: int, end_id: int, schema: pa.Schema):
+def _pack_batches(path: str, length: int, end_id: int, kept_words: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoder(path, short_scan=True)
-        words = _packed_words(path)
+        tokenizer, words = _packed_words(path, kept_words)
         end = packed([end_id])
         ends_sentence = np.zeros(max(*tokenizer.strings, end_id) + 1, bool)
         ends_sentence[[tokenizer.vocabulary[s] for c in ".!?" if (s := c + tokenizer.word_end) in tokenizer.vocabulary]] = True
@@ -166,7 +166,7 @@ def _pack_batches(path: str, length: int, end_id: int, schema: pa.Schema):
     return run
 
 
-def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", kept_words: int = KEPT_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its tokens and then end_id, so null and empty texts are one
@@ -174,11 +174,12 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, end_id: int
     cross partitions, and nothing is shuffled. sequence_id is unique, not
     gapless. Repeated rows are packed each; null ids stay null; other columns
     are not read. No rows give no rows. A document of any length is cut over as
-    many sequences as it needs.
+    many sequences as it needs. kept_words bounds a worker's store of known words:
+    about 350 bytes each, twice; a smaller one costs time, never changes ids.
     """
     id_type = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("doc_id"), as_bytes(F.col(text_col)).alias("text"))
     numbers = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
     schema = pa.schema([("doc_id", arrow_id), *((n, pa.int64()) for n in numbers)])
-    return texts.mapInArrow(_pack_batches(path, length, end_id, schema), f"doc_id {id_type.simpleString()}, " + ", ".join(f"{n} long" for n in numbers))
+    return texts.mapInArrow(_pack_batches(path, length, end_id, kept_words, schema), f"doc_id {id_type.simpleString()}, " + ", ".join(f"{n} long" for n in numbers))
