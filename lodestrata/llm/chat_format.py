@@ -13,11 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TURN = "<|im_start|>{role}\n{text}<|im_end|>\n"
-
 
 def _chains(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, chain, body): chain holds the hash of each prefix, body the turns in order."""
+    """(conv_id, body, chain): body holds the turns in order, chain the hash of each prefix."""
     body = F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("body")
     # A turn that is only logged twice is one turn, so that a replayed log line doesn't change the prefix.
     grouped = turns.distinct().groupBy("conv_id").agg(body)

@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: The bytes that separate words: space and the controls 9 to 13.
-SPACE_CLASS = r"[ \t-\r]+"
-FALLBACK_DIR = "/tmp/lodestrata-checkpoints"
-
+from ..storage import durable, work_dir
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+__all__ = ["SPACE_CLASS", "as_bytes", "durable", "shuffle_width", "squeezed", "work_dir"]
 
-
-def durable(df: DataFrame, label: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df to a fresh table in the shared folder and read it back.
-
-    Later stages then depend on files that every executor can reach, so a lost
-    executor costs a reread and never a recomputation of unstable row names.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The bytes that separate words: space and the controls 9 to 13.
+SPACE_CLASS = r"[ \t-\r]+"
 
 
 def shuffle_width(spark: SparkSession) -> int:
