@@ -70,14 +70,16 @@ def address_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = _documents(spark, sf_dir).withColumn("longest", max_line_length(F.col("content"))).withColumn("entropy", byte_entropy("content"))
+    measured = C.spread(_documents(spark, sf_dir)).withColumn("longest", max_line_length(F.col("content"))).withColumn("entropy", byte_entropy("content"))
     signals = raw_signals(F.col("text"), F.col("longest"), F.octet_length("content"), F.col("entropy"))
     return measured.select("doc_id", "longest", signals.alias("signals"))
 
 
 @query
 def raw_signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir).select("doc_id", F.posexplode("signals").alias("position", "signal")).withColumn("position", F.col("position").cast("long"))
+    # An outer explode: an inner one adds a filter on the signals, which is pushed down and finds them all a second time.
+    found = _signals(spark, sf_dir).select("doc_id", F.posexplode_outer("signals").alias("position", "signal")).filter("signal is not null")
+    return found.withColumn("position", F.col("position").cast("long"))
 
 
 @query
