@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.common import durable
 from lodestrata.llm.exact_dedup import drop_exact_copies
+from lodestrata.llm.near_copies import keep_one_of_near_copies
 from lodestrata.llm.packing import pack_documents
 from lodestrata.llm.quality_rules import keep_quality
-from lodestrata.llm.simhash import keep_one_of_each
 from lodestrata.llm.suffix_dedup import without_repeated_bytes
 
 #: Words that a worker's tokenizer remembers: fewer than alone, as executors hold what earlier stages left.
@@ -31,8 +31,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return keep_one_of_each(docs)
+    """One document of each group of near copies stays: 5-word similarity of 0.8 or more."""
+    return keep_one_of_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), kept_words=KEPT_WORDS)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact_copies), ("SimHash near-dedup", near_copies), ("suffix-array dedup", repeated_passages), ("packing", packed)]
+STAGES = [("quality rules", quality), ("exact dedup", exact_copies), ("near-copy dedup", near_copies), ("suffix-array dedup", repeated_passages), ("packing", packed)]
 
-#: Expectation-maximisation, fingerprints, byte strings and packing have no SQL; tests hold the stages against brute force.
+#: Expectation-maximisation, similarity, byte strings and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
