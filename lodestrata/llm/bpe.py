@@ -52,7 +52,10 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """docs with an array<int> column of the ids of each whole text; null and empty texts get an empty array."""
+    """docs with an array<int> column of the ids of each whole text; null and empty texts get an empty array.
+
+    A column of docs named ids_col is replaced. Repeated rows stay repeated; no rows give no rows.
+    """
 
     @F.pandas_udf("array<int>")
     def ids_of(texts):
@@ -63,7 +66,10 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
-    """encoded with the string of each id array; null and empty arrays give an empty string."""
+    """encoded with the string of each id array; null and empty arrays give an empty string.
+
+    A column of encoded named text_col is replaced. Repeated rows stay repeated; no rows give no rows.
+    """
 
     @F.pandas_udf("string")
     def text_of(ids):

@@ -6,10 +6,10 @@ import functools
 import heapq
 import json
 import struct
-import unicodedata
 from collections.abc import Callable
 
 import regex
+from tokenizers import Tokenizer
 
 #: Entries of a generation of a store; there are at most two.
 CACHE_WORDS = 300_000
@@ -31,6 +31,9 @@ class BytePairEncoder:
 
     A text is encoded word by word between ASCII white space, which no pattern,
     composition or merge crosses, so the ids of a word don't depend on others.
+    What is a letter, and what its lower case and composition are, differs
+    between releases of Unicode: words beyond ASCII are normalised and split by
+    the library's own tables, so that ids are the library's for every character.
     """
 
     def __init__(self, path: str, short_scan: bool = False, kept_pieces: int = CACHE_WORDS) -> None:
@@ -41,6 +44,9 @@ class BytePairEncoder:
         self.vocabulary: dict[str, int] = model["vocab"]
         self.word_end: str = model.get("end_of_word_suffix") or ""
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        library = Tokenizer.from_file(path)
+        self.normalised, self.split_letters = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.byte_of = {ord(c): b for b, c in enumerate(byte_letters())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")")
         self.strings = {i: s for s, i in [*self.vocabulary.items(), *self.special.items()]}
@@ -111,28 +117,27 @@ class BytePairEncoder:
             return pieces[word[:-1]] + pieces[word[-1:]]
         text = word.decode("utf-8", "replace")
         if "<|" not in text:
-            return b"".join([pieces[p.encode()] for p in self.pattern.findall(folded(text))])
+            return b"".join([pieces[p] for p in self.cut(text)])
         out = []
         for part in self.special_pattern.split(text):
             if part in self.special:
                 out.append(packed([self.special[part]]))
             else:
-                out += [pieces[p.encode()] for p in self.pattern.findall(folded(part))]
+                out += [pieces[p] for p in self.cut(part)]
         return b"".join(out)
 
+    def cut(self, text: str) -> list[bytes]:
+        """The pieces of normalised text, in UTF-8."""
+        if text.isascii():
+            return [p.encode() for p in self.pattern.findall(text.lower())]
+        # The library gives pieces in byte letters.
+        return [p.translate(self.byte_of).encode("latin-1") for p, _ in self.split_letters(self.normalised(text))]
+
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings of ids; such a file has no decoder, so they are joined by spaces."""
         return " ".join(self.strings[i] for i in ids)
 
 
-def folded(text: str) -> str:
-    """NFC, then each character's own lower case: a final sigma doesn't depend on what is before it."""
-    if text.isascii():
-        return text.lower()
-    text = unicodedata.normalize("NFC", text)
-    return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-
-
 class Store(dict):
     """Maps keys to what make gives for them, in bounded memory: when full, it starts again and takes over what is asked for from its last generation. Long keys are not kept."""
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .byte_pair import BytePairEncoder, Store, encoder, packed, split_words, word_store
 from .common import as_bytes
@@ -172,14 +173,13 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, end_id: int
     A document is its tokens and then end_id, so null and empty texts are one
     token. Documents stay in the order of their partition; sequences don't
     cross partitions, and nothing is shuffled. sequence_id is unique, not
-    gapless. Repeated rows are packed each; null ids stay null; other columns
-    are not read. No rows give no rows. A document of any length is cut over as
+    gapless. Ids may be of any type of scalar. Repeated rows are packed each;
+    null ids stay null; other columns are not read. No rows give no rows. A document of any length is cut over as
     many sequences as it needs. kept_words bounds a worker's store of known words:
     about 350 bytes each, twice; a smaller one costs time, never changes ids.
     """
     id_type = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("doc_id"), as_bytes(F.col(text_col)).alias("text"))
     numbers = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
-    schema = pa.schema([("doc_id", arrow_id), *((n, pa.int64()) for n in numbers)])
+    schema = pa.schema([("doc_id", to_arrow_type(id_type)), *((n, pa.int64()) for n in numbers)])
     return texts.mapInArrow(_pack_batches(path, length, end_id, kept_words, schema), f"doc_id {id_type.simpleString()}, " + ", ".join(f"{n} long" for n in numbers))

@@ -52,6 +52,31 @@ def test_ids_and_decoding_are_the_librarys(spark, library):
     assert bpe_digests(docs.limit(0), WORDS).count() == 0
 
 
+def test_ids_of_every_code_point_are_the_librarys(library):
+    tokenizer, short = encoder(WORDS), encoder(WORDS, short_scan=True)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 8192):
+        words = [f"{chr(c)} a{chr(c)}b" for c in points[lo : lo + 8192]]
+        for word, expected in zip(words, library.encode_batch(words, add_special_tokens=False), strict=True):
+            parts = split_words(word.encode())
+            assert [i for p in parts for i in unpacked(tokenizer.encode_word(p))] == expected.ids, ascii(word)
+            assert [i for p in parts for i in unpacked(short.encode_word(p))] == expected.ids, ascii(word)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "bigint", "string", "decimal(20,0)"])
+def test_packing_takes_any_id(spark, kind):
+    docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id int, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    packed = pack_documents(docs, WORDS)
+    assert packed.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert {(str(r.doc_id), r.doc_tokens) for r in packed.collect()} == {("1", 3), ("None", 1)}
+
+
+def test_added_columns_replace_those_with_their_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, token_ids string, decoded string")
+    row = bpe_decode(bpe_encode(docs, WORDS), WORDS).first()
+    assert len(row.token_ids) == 2 and row.decoded == "a</w> b</w>"
+
+
 def test_both_merges_agree(library):
     tokenizer = encoder(WORDS)
     for t in texts(300, 7):
