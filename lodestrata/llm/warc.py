@@ -5,8 +5,10 @@ member from start to end, the way careless crawlers write them. Such a file
 can't be read from the middle. normalise() inflates each of them once, in
 pieces, writes every record as a gzip member of its own, turns records whose
 payload another record has into revisits, and leaves a sidecar index of member
-offsets next to the archive. read_archives() then fetches single members by
-offset. Payloads never cross the network: only digests are shuffled.
+offsets next to the archive. read_archives() takes the offsets from the sidecar
+and fetches single members. Payloads never cross the network: only digests are
+shuffled. A task's attempt writes files under names of its own, which its rows
+give, so an attempt that is lost or repeated leaves files that nobody reads.
 """
 
 from __future__ import annotations
@@ -26,15 +28,26 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, durable, work_dir
 
-#: Payload bytes after which a task starts another archive; bounds the records of an archive.
+#: Bytes of whole records after which a task starts another archive; bounds the records of an archive, empty ones too.
 ROLL_BYTES = 32 << 20
 READ_BYTES = 1 << 18
+READ_ROWS = 4096
+MAX_PARTITIONS = 1 << 16
 DATE = "2000-01-01T00:00:00Z"
 #: Header fields of our own, as page ids have none in the format.
 PAGE_FIELD, REFERS_FIELD = "Lodestrata-Page-Id", "Lodestrata-Refers-To-Page-Id"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path) of a folder as Spark names it."""
+    if folder.startswith("dbfs:/"):
+        folder = "/dbfs/" + folder[len("dbfs:/") :].lstrip("/")
+    for own, other in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        folder = other + folder[len(own) :] if folder.startswith(own) else folder
+    return fs.FileSystem.from_uri(folder)
+
+
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -110,7 +123,7 @@ def gzipped(data: bytes, level: int = 4) -> bytes:
 
 
 WRITTEN = "archive string, ordinal long, page_id long, payload_bytes long, payload_digest string, sha256 string"
-INDEXED = "archive string, member_offset long, member_length long, page_id long"
+INDEXED = "archive string, sidecar string, n_records long"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -123,7 +136,7 @@ def _write_batches(folder: str, roll_bytes: int):
     schema = _arrow(WRITTEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         task = TaskContext.get()
         out = packer = None
         number = ordinal = size = 0
@@ -138,9 +151,10 @@ def _write_batches(folder: str, roll_bytes: int):
                     number, ordinal, size = number + 1, 0, 0
                 digest = payload_digest(payload)
                 key = f"page:{page_id}" if page_id is not None else f"{name}:{ordinal}"
-                out.write(packer.compress(record(response_fields(key, page_id, url, digest), http_head(len(payload)) + payload)))
+                made = record(response_fields(key, page_id, url, digest), http_head(len(payload)) + payload)
+                out.write(packer.compress(made))
                 rows.append((name, ordinal, page_id, len(payload), digest, hashlib.sha256(payload).hexdigest()))
-                ordinal, size = ordinal + 1, size + len(payload)
+                ordinal, size = ordinal + 1, size + len(made)
                 if size >= roll_bytes:
                     out.write(packer.flush())
                     out.close()
@@ -162,7 +176,7 @@ def write_pages(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) ->
 
 
 def _make_folder(folder: str) -> None:
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = store_of(folder)
     store.create_dir(root, recursive=True)
 
 
@@ -171,66 +185,95 @@ def _normalise_archive(source: str, target: str):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("ordinal")
-        plan = zip(*(table.column(c).to_pylist() for c in ("archive", "page_id", "payload_bytes", "revisit", "refers_to")), strict=True)
-        name = table.column("archive")[0].as_py()
-        (store, root), (target_store, target_root) = fs.FileSystem.from_uri(source), fs.FileSystem.from_uri(target)
-        # Written under a name of this attempt's own and then moved, so that a reader never sees half a file.
-        mine = f"{target_root}/.{name}-{TaskContext.get().taskAttemptId()}"
-        rows, at = [], 0
-        with store.open_input_stream(f"{root}/{name}", compression=None) as stream, target_store.open_output_stream(mine, compression=None) as out:
-            for (fields, block), (_, page_id, payload_bytes, revisit, refers_to) in zip(parse_records(inflate(stream)), plan, strict=True):
+        plan = zip(*(table.column(c).to_pylist() for c in ("page_id", "payload_bytes", "revisit", "refers_to")), strict=True)
+        source_name = table.column("archive")[0].as_py()
+        (store, root), (target_store, target_root) = store_of(source), store_of(target)
+        name = f"{source_name.removesuffix('.warc.gz')}-{TaskContext.get().taskAttemptId()}.warc.gz"
+        sidecar = f"{name}.index.jsonl"
+        n = at = 0
+        with (
+            store.open_input_stream(f"{root}/{source_name}", compression=None) as stream,
+            target_store.open_output_stream(f"{target_root}/{name}", compression=None) as out,
+            target_store.open_output_stream(f"{target_root}/{sidecar}", compression=None) as index,
+        ):
+            for (fields, block), (page_id, payload_bytes, revisit, refers_to) in zip(parse_records(inflate(stream)), plan, strict=True):
                 del fields["Content-Length"]
                 if revisit:
                     fields |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To": record_name(f"page:{refers_to}"), REFERS_FIELD: str(refers_to)}
                     block = http_head(payload_bytes)
                 member = gzipped(record(fields, block))
                 out.write(member)
-                rows.append((name, at, len(member), page_id))
-                at += len(member)
-        target_store.move(mine, f"{target_root}/{name}")
-        with target_store.open_output_stream(f"{target_root}/{name}.index-{TaskContext.get().taskAttemptId()}", compression=None) as out:
-            out.write("".join(json.dumps({"offset": o, "length": n, "page_id": p}) + "\n" for _, o, n, p in rows).encode())
-        target_store.move(f"{target_root}/{name}.index-{TaskContext.get().taskAttemptId()}", f"{target_root}/{name}.index.jsonl")
-        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                index.write(json.dumps({"offset": at, "length": len(member), "page_id": page_id}).encode() + b"\n")
+                n, at = n + 1, at + len(member)
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip((name, sidecar, n), schema, strict=True)], schema=schema)
 
     return run
 
 
+def _dealt(df: DataFrame, archives: int) -> DataFrame:
+    """df with about a partition for each archive, which is a task's worth of work however few rows describe it."""
+    return df.repartition(min(MAX_PARTITIONS, max(1, archives)), "archive")
+
+
 def normalise(written: DataFrame, source: str, target: str, min_bytes: int = 0) -> DataFrame:
-    """Rewrites the archives of source into target; the rows are the index: see INDEXED."""
+    """Rewrites the archives of source into target; the rows name the new archives and their sidecars: see INDEXED."""
     _make_folder(target)
     keepers = written.filter(F.col("payload_bytes") >= min_bytes).groupBy("sha256").agg(F.max("page_id").alias("refers_to"))
     revisit = F.col("refers_to").isNotNull() & ~F.col("refers_to").eqNullSafe(F.col("page_id")) & (F.col("payload_bytes") >= min_bytes)
     plan = written.join(keepers, "sha256", "left").select("archive", "ordinal", "page_id", "payload_bytes", revisit.alias("revisit"), "refers_to")
-    return durable(plan.groupBy("archive").applyInArrow(_normalise_archive(source, target), INDEXED), "warc-index")
+    archives = written.select("archive").distinct().count()
+    return durable(_dealt(plan, archives).groupBy("archive").applyInArrow(_normalise_archive(source, target), INDEXED), "warc-index")
+
+
+def read_sidecar(folder: str, sidecar: str) -> Iterator[dict]:
+    """The entries of a sidecar: offset and length of a member, page_id of its record."""
+    store, root = store_of(folder)
+    with store.open_input_stream(f"{root}/{sidecar}", compression=None) as file:
+        held = b""
+        while data := file.read(READ_BYTES):
+            *lines, held = (held + data).split(b"\n")
+            yield from map(json.loads, lines)
 
 
-def _read_archive(folder: str):
+def _read_record(member: bytes) -> tuple:
+    ((fields, block),) = parse_records(iter([zlib.decompress(member, 31)]))
+    head, _, payload = block.partition(b"\r\n\r\n")
+    length = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"])
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if fields["WARC-Type"] == "response" and (len(payload) != length or payload_digest(payload) != digest):
+        raise ValueError("damaged payload")
+    page_id, refers_to = fields.get(PAGE_FIELD), fields.get(REFERS_FIELD)
+    return page_id and int(page_id), length, digest, fields["WARC-Type"], refers_to and int(refers_to)
+
+
+def _read_batches(folder: str):
     schema = _arrow(READ)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("member_offset")
-        store, root = fs.FileSystem.from_uri(folder)
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = store_of(folder)
         rows = []
-        with store.open_input_file(f"{root}/{table.column('archive')[0].as_py()}") as file:
-            for at, n in zip(table.column("member_offset").to_pylist(), table.column("member_length").to_pylist(), strict=True):
-                file.seek(at)
-                ((fields, block),) = parse_records(iter([zlib.decompress(file.read(n), 31)]))
-                head, _, payload = block.partition(b"\r\n\r\n")
-                length = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"])
-                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if fields["WARC-Type"] == "response" and (len(payload) != length or payload_digest(payload) != digest):
-                    raise ValueError(f"damaged payload at {at}")
-                page_id, refers_to = fields.get(PAGE_FIELD), fields.get(REFERS_FIELD)
-                rows.append((page_id and int(page_id), length, digest, fields["WARC-Type"], refers_to and int(refers_to)))
-        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        for batch in batches:
+            for name, sidecar in zip(batch.column("archive").to_pylist(), batch.column("sidecar").to_pylist(), strict=True):
+                with store.open_input_file(f"{root}/{name}") as file:
+                    for entry in read_sidecar(folder, sidecar):
+                        file.seek(entry["offset"])
+                        rows.append(_read_record(file.read(entry["length"])))
+                        if len(rows) >= READ_ROWS:
+                            yield made(rows)
+                            rows = []
+        if rows:
+            yield made(rows)
 
     return run
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """One row per record of the archives that index lists, read member by member; payloads are checked against their digests. Columns: see READ."""
-    return index.select("archive", "member_offset", "member_length").groupBy("archive").applyInArrow(_read_archive(folder), READ)
+    """One row per record of the archives that index lists, read member by member at the sidecar's offsets; payloads are checked against their digests. Columns: see READ."""
+    archives = index.count()
+    return _dealt(index.select("archive", "sidecar"), archives).mapInArrow(_read_batches(folder), READ)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:

@@ -8,14 +8,13 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from pyarrow import fs
 
 import corpus_pipeline
 from lodestrata.llm import exact_dedup as E
 from lodestrata.llm.chat_format import format_chats
 from lodestrata.llm.common import durable
 from lodestrata.llm.exact_dedup import drop_exact_copies, exact_dedup
-from lodestrata.llm.warc import archive_pages, normalise, parse_records, read_archives, write_pages
+from lodestrata.llm.warc import archive_pages, normalise, parse_records, read_archives, read_sidecar, write_pages
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile("[\x20\x09-\x0d]")
@@ -95,21 +94,34 @@ def test_warc_round_trip(spark, tmp_path):
 def test_normalised_archives_are_members(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", "body" * (i % 3 + 1)) for i in range(20)], "page_id long, url string, html string").coalesce(1)
     source, target = str(tmp_path / "s"), str(tmp_path / "t")
-    written = write_pages(pages, source, roll_bytes=60)
+    written = write_pages(pages, source, roll_bytes=1500)
     index = normalise(written, source, target)
     assert written.select("archive").distinct().count() > 2 and read_archives(index, target).count() == 20
-    name = index.first().archive
-    whole = gzip.decompress((tmp_path / "s" / name).read_bytes())
-    records = list(parse_records(iter([whole])))
-    own = index.filter(index.archive == name).orderBy("member_offset").collect()
-    data = (tmp_path / "t" / name).read_bytes()
-    assert len(own) == len(records) and own[-1].member_offset + own[-1].member_length == len(data)
-    assert all(gzip.decompress(data[r.member_offset : r.member_offset + r.member_length]).startswith(b"WARC/1.1\r\n") for r in own)
-    assert fs.LocalFileSystem().get_file_info(f"{target}/{name}.index.jsonl").size > 0
+    before = {}
+    for r in written.orderBy("ordinal").collect():
+        before.setdefault(r.archive.removesuffix(".warc.gz"), []).append(r.page_id)
+    for r in index.collect():
+        whole = gzip.decompress((tmp_path / "s" / f"{r.archive.rpartition('-')[0]}.warc.gz").read_bytes())
+        records = list(parse_records(iter([whole])))
+        entries = list(read_sidecar(target, r.sidecar))
+        data = (tmp_path / "t" / r.archive).read_bytes()
+        assert [e["page_id"] for e in entries] == before[r.archive.rpartition("-")[0]] and len(entries) == r.n_records == len(records)
+        assert [e["offset"] for e in entries] == [sum(x["length"] for x in entries[:i]) for i in range(len(entries))]
+        assert entries[-1]["offset"] + entries[-1]["length"] == len(data)
+        assert all(gzip.decompress(data[e["offset"] : e["offset"] + e["length"]]).startswith(b"WARC/1.1\r\n") for e in entries)
     with pytest.raises(ValueError, match="ends inside"):
         list(parse_records(iter([whole[:-30]])))
 
 
+def test_archives_of_empty_pages_roll_too(spark, tmp_path):
+    pages = spark.range(3000).selectExpr("id as page_id", "cast(null as string) as url", "cast(null as string) as html").coalesce(1)
+    source, target = str(tmp_path / "s"), str(tmp_path / "t")
+    index = normalise(write_pages(pages, source, roll_bytes=100_000), source, target)
+    assert index.count() > 5 and index.agg({"n_records": "max"}).first()[0] < 500
+    again = normalise(write_pages(pages, source, roll_bytes=100_000), source, target)  # files that are there already don't matter
+    assert read_archives(again, target).count() == read_archives(index, target).count() == 3000
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(4)
     vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "su") for b in ("ra", "to", "vi", "wen", "zor")]
