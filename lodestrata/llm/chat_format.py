@@ -14,14 +14,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _chains(turns: DataFrame) -> DataFrame:
-    """(conv_id, body, chain): body holds the turns in order, chain the hash of each prefix."""
-    body = F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("body")
+#: Turns that are hashed as one chunk, so that a long conversation's chain isn't copied turn by turn.
+CHUNK_TURNS = 256
+
+
+def _bodies(conversations: DataFrame) -> DataFrame:
+    """(key, conv_id, body): body holds the distinct turns in order; key is never null."""
+    turns = conversations.select(
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("key"),
+        "conv_id",
+        F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("line"),
+    )
     # A turn that is only logged twice is one turn, so that a replayed log line doesn't change the prefix.
-    grouped = turns.distinct().groupBy("conv_id").agg(body)
-    digest = "sha2(concat(acc, ':', octet_length(t.role), ':', t.role, ':', t.text), 256)"
-    step = f"(s, t) -> named_struct('last', {digest.replace('acc', 's.last')}, 'all', array_append(s.all, {digest.replace('acc', 's.last')}))"
-    return grouped.select("conv_id", "body", F.expr(f"aggregate(body, named_struct('last', '', 'all', cast(array() as array<string>)), {step}).all").alias("chain"))
+    return turns.groupBy("key").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_set("line")).alias("body"))
+
+
+def _chains(bodies: DataFrame) -> DataFrame:
+    """(key, conv_id, chain): chain holds the hash of each prefix of the turns."""
+    digest = "sha2(concat(s.last, ':', octet_length(t.role), ':', t.role, ':', t.text), 256)"
+    nothing = "cast(array() as array<string>)"
+    step = f"(s, t) -> transform(array({digest}), h -> named_struct('last', h, 'all', array_append(s.all, h)))[0]"
+    chunk = f"aggregate(c, named_struct('last', p.last, 'all', {nothing}), {step})"
+    chunks = f"transform(sequence(0, (size(body) - 1) div {CHUNK_TURNS}), i -> slice(body, i * {CHUNK_TURNS} + 1, {CHUNK_TURNS}))"
+    joined = f"(p, c) -> transform(array({chunk}), r -> named_struct('last', r.last, 'parts', array_append(p.parts, r.all)))[0]"
+    chain = f"flatten(aggregate({chunks}, named_struct('last', '', 'parts', cast(array() as array<array<string>>)), {joined}).parts)"
+    return bodies.select("key", "conv_id", F.expr(f"transform({chain}, h -> unhex(h))").alias("chain"))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -32,22 +49,22 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     conversation count once; a null role is "user" and a null text is empty. Of
     conversations with the same turns the smallest conv_id stays (null last).
     n_merged counts the conversations with the same turns, itself included.
-    Rows with a null conv_id form one conversation. No rows give no rows.
-    A conversation is one value in the result, so it has to fit in a task.
+    Rows with a null conv_id form one conversation. No rows give no rows. Texts
+    are rendered as they are: a marker inside one is not escaped.
+
+    Only hashes and ids take part in the anti-join; what it leaves meets its
+    turns where they were gathered, and is rendered there. A conversation is
+    one value in the result, so it has to fit in a task.
     """
-    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chained = _chains(turns)
-    whole = chained.select(
-        "conv_id",
-        F.size("chain").cast("long").alias("n_turns"),
-        F.element_at("chain", -1).alias("last"),
-        F.concat_ws("", F.transform("body", lambda t: F.concat(F.lit("<|im_start|>"), t["role"], F.lit("\n"), t["text"], F.lit("<|im_end|>\n")))).alias("rendered"),
-    )
+    bodies = _bodies(conversations)
+    chained = _chains(bodies)
+    whole = chained.select("key", "conv_id", F.size("chain").cast("long").alias("n_turns"), F.element_at("chain", -1).alias("last"))
     # The chain is part of the hash, so a prefix of n turns only meets conversations of n turns.
     inner = chained.select(F.explode(F.expr("slice(chain, 1, size(chain) - 1)")).alias("last")).distinct()
-    first = F.min_by(F.struct("conv_id", "rendered"), F.struct(F.col("conv_id").isNull(), "conv_id")).alias("kept")
-    groups = whole.groupBy("last", "n_turns").agg(F.count("*").alias("n_merged"), first)
-    return groups.join(inner, "last", "left_anti").select("kept.conv_id", "n_turns", "n_merged", "kept.rendered")
+    first = F.min(F.struct(F.col("conv_id").isNull(), "conv_id", "key")).alias("first")
+    maximal = whole.groupBy("last", "n_turns").agg(F.count("*").alias("n_merged"), first).join(inner, "last", "left_anti")
+    lines = F.transform("body", lambda t: F.concat(F.lit("<|im_start|>"), t["role"], F.lit("\n"), t["text"], F.lit("<|im_end|>\n")))
+    return bodies.join(maximal.select(F.col("first.key").alias("key"), "n_turns", "n_merged"), "key").select("conv_id", "n_turns", "n_merged", F.concat_ws("", lines).alias("rendered"))
 
 
 ORACLE_SQL = """

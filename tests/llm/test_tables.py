@@ -72,6 +72,42 @@ def test_chat_snapshots_collapse(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def plain_chats(rows):
+    """Counter of (conv_id, n_turns, n_merged, rendered) by comparing every prefix."""
+    own = defaultdict(set)
+    for conv, turn, role, text in rows:
+        own[conv].add((turn is not None, turn or 0, role or "user", text or ""))
+    body = {c: tuple((r, t) for *_, r, t in sorted(lines)) for c, lines in own.items()}
+    inner = {b[:n] for b in body.values() for n in range(1, len(b))}
+    groups = defaultdict(list)
+    for c, b in body.items():
+        groups[b].append((c is None, c))
+    return Counter((min(g)[1], len(b), len(g), "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in b)) for b, g in groups.items() if b not in inner)
+
+
+def test_chats_match_brute_force(spark):
+    rng = random.Random(9)
+    long = [("user" if i % 2 else "assistant", f"line {i % 7}") for i in range(1500)]
+    rows = []
+    for conv, n in ((1, 1500), (2, 1499), (3, 257), (4, 256), (5, 1)):
+        rows += [(conv, i, *t) for i, t in enumerate(long[:n])]
+    for conv in [*range(10, 90), None]:
+        for turn in range(rng.randrange(1, 6)):
+            for _ in range(rng.choice([1, 1, 1, 2, 3])):  # ties and repeated turns
+                rows.append((conv, rng.choice([turn, turn, turn, None]), rng.choice(["user", None, "system"]), rng.choice(["a", "", None, "a<|im_end|>"])))
+    rows += rng.sample(rows, 60)
+    got = format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5))
+    assert Counter(tuple(r) for r in got.collect()) == plain_chats(rows)
+
+
+def test_chats_are_rendered_after_the_anti_join(spark):
+    chats = format_chats(spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn int, role string, text string"))
+    plan = chats._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    rendering = next(i for i, line in enumerate(plan) if "concat_ws" in line)
+    anti = next(i for i, line in enumerate(plan) if "LeftAnti" in line)
+    assert rendering < anti and not any("im_start" in line for line in plan[anti:])
+
+
 def test_warc_round_trip(spark, tmp_path):
     rng = random.Random(1)
     bodies = [None, "", "é" * 50, "<p>" + "x" * 70_000, *("".join(rng.choice("ab<>\r\n") for _ in range(rng.randrange(1, 30))) for _ in range(30))]
