@@ -50,11 +50,8 @@ def _repeat_words_sql() -> str:
     clash = " or ".join(f"w[{at} + {d}] != w[{before} + {d}]" for d in range(3))
     covered = "cast(size(array_distinct(flatten(transform({starts}, p -> array(p, p + 1, p + 2))))) as long)"
     starts = f"flatten(transform(pairs, j -> array({at}, {before})))"
-    exact = (
-        "aggregate(array_sort(transform(sequence(0, size(w) - 3), i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) as s, i as i))), "
-        "named_struct('last', cast(null as string), 'at', -1, 'found', cast(array() as array<int>)), "
-        "(a, x) -> named_struct('last', x.s, 'at', x.i, 'found', if(x.s <=> a.last, concat(a.found, array(a.at, x.i)), a.found)), a -> a.found)"
-    )
+    windows = "array_sort(transform(sequence(0, size(w) - 3), i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) as s, i as i)))"
+    exact = f"flatten(transform(array({windows}), z -> flatten(transform(filter(sequence(1, size(z) - 1), j -> z[j].s = z[j - 1].s), j -> array(z[j].i, z[j - 1].i)))))"
     return (
         f"case when size(w) < 4 then 0L when size(pairs) = 0 and size(w) < {_LOW} then 0L "
         f"when size(w) >= {_LOW} or exists(pairs, j -> {clash}) then {covered.format(starts=exact)} "
@@ -63,16 +60,20 @@ def _repeat_words_sql() -> str:
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the statistics of its whole text in columns named as in _STATS; null counts as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """docs with the statistics of its whole text in columns named as in _STATS, which replace any of that name; null counts as empty.
+
+    A text of 2^24 words or more, and one whose window hashes collide, has its windows themselves sorted.
+    """
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in _STATS]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no column of docs meets one of the steps below
+    docs = docs.select(row, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
     count, pairs = _repeat_words_sql()
 
     def removed(pattern: str):
         return F.char_length("_t") - F.char_length(F.regexp_replace("_t", pattern, ""))
 
     shown = (
-        docs.withColumn("_t", text)
-        .withColumn("w", F.array_remove(F.split("_t", SPACE_CLASS), ""))
+        docs.withColumn("w", F.array_remove(F.split("_t", SPACE_CLASS), ""))
         .withColumn("lines", F.filter(F.split("_t", "\n"), lambda x: F.length(F.ltrim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0))
         .withColumn("word_chars", removed(SPACE_CLASS).cast("long"))
         .withColumn("word_chars", F.char_length("_t").cast("long") - F.col("word_chars"))
@@ -88,7 +89,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
         .withColumn("n_distinct", F.size(F.array_distinct("w")).cast("long"))
         .withColumn("n_repeat_words", F.expr(count))
-        .select(*docs.columns, *_STATS)
+        .select(*kept, *_STATS)
     )
 
 
@@ -171,8 +172,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that quality_rules keeps, all columns kept. The statistics are taken twice, so that no text is shuffled."""
+    """The rows of docs that quality_rules keeps, all columns kept. Rows are written once with their pattern of votes; no text is shuffled."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    voted = with_votes(text_statistics(docs.select(row, F.col(text_col).alias("text"))))
-    # The verdict is a join on a column that can't be null: a filter on it would be pushed down, with all statistics written out in it again and again.
-    return voted.join(F.broadcast(quality_model(voted.select("pattern")).filter("kept")), "pattern", "left_semi").select("row.*")
+    voted = durable(with_votes(text_statistics(docs.select(row, F.col(text_col).alias("text")))).select("row", "pattern"), "quality-rows")
+    return voted.join(F.broadcast(quality_model(voted).filter("kept")), "pattern", "left_semi").select("row.*")

@@ -6,7 +6,7 @@ from collections import Counter
 
 import xxhash
 
-from lodestrata.llm.quality_rules import FAILED, RULES, fit_accuracies, keep_quality, posterior, quality_rules
+from lodestrata.llm.quality_rules import FAILED, RULES, fit_accuracies, keep_quality, posterior, quality_rules, text_statistics
 from lodestrata.llm.simhash import keep_one_of_each, simhash_components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -145,3 +145,20 @@ def test_large_buckets_and_long_chains(spark):
         assert all(forest.root(x) == plain.root(x) for x in prints.tolist())
     chain = spark.createDataFrame([(i, i + 1) for i in range(-40, 60)] + [(200, 201)], "u long, v long")
     assert {tuple(r) for r in components(chain).collect()} == {(i, -40) for i in range(-40, 61)} | {(200, 200), (201, 200)}
+
+
+def test_statistics_leave_other_columns_alone(spark):
+    names = ["w", "k", "lines", "pairs", "_t", "row", "n_words"]
+    docs = spark.createDataFrame([("a b a b a b", *"1234567")], ["text", *names])
+    row = text_statistics(docs).first()
+    assert [row[c] for c in names[:-1]] == list("123456") and row.n_words == 6 and row.n_repeat_words == 6
+
+
+def test_many_words_are_judged_by_their_windows(spark, monkeypatch):
+    import lodestrata.llm.quality_rules as Q
+
+    texts = [("a b c d " * 9,), ("a b c d e f",), ("x a b c y a b c z",), ("a a a a",)]
+    docs = spark.createDataFrame(texts, "text string")
+    plain = [r.n_repeat_words for r in text_statistics(docs).collect()]
+    monkeypatch.setattr(Q, "_LOW", 1)
+    assert [r.n_repeat_words for r in text_statistics(docs).collect()] == plain == [36, 0, 6, 4]
