@@ -47,6 +47,14 @@ def test_exact_dedup(spark, block):
     assert Counter(r.doc_id for r in left.collect()) == Counter(keep.values())
 
 
+def test_names_are_places_however_the_data_is_dealt(spark):
+    pairs = [(i * 7 % 50, i) for i in range(200)]
+    expected = {p: n for n, p in enumerate(sorted(pairs))}
+    for parts in (1, 3, 9):
+        named = E._named(spark.createDataFrame(pairs, "a long, b long").repartition(parts), "t", "a", "b")
+        assert {(r.a, r.b): r.name for r in named.collect()} == expected
+
+
 def test_colliding_hash_is_noticed(spark, monkeypatch):
     honest = E._block_keys
 
