@@ -1,11 +1,13 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
 
-Candidates come from prefix filtering, which misses no pair: if all shingles
-stand in one global order, two sets of that similarity share an element among
+Fingerprints of the shingles that differ in at most 2 bits (simhash.py) give
+the first candidates. A similarity of 0.8 often changes more bits than any key
+of a fingerprint tolerates, so the rest come from prefix filtering, which
+misses no pair: if all shingles stand in one global order, two sets of that similarity share an element among
 the first n - ceil(0.8 n) + 1 of their n elements. Any order gives the same
 links; this one puts shingles last that a sketch of counts knows as frequent,
-so that common passages seldom bring texts together. Candidates are compared
-by their words.
+so that common passages seldom bring texts together. All candidates are
+compared: hashes of shingles reject, words accept.
 
 Rows that share an element are first compared with the least of them, which
 joins large groups by few comparisons. Then every pair of such rows that is
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, durable, shuffle_width
 from .recompression import word_hashes
 from .rolling import mix
-from .simhash import components
+from .simhash import components, fingerprint_batches, print_links
 
 SHINGLE_WORDS = 5
 #: Similarity of at least 4 / 5.
@@ -76,12 +78,12 @@ def shingle_hashes(texts: list[bytes]) -> list[np.ndarray]:
     return found
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row number, texts) of pieces of a batch."""
+def _chunks(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[int, list[tuple[bytes, ...]]]]:
+    """(first row number, values of the columns) of pieces of a batch."""
     held, size, start = [], 0, 0
-    for i, text in enumerate(batch.column("text")):
-        held.append(text.as_py())
-        size += len(held[-1])
+    for i, values in enumerate(zip(*(batch.column(c) for c in columns), strict=True)):
+        held.append(tuple(v.as_py() for v in values))
+        size += sum(map(len, held[-1]))
         if size >= CHUNK_BYTES:
             yield start, held
             held, size, start = [], 0, i + 1
@@ -92,8 +94,8 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        for _, texts in _chunks(batch):
-            every = np.concatenate(shingle_hashes(texts))
+        for _, texts in _chunks(batch, "text"):
+            every = np.concatenate(shingle_hashes([t for (t,) in texts]))
             counts += np.bincount((every & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
     yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_PARTS), pa.int64()), pa.array([x.astype("<i8").tobytes() for x in np.split(counts, SLOT_PARTS)], pa.binary())], ["part", "counts"])
 
@@ -127,8 +129,8 @@ def _prefix_batches(levels: np.ndarray, n_buckets: int):
         for batch in batches:
             rows = batch.column("row").to_numpy()
             made = []
-            for start, texts in _chunks(batch):
-                for row, hashes in zip(rows[start : start + len(texts)].tolist(), shingle_hashes(texts), strict=True):
+            for start, texts in _chunks(batch, "text"):
+                for row, hashes in zip(rows[start : start + len(texts)].tolist(), shingle_hashes([t for (t,) in texts]), strict=True):
                     keys, size = prefix(hashes, levels)
                     part = np.empty(len(keys), ENTRY)
                     part["key"], part["row"], part["size"], part["place"] = keys, row, size, np.arange(len(keys))
@@ -227,16 +229,21 @@ def _other_pairs(table: pa.Table) -> pa.Table:
 
 
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, own = None, set()
+    def sets(texts: list[bytes]) -> list[np.ndarray]:
+        return [np.unique(x) for x in shingle_hashes(texts)]
+
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         fit = []
-        for i, (left, right) in enumerate(zip(batch.column("left"), batch.column("right"), strict=True)):
-            if a[i] != last:
-                last, own = a[i], shingles(left.as_py())
-            if alike(own, shingles(right.as_py())):
-                fit.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in fit], pa.int64()), pa.array([b[i] for i in fit], pa.int64())], ["u", "v"])
+        for lo, rows in _chunks(batch, "left", "right"):
+            left, right = ([r[i] for r in rows] for i in (0, 1))
+            for i, (x, y) in enumerate(zip(sets(left), sets(right), strict=True)):
+                if OF * min(len(x), len(y)) < SHARE * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if OF * both >= SHARE * (len(x) + len(y) - both) and alike(shingles(left[i]), shingles(right[i])):
+                    fit.append(lo + i)
+        chosen = batch.take(pa.array(fit, pa.int64()))
+        yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], ["u", "v"])
 
 
 def _links(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
@@ -247,18 +254,28 @@ def _links(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
     return durable(met.select("a", "b", "left", "right").mapInArrow(_compare_batches, "u long, v long"), label)
 
 
+def print_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows of texts(row, text) whose fingerprints are linked: every row with the least of its fingerprint, and those with one another."""
+    prints = durable(texts.select(F.col("row").alias("doc_id"), "text").mapInArrow(fingerprint_batches(SHINGLE_WORDS), "doc_id long, fp long"), "near-prints")
+    least = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-print-groups")
+    same = prints.join(least, "fp").filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    linked = print_links(least)
+    other = linked.join(least.select(F.col("fp").alias("u"), F.col("least").alias("x")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("y")), "v")
+    return same.unionByName(other.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def near_links(texts: DataFrame) -> DataFrame:
     """Links (u, v) between rows of texts(row, text), a written table with distinct rows, that join the same rows as all links do."""
     levels, total = slot_levels(texts)
     n = max(shuffle_width(texts.sparkSession), total * ENTRY.itemsize // (OF * BUCKET_BYTES) + 1)
     sent = texts.mapInArrow(_prefix_batches(levels, n), "bucket long, entries binary")
     met = durable(sent.groupBy("bucket").applyInArrow(_star_pairs, "bucket long, a long, b long, entries binary"), "near-candidates")
-    stars = durable(met.filter("a is not null").select("a", "b").distinct(), "near-stars")
-    links = _links(stars, texts, "near-star-links")
-    joined = components(links, "near-star-components")
+    first = durable(print_pairs(texts).unionByName(met.filter("a is not null").select("a", "b")).distinct(), "near-first-pairs")
+    links = _links(first, texts, "near-first-links")
+    joined = components(links, "near-first-components")
     entries = met.filter("length(entries) > 0").select("bucket", "entries").mapInArrow(_entry_batches, "bucket long, key long, row long, size int, place int")
     rooted = entries.join(joined, entries["row"] == joined["node"], "left").select("bucket", "key", "row", "size", "place", F.coalesce("root", "row").alias("root"))
-    others = rooted.groupBy("bucket").applyInArrow(_other_pairs, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    others = rooted.groupBy("bucket").applyInArrow(_other_pairs, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     return links.unionByName(_links(durable(others, "near-others"), texts, "near-other-links"))
 
 
@@ -270,10 +287,12 @@ def keep_one_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: s
     texts are alike. Null ids are later than all others; of rows that repeat
     an id one stays.
     """
-    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    found = components(near_links(rows.select(F.col("_row").alias("row"), as_bytes(F.col(text_col)).alias("text"))), "near-components")
-    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    members = durable(rows.join(found, rows["_row"] == found["node"]).select("root", place.alias("place")), "near-members")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")  # so that no column of docs meets the number
+    rows = durable(docs.select(F.monotonically_increasing_id().alias("row"), row), "near-rows")
+    found = components(near_links(rows.select("row", as_bytes(F.col(f"own.`{text_col}`")).alias("text"))), "near-components")
+    name = F.col(f"own.`{id_col}`")
+    place = F.struct(name.isNull().alias("last"), name.alias("id"), "row")
+    members = durable(rows.join(found, rows["row"] == found["node"]).select("root", place.alias("place")), "near-members")
     first = members.groupBy("root").agg(F.min("place").alias("first"))
-    gone = members.join(first, "root").filter("place.row != first.row").select(F.col("place.row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = members.join(first, "root").filter("place.row != first.row").select("place.row")
+    return rows.join(gone, "row", "left_anti").select("own.*")

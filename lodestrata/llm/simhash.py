@@ -31,6 +31,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PARTNER = (1, 2, 0)
 SMALL_BUCKET = 64
 PAIRWISE_BUCKET = 2048
+#: Fingerprints for each partition of the search (each has some 16 keys), and nodes that a forest holds before it is sent.
+PARTITION_PRINTS = 1 << 17
+FOREST_NODES = 1 << 18
 
 
 def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -53,7 +56,7 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprint_batches(shingle_words: int):
+def fingerprint_batches(shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), shingle_words) for t in batch.column("text")], np.uint64).view(np.int64)
@@ -81,10 +84,11 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Forest:
-    """Union-find over the fingerprints that have a link so far."""
+    """Union-find over the fingerprints that have a link so far; links holds those that joined two trees."""
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
 
     def root(self, x: int) -> int:
         up = self.up
@@ -97,9 +101,10 @@ class Forest:
 
     def join(self, left: np.ndarray, right: np.ndarray) -> None:
         for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            a, b = self.root(a), self.root(b)
-            if a != b:
-                self.up[max(a, b)] = min(a, b)
+            x, y = self.root(a), self.root(b)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                self.links.append((a, b))
 
 
 def _near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
@@ -142,6 +147,12 @@ def link_sorted(bucket: np.ndarray, prints: np.ndarray, forest: Forest, max_bits
 
 
 def _link_batches(max_bits: int):
+    """Links that span what the partition's buckets link; a forest that has grown to FOREST_NODES is sent and begun anew."""
+
+    def sent(forest: Forest) -> pa.RecordBatch:
+        u, v = zip(*forest.links, strict=True) if forest.links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = Forest(), []
         for batch in batches:
@@ -154,24 +165,28 @@ def _link_batches(max_bits: int):
                 link_sorted(*(np.concatenate(x) for x in zip(*held, strict=True)), forest, max_bits)
                 held = []
             held.append((bucket[cut:], prints[cut:]))
+            if len(forest.up) >= FOREST_NODES:
+                yield sent(forest)
+                forest = Forest()
         if held:
             link_sorted(*(np.concatenate(x) for x in zip(*held, strict=True)), forest, max_bits)
-        nodes = [x for x, up in forest.up.items() if x != up]
-        roots = [forest.root(x) for x in nodes]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["u", "v"])
+        yield sent(forest)
 
     return run
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root) for every node of edges(u, v), root being the least node of its component; alternating large and small stars."""
+    """(node, root) for every node of edges(u, v), root being the least node of its component; alternating large and small stars.
+
+    The least neighbours are written, so that the joins have plain shuffles, which Spark may split where one node has very many links.
+    """
     stars = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), label)
     before = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), label)
+        large = durable(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), label)
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")), label)
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         stars = durable(small.filter("u != v").distinct(), label)
         seen = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("u")).first()
@@ -181,29 +196,39 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         before = seen
 
 
+def print_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Links (u, v) between fingerprints of distinct(fp), a written table, that differ in at most max_bits bits; they span the components of all such links."""
+    if max_bits > MAX_BITS:
+        raise ValueError("three segments find at most 2 differing bits")
+    n = max(shuffle_width(distinct.sparkSession), distinct.count() // PARTITION_PRINTS + 1)
+    keyed = distinct.select("fp").mapInArrow(_key_batches, "bucket long, fp long")
+    return keyed.repartition(n, "bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_link_batches(max_bits), "u long, v long")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable, itself included).
 
+    Ids are read as long: a column that can't be cast so is an error of Spark's.
     Null and empty texts have fingerprint zero and link like any other. Rows
     with a null id take part in links; component_id is null only where no row
     that is reachable has an id. Repeated rows give repeated rows. Other columns
     are not read. No rows give no rows.
     """
-    if max_bits > MAX_BITS:
-        raise ValueError("three segments find at most 2 differing bits")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(F.col(text_col)).alias("text"))
-    prints = durable(texts.mapInArrow(_fingerprint_batches(shingle_words), "doc_id long, fp long"), "fingerprints")
+    prints = durable(texts.mapInArrow(fingerprint_batches(shingle_words), "doc_id long, fp long"), "fingerprints")
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-groups")
-    keyed = distinct.select("fp").mapInArrow(_key_batches, "bucket long, fp long")
-    met = keyed.repartition(shuffle_width(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "fp")
-    found = components(met.mapInArrow(_link_batches(max_bits), "u long, v long"))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(classes, "root").select("fp", "component_id")
+    found = components(print_links(distinct, max_bits))
+    rooted = durable(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    classes = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "fingerprint-classes")
+    by_print = durable(rooted.join(classes, "root").select("fp", "component_id"), "fingerprint-components")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, all columns kept; rows with a null id stay only where no reachable row has an id."""
-    keep = simhash_components(docs, id_col, text_col).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi").select(*docs.columns)
+    """The rows of docs whose id is the smallest of their component, all columns kept; rows with a null id stay only where no reachable row has an id.
+
+    Rows that repeat such an id all stay. Other columns of docs may have any name.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keep = simhash_components(docs, id_col, text_col).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.select(row).join(keep, F.col(f"row.`{id_col}`").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
