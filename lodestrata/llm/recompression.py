@@ -187,14 +187,44 @@ class RecompressionStrategy:
 
     def earlier(self, texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
         """Windows by their words; texts come in ascending order of ids, so the first owner of a window has the smallest id."""
+        joined = b" ".join(texts)
+        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(joined))
+        counts = np.array([self.n_windows(t) for t in texts])
+        before = np.cumsum(counts) - counts
+        # A text's windows end at its last word: the words of the texts before it are their windows and window - 1 more each.
+        at = np.arange(int(counts.sum())) + np.repeat(np.arange(len(texts)) * (self.window - 1), counts)
         first: dict[bytes, int] = {}
-        out = []
-        for text, own in zip(texts, ids.tolist(), strict=True):
-            gaps = [i for i, c in enumerate(text) if c == 32]
-            starts, ends = [0, *(g + 1 for g in gaps)], [*gaps, len(text)]
-            seen = [first.setdefault(text[a:b], own) < own for a, b in zip(starts, ends[self.window - 1 :], strict=False)]
-            out.append(np.flatnonzero(seen))
-        return out
+        owners = np.repeat(ids, counts).tolist()
+        seen = [first.setdefault(joined[a:b], own) < own for a, b, own in zip(starts[at].tolist(), ends[at + self.window - 1].tolist(), owners, strict=True)]
+        return [np.flatnonzero(x) for x in np.split(np.array(seen, bool), before[1:])]
+
+    def finer(self) -> WindowStrategy | None:
+        return WindowStrategy(self.window)
+
+
+class WindowUnits(WordUnits):
+    def runs(self) -> Runs:
+        """Each window is a run of its own, named by its words."""
+        words = word_hashes(self.values, self.starts, self.ends)
+        counts = np.maximum(self.counts - self.window + 1, 0)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        first = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = self.first[doc] + first
+        name = np.zeros(len(at), np.uint64)
+        for i in range(self.window):
+            name = mix(name * _PAIR + words[at + i])
+        return Runs(doc, first, first, name)
+
+
+class WindowStrategy(RecompressionStrategy):
+    """Whole windows as names, for what recompression names alike very often."""
+
+    def units(self, texts: list[bytes]) -> WindowUnits:
+        return WindowUnits(texts, self.window, 0)
+
+    def finer(self) -> None:
+        return None
 
 
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

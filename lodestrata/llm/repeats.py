@@ -5,29 +5,39 @@ window of a document by something that depends on the window's contents alone,
 so that equal windows have equal names wherever they stand; neighbouring
 windows mostly share their name and form a run.
 
-1. Documents are packed into blocks of a few MB, written once.
-2. Each block sends the hashes of its names, each once; buckets of hashes say
-   which names more than one document has. (A third of all rows with the same
+1. Documents are packed into blocks, written once.
+2. Each block sends the hashes of its names, each once, with how many runs it
+   has; parts of them say which names more than one document has, and which of
+   those are hot: held by very many runs. (A third of all rows with the same
    text send one hash a block.)
-3. Each block sends the text of the runs whose name came back, packed by
-   bucket; runs that repeat inside a block are settled there, the first one is
-   sent. In a bucket, the strategy decides window by window what an earlier
-   document has: names only bring texts together, contents decide.
-4. Verdicts return to their blocks, which apply them.
+3. Each block sends the text of the runs whose name came back; runs that repeat
+   inside a block are settled there, the first one is sent. In a part, the
+   strategy decides window by window what an earlier document has: names only
+   bring texts together, contents decide.
+4. Runs of hot names, a phrase that very many texts hold, aren't judged under
+   that name: each block's distinct ones are a smaller block, which goes through
+   the steps again with the strategy's finer names, so that what surrounds the
+   phrase sends it to different places. The finest name is a whole window's; a
+   block sends such a window once.
+5. Verdicts return to their blocks, which apply them.
 
 Names and texts are sent in proportion to the input; no pair of documents is
-ever listed. Buckets grow in number with the data.
+ever listed. A block sends a row to each part it has something for. Blocks and
+parts both grow with the input, up to 64 and 128 MB, so that the number of rows
+grows with its square only where it is small: a row, some 60 bytes, stands for
+1 KB of input at 30 GB, for 4 KB at 1 TB and for 80 bytes at 100 TB.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,8 +46,13 @@ from pyspark.sql import functions as F
 from .common import as_bytes, durable, shuffle_width
 from .rolling import mix
 
-BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 2 << 20
+#: (least, most) bytes of text in a block and in a part, and the share of the input that they are in between.
+BLOCK_BYTES, BLOCK_SHARE = (4 << 20, 64 << 20), 1 << 16
+PART_BYTES, PART_SHARE = (8 << 20, 128 << 20), 1 << 14
+#: Texts of a part that are judged at once.
+JUDGED_BYTES = 4 << 20
+#: Runs from which on a name is hot.
+HOT_RUNS = 1 << 14
 #: Rows without an id are later than all others and never earlier than one another.
 NO_ID = np.iinfo(np.int64).max
 
@@ -70,36 +85,77 @@ class Strategy(Protocol):
 
     def units(self, texts: list[bytes]) -> Units: ...
 
+    def n_windows(self, text: bytes) -> int: ...
+
     def earlier(self, texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
         """For each text, in ascending order of ids, the numbers of its windows that a text with a smaller id has."""
 
+    def finer(self) -> Strategy | None:
+        """The same windows with names that fewer of them share; None where a name is a whole window's."""
+
+
+def _shut(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _open(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+class Texts(NamedTuple):
+    """Texts with their owners' ids, and where they stand: in which document of their block, from which unit on. sub is a hash that tells them apart inside a part."""
+
+    ids: np.ndarray
+    doc: np.ndarray
+    first: np.ndarray
+    sub: np.ndarray
+    ends: np.ndarray
+    joined: bytes
+
+    def shut(self) -> bytes:
+        return _shut(struct.pack("<q", len(self.ids)), *(x.astype("<i8").tobytes() for x in self[:3]), self.sub.astype("<u2").tobytes(), self.ends.astype("<i8").tobytes(), self.joined)
+
+    def some(self, at: np.ndarray) -> list[bytes]:
+        joined, starts = self.joined, np.concatenate([[0], self.ends[:-1]])
+        return [joined[a:b] for a, b in zip(starts[at].tolist(), self.ends[at].tolist(), strict=True)]
 
-def _shut(value: object) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, 5))
 
+def _texts(ids: np.ndarray, doc: np.ndarray, first: np.ndarray, sub: np.ndarray, texts: list[bytes]) -> Texts:
+    return Texts(ids, doc, first, sub, np.cumsum([len(t) for t in texts]), b"".join(texts))
 
-def _open(blob: bytes) -> object:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+
+def _open_texts(blob: bytes) -> Texts:
+    data = _open(blob)
+    n = struct.unpack_from("<q", data)[0]
+    at, columns = 8, []
+    for kind in ("<i8", "<i8", "<i8", "<u2", "<i8"):
+        columns.append(np.frombuffer(data, kind, n, at))
+        at += columns[-1].nbytes
+    return Texts(*columns, data[at:])
 
 
 def _block_batches(block_bytes: int):
-    def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lengths = np.array([len(t) for t in batch.column("body").to_pylist()], np.int64)
-        numbers = (np.cumsum(lengths) - lengths) // block_bytes
-        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi > lo:
-                yield batch.slice(lo, hi - lo), int(lengths[lo:hi].sum())
+    def block(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in parts:
+                out.write_batch(part)
+        return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        held, size = [], 0
         for batch in batches:
-            for part, size in blocks(batch):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(part)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "size": pa.array([size], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-                number += 1
+            start = 0
+            for i, n in enumerate(pc.binary_length(batch.column("body")).to_pylist(), 1):
+                size += n
+                if size >= block_bytes:
+                    yield block(number, [*held, batch.slice(start, i - start)])
+                    number, held, size, start = number + 1, [], 0, i
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield block(number, held)
 
     return run
 
@@ -110,41 +166,53 @@ def _load(blob: bytes) -> tuple[pa.Table, np.ndarray, list[bytes]]:
     return table, ids, table.column("body").to_pylist()
 
 
-def _buckets(names: np.ndarray, n: int, salt: int) -> np.ndarray:
+def _load_block(blob: bytes, nested: bool) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(ids, texts, document, first unit) of a block of documents or, nested, of runs."""
+    if nested:
+        held = _open_texts(blob)
+        return held.ids, held.some(np.arange(len(held.ids))), held.doc, held.first
+    _, ids, texts = _load(blob)
+    return ids, texts, np.arange(len(ids)), np.zeros(len(ids), np.int64)
+
+
+def _parts(names: np.ndarray, n: int, salt: int) -> np.ndarray:
     return (mix(names + np.uint64(salt)) >> np.uint64(20)).astype(np.int64) % n
 
 
-def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, row numbers in ascending order) of every bucket that occurs."""
-    if not len(buckets):
+def _by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, row numbers in ascending order) of every part that occurs."""
+    if not len(parts):
         return
-    order = np.argsort(buckets, kind="stable")
-    sorted_buckets = buckets[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_buckets[1:] != sorted_buckets[:-1]]))
-    yield from zip(sorted_buckets[starts].tolist(), np.split(order, starts[1:]), strict=True)
+    order = np.argsort(parts, kind="stable")
+    in_order = parts[order]
+    starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+    yield from zip(in_order[starts].tolist(), np.split(order, starts[1:]), strict=True)
+
+
+OWN = 0x80
 
 
 def _block_names(units: Units, ids: np.ndarray) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
-    """(runs, sorted distinct names, place of each run's name among them, whether rows with different ids have the name)."""
+    """(runs, sorted distinct names, place of each run's name among them, a byte for each name: logarithm of its number of runs, and OWN if rows with different ids have it)."""
     runs = units.runs()
-    names, place = np.unique(runs.name, return_inverse=True)
+    names, place, often = np.unique(runs.name, return_inverse=True, return_counts=True)
     least, most = np.full(len(names), NO_ID), np.full(len(names), np.iinfo(np.int64).min)
     owners = ids[runs.doc]
     np.minimum.at(least, place, owners)
     np.maximum.at(most, place, owners)
-    return runs, names, place, least != most
+    return runs, names, place, np.log2(often).astype(np.uint8) | np.where(least != most, OWN, 0).astype(np.uint8)
 
 
-def _send_names(strategy: Strategy, n_buckets: int):
+def _send_names(strategy: Strategy, nested: bool, n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("docs"), strict=True):
-                _, ids, texts = _load(blob.as_py())
-                _, names, _, shared = _block_names(strategy.units(texts), ids)
-                rows = [(b, block, pickle.dumps((_six(names[at]), np.packbits(shared[at])), 5)) for b, at in _by_bucket(_buckets(names, n_buckets, 1))]
+                ids, texts, *_ = _load_block(blob.as_py(), nested)
+                _, names, _, marks = _block_names(strategy.units(texts), ids)
+                rows = [(p, block, _six(names[at]) + marks[at].tobytes()) for p, at in _by_part(_parts(names, n_parts, 1))]
                 if rows:
-                    b, own, blobs = map(list, zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(own, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "names"])
+                    p, own, blobs = map(list, zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(own, pa.int64()), pa.array(blobs, pa.binary())], ["part", "block", "names"])
 
     return run
 
@@ -154,90 +222,140 @@ def _six(names: np.ndarray) -> bytes:
     return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _shared_names(table: pa.Table) -> pa.Table:
-    parts = [pickle.loads(x) for x in table.column("names").to_pylist()]
-    counts = [len(six) // 6 for six, _ in parts]
-    wide = np.zeros((sum(counts), 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(six for six, _ in parts), np.uint8).reshape(-1, 6)
-    own = np.concatenate([np.unpackbits(bits, count=n) for (_, bits), n in zip(parts, counts, strict=True)])
-    _, place, often = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
-    shared = (own > 0) | (often[place] > 1)
-    flags = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(counts)[:-1])]
-    return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "flags": pa.array(flags, pa.binary())})
+def _shared_names(hot_runs: int):
+    """Two rows of bits for each block's names: those that more than one document has, and the hot ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs = table.column("names").to_pylist()
+        counts = [len(x) // 7 for x in blobs]
+        wide = np.zeros((sum(counts), 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(x[: 6 * n] for x, n in zip(blobs, counts, strict=True)), np.uint8).reshape(-1, 6)
+        marks = np.frombuffer(b"".join(x[6 * n :] for x, n in zip(blobs, counts, strict=True)), np.uint8)
+        _, place, often = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
+        shared = (marks >= OWN) | (often[place] > 1)
+        runs = np.bincount(place, np.exp2((marks & (OWN - 1)).astype(float)))
+        hot = runs[place] >= hot_runs
+        cuts = np.cumsum(counts)[:-1]
+        flags = [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(shared, cuts), np.split(hot, cuts), strict=True)]
+        return pa.table({"part": table.column("part"), "block": table.column("block"), "flags": pa.array(flags, pa.binary())})
+
+    return run
+
+
+#: What a row of a part or of its verdicts holds.
+RUNS, SETTLED, HOT = range(3)
 
 
-def _send_runs(strategy: Strategy, name_buckets: int, n_buckets: int):
-    """Rows (bucket, block, settled, blob): runs for a bucket, or verdicts that a block reached by itself."""
+def _send_runs(strategy: Strategy, nested: bool, n_parts: int, has_finer: bool):
+    """Rows (part, block, kind, held): runs for a part, verdicts that a block reached by itself, or its runs of hot names."""
 
     def run(block: pa.Table, flags: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, bool, bytes]] = []
+        rows: list[tuple[int, int, int, bytes]] = []
         for number, blob in zip(block.column("block").to_pylist(), block.column("docs"), strict=True):
-            _, ids, texts = _load(blob.as_py())
+            ids, texts, doc_of, first_of = _load_block(blob.as_py(), nested)
             units = strategy.units(texts)
             runs, names, place, _ = _block_names(units, ids)
-            shared = np.zeros(len(names), bool)
-            by_bucket = dict(zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist(), strict=True))
-            for b, at in _by_bucket(_buckets(names, name_buckets, 1)):
-                shared[at] = np.unpackbits(np.frombuffer(by_bucket[b], np.uint8), count=len(at)) > 0
+            shared, hot = np.zeros(len(names), bool), np.zeros(len(names), bool)
+            by_part = dict(zip(flags.column("part").to_pylist(), flags.column("flags").to_pylist(), strict=True))
+            for p, at in _by_part(_parts(names, n_parts, 1)):
+                bits = np.frombuffer(by_part[p], np.uint8)
+                shared[at] = np.unpackbits(bits[: len(bits) // 2], count=len(at)) > 0
+                hot[at] = np.unpackbits(bits[len(bits) // 2 :], count=len(at)) > 0
             chosen = np.flatnonzero(shared[place])
             chosen = chosen[np.argsort(ids[runs.doc[chosen]], kind="stable")]
-            doc, first, last = runs.doc[chosen], runs.first[chosen], runs.last[chosen]
-            found = [units.text(*x) for x in zip(doc.tolist(), first.tolist(), last.tolist(), strict=True)]
-            owner, seen = ids[doc].tolist(), {}
+            local, first, last = runs.doc[chosen], runs.first[chosen], runs.last[chosen]
+            found = [units.text(*x) for x in zip(local.tolist(), first.tolist(), last.tolist(), strict=True)]
+            owners, doc = ids[local], doc_of[local]
+            first, last = first + first_of[local], last + first_of[local]
+            owner, seen = owners.tolist(), {}
             settled = np.array([owner[seen.setdefault(t, i)] < owner[i] for i, t in enumerate(found)], bool)
             if settled.any():
-                rows.append((number % n_buckets, number, True, _shut((doc[settled], first[settled], last[settled]))))
-            sent = np.flatnonzero(~settled)
-            for b, at in _by_bucket(_buckets(runs.name[chosen][sent], n_buckets, 2)):
-                at = sent[at]
-                rows.append((b, number, False, _shut((ids[doc[at]], doc[at].astype(np.int32), first[at].astype(np.int64), [found[i] for i in at.tolist()]))))
-        bucket, own, done, blobs = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.table({"bucket": pa.array(bucket, pa.int64()), "block": pa.array(own, pa.int64()), "settled": pa.array(done, pa.bool_()), "runs": pa.array(blobs, pa.binary())})
+                rows.append((number % n_parts, number, SETTLED, _shut_verdicts(doc[settled], first[settled], last[settled])))
+            name = runs.name[chosen]
+            sub = (mix(name + np.uint64(3)) >> np.uint64(40)).astype(np.uint16)
+
+            def picked(at: np.ndarray) -> bytes:
+                return _texts(owners[at], doc[at], first[at], sub[at], [found[i] for i in at.tolist()]).shut()
+
+            apart = hot[place[chosen]] if has_finer else np.zeros(len(chosen), bool)
+            sent = np.flatnonzero(~settled & ~apart)
+            rows += [(p, number, RUNS, picked(sent[at])) for p, at in _by_part(_parts(name[sent], n_parts, 2))]
+            if len(at := np.flatnonzero(~settled & apart)):
+                rows.append((number % n_parts, number, HOT, picked(at)))
+        part, own, kind, held = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.table({"part": pa.array(part, pa.int64()), "block": pa.array(own, pa.int64()), "kind": pa.array(kind, pa.int32()), "held": pa.array(held, pa.binary())})
 
     return run
 
 
+def _shut_verdicts(*columns: np.ndarray) -> bytes:
+    """Columns are documents, first and last windows."""
+    return _shut(*(x.astype("<i8").tobytes() for x in columns))
+
+
+def _open_verdicts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(_open(blob), "<i8").reshape(3, -1)
+
+
 def _spans(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last of each stretch of consecutive ascending numbers."""
     cut = np.flatnonzero(np.diff(windows) != 1)
     return windows[np.concatenate([[0], cut + 1])], windows[np.concatenate([cut, [len(windows) - 1]])]
 
 
-def _judge_bucket(strategy: Strategy):
+def _judge(strategy: Strategy, ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """(text number, first, last) of windows that a text with a smaller id has."""
+    order = np.argsort(ids, kind="stable").tolist()
+    place: dict[bytes, int] = {}
+    members: list[list[int]] = []  # texts that are the same and have their smallest id
+    whole: list[tuple[int, int]] = []  # (text, place): a smaller id has all of it
+    for i in order:
+        p = place.setdefault(texts[i], len(members))
+        if p == len(members):
+            members.append([i])
+        elif ids[members[p][0]] < ids[i]:
+            whole.append((i, p))
+        else:
+            members[p].append(i)
+    distinct = list(place)
+    for p, earlier in enumerate(strategy.earlier(distinct, ids[[m[0] for m in members]])):
+        if len(earlier):
+            for lo, hi in zip(*(x.tolist() for x in _spans(earlier)), strict=True):
+                for i in members[p]:
+                    yield i, lo, hi
+    for i, p in whole:
+        yield i, 0, strategy.n_windows(distinct[p]) - 1
+
+
+def _judge_part(strategy: Strategy, judged_bytes: int):
+    """Rows (block, hot, held): verdicts, or the runs of hot names as they came."""
+
     def run(table: pa.Table) -> pa.Table:
-        settled = [(b, x) for b, done, x in zip(table.column("block").to_pylist(), table.column("settled").to_pylist(), table.column("runs").to_pylist(), strict=True) if done]
-        sent = [(b, _open(x)) for b, done, x in zip(table.column("block").to_pylist(), table.column("settled").to_pylist(), table.column("runs").to_pylist(), strict=True) if not done]
-        verdicts: dict[int, list[tuple[int, int, int]]] = {}
-        if sent:
-            ids = np.concatenate([x[0] for _, x in sent])
-            doc = np.concatenate([x[1] for _, x in sent])
-            first = np.concatenate([x[2] for _, x in sent])
-            block = np.repeat([b for b, _ in sent], [len(x[0]) for _, x in sent]).tolist()
-            texts = [t for _, x in sent for t in x[3]]
-            order = np.argsort(ids, kind="stable").tolist()
-            place: dict[bytes, int] = {}
-            members: list[list[int]] = []  # runs that have the text and its smallest id
-            whole: list[tuple[int, int]] = []  # (run, place): a smaller id has all of it
-            for i in order:
-                p = place.setdefault(texts[i], len(members))
-                if p == len(members):
-                    members.append([i])
-                elif ids[members[p][0]] < ids[i]:
-                    whole.append((i, p))
-                else:
-                    members[p].append(i)
-            distinct = list(place)
-            windows = [0] * len(distinct)
-            for p, earlier in enumerate(strategy.earlier(distinct, ids[[m[0] for m in members]])):
-                windows[p] = strategy.n_windows(distinct[p])
-                if len(earlier):
-                    for lo, hi in zip(*(x.tolist() for x in _spans(earlier)), strict=True):
-                        for i in members[p]:
-                            verdicts.setdefault(block[i], []).append((doc[i], first[i] + lo, first[i] + hi))
-            for i, p in whole:
-                verdicts.setdefault(block[i], []).append((doc[i], first[i], first[i] + windows[p] - 1))
-        made = [(b, _shut(tuple(np.array(c, np.int64) for c in zip(*v, strict=True)))) for b, v in verdicts.items()] + settled
-        return pa.table({"block": pa.array([b for b, _ in made], pa.int64()), "verdicts": pa.array([v for _, v in made], pa.binary())})
+        rows, sent, blocks = [], [], []
+        for block, kind, held in zip(table.column("block").to_pylist(), table.column("kind").to_pylist(), table.column("held").to_pylist(), strict=True):
+            if kind == RUNS:
+                sent.append(_open_texts(held))
+                blocks.append(block)
+            else:
+                rows.append((block, kind == HOT, held))
+        # Texts are taken up a share at a time; those of a name are in one share.
+        n = sum(len(x.joined) for x in sent) // judged_bytes + 1
+        made: list[np.ndarray] = []
+        for k in range(n if sent else 0):
+            picks = [np.flatnonzero(x.sub % n == k) for x in sent]
+            if not any(map(len, picks)):
+                continue
+            ids, doc, first = (np.concatenate([getattr(x, c)[at] for x, at in zip(sent, picks, strict=True)]) for c in ("ids", "doc", "first"))
+            source = np.repeat(np.arange(len(sent)), [len(at) for at in picks])
+            texts = [t for x, at in zip(sent, picks, strict=True) for t in x.some(at)]
+            if verdicts := list(_judge(strategy, ids, texts)):
+                i, lo, hi = np.array(verdicts, np.int64).T
+                made.append(np.stack([source[i], doc[i], first[i] + lo, first[i] + hi]))
+        if made:
+            source, *columns = np.concatenate(made, axis=1)
+            rows += [(blocks[k], False, _shut_verdicts(*(c[at] for c in columns))) for k, at in _by_part(source)]
+        block, hot, held = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"block": pa.array(block, pa.int64()), "hot": pa.array(hot, pa.bool_()), "held": pa.array(held, pa.binary())})
 
     return run
 
@@ -251,8 +369,8 @@ def _apply(strategy: Strategy, carry: pa.DataType, with_text: bool):
             counts = units.counts
             offset = np.cumsum(counts) - counts
             edge = np.zeros(int(counts.sum()) + 1, np.int64)
-            for v in verdicts.column("verdicts").to_pylist():
-                doc, first, last = _open(v)
+            for v in verdicts.column("held").to_pylist():
+                doc, first, last = _open_verdicts(v)
                 np.add.at(edge, offset[doc] + first, 1)
                 np.add.at(edge, offset[doc] + last + strategy.window, -1)
             mask = np.cumsum(edge[:-1]) > 0
@@ -273,23 +391,46 @@ def _apply(strategy: Strategy, carry: pa.DataType, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, strategy: Strategy, id_col: str, text_col: str, carry: list[str], *, with_text: bool, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per row of docs: carry (a struct of these columns), n_units, n_removed, n_spans, kept_sha256, kept_text (null unless asked for)."""
-    from pyspark.sql.pandas.types import to_arrow_type
+def _between(limits: tuple[int, int], wanted: int) -> int:
+    return min(limits[1], max(limits[0], wanted))
 
-    spark = docs.sparkSession
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry"), F.col(id_col).cast("long").alias("id"), as_bytes(F.col(text_col)).alias("body"))
-    carried = packed.schema["carry"].dataType
-    blocks = durable(packed.mapInArrow(_block_batches(block_bytes), "block long, size long, docs binary"), "repeat-blocks")
-    size = blocks.agg(F.sum("size")).first()[0] or 0
-    n = max(shuffle_width(spark), size // bucket_bytes + 1)
-    blocks = blocks.select("block", "docs")
+
+def _verdicts(blocks: DataFrame, strategy: Strategy, nested: bool, size: int, part_bytes: int, judged_bytes: int, hot_runs: int) -> DataFrame:
+    """(block, held): the verdicts on all windows of blocks(block, docs), which hold size bytes."""
+    n = max(shuffle_width(blocks.sparkSession), size // part_bytes + 1)
+    finer = strategy.finer()
     flags = (
-        blocks.mapInArrow(_send_names(strategy, n), "bucket long, block long, names binary")
-        .groupBy("bucket")
-        .applyInArrow(_shared_names, "bucket long, block long, flags binary")
+        blocks.mapInArrow(_send_names(strategy, nested, n), "part long, block long, names binary")
+        .groupBy("part")
+        .applyInArrow(_shared_names(hot_runs), "part long, block long, flags binary")
     )
-    runs = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send_runs(strategy, n, n), "bucket long, block long, settled boolean, runs binary")
-    verdicts = runs.groupBy("bucket").applyInArrow(_judge_bucket(strategy), "block long, verdicts binary")
+    runs = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send_runs(strategy, nested, n, finer is not None), "part long, block long, kind int, held binary")
+    judged = durable(runs.groupBy("part").applyInArrow(_judge_part(strategy, judged_bytes), "block long, hot boolean, held binary"), "repeat-verdicts")
+    found = judged.filter("not hot").select("block", "held")
+    if finer is None:
+        return found
+    hot = judged.filter("hot").select("block", F.col("held").alias("docs"))
+    left = hot.agg(F.sum(F.length("docs"))).first()[0]
+    # Texts shrink to a third or so when shut.
+    return found if left is None else found.unionByName(_verdicts(hot, finer, True, 3 * left, part_bytes, judged_bytes, hot_runs))
+
+
+def remove_repeats(
+    docs: DataFrame, strategy: Strategy, id_col: str, text_col: str, carry: list[str], *, with_text: bool,
+    block_bytes: int | None = None, part_bytes: int | None = None, judged_bytes: int = JUDGED_BYTES, hot_runs: int = HOT_RUNS,
+) -> DataFrame:
+    """One row per row of docs: carry (a struct of these columns), n_units, n_removed, n_spans, kept_sha256, kept_text (null unless asked for).
+
+    Ids are read as long: a column that can't be cast so is an error of Spark's.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry"), F.col(f"`{id_col}`").cast("long").alias("id"), as_bytes(F.col(f"`{text_col}`")).alias("body"))
+    carried = packed.schema["carry"].dataType
+    size = packed.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    block_bytes = block_bytes or _between(BLOCK_BYTES, size // BLOCK_SHARE)
+    part_bytes = part_bytes or _between(PART_BYTES, size // PART_SHARE)
+    blocks = durable(packed.mapInArrow(_block_batches(block_bytes), "block long, docs binary"), "repeat-blocks")
+    verdicts = _verdicts(blocks, strategy, False, size, part_bytes, judged_bytes, hot_runs)
     schema = f"carry {carried.simpleString()}, n_units long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     return blocks.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_apply(strategy, to_arrow_type(carried), with_text), schema)

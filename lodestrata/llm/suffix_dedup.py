@@ -1,11 +1,14 @@
 """Removal of repeated byte strings with longest-previous-factor arrays.
 
-All windows of 50 bytes are brought to shards by their least 20-byte hash (see
-repeats.py), so windows with equal bytes meet. A shard sorts the suffixes of
-its texts up to 50 bytes deep by prefix doubling. In that order, the previous
-and the next position with a smaller owner (a document with a smaller id) are
-the best earlier matches of a window; where one of them shares all 50 bytes,
-the window is a later copy. The first copy has none, and stays.
+All windows of 50 bytes are brought to parts by their least 20-byte hash (see
+repeats.py), so windows with equal bytes meet. There the suffixes of the texts
+are sorted up to 50 bytes deep by prefix doubling, and the common prefix of each
+suffix with the one before it is read off the ranks. In that order, the previous
+and the next place with a smaller owner (a document with a smaller id) are the
+best earlier matches of a suffix; the least common prefix on the way to either
+is how long that match is, and the longer one is its longest previous factor.
+Where that reaches 50 bytes, the window is a later copy. The first copy has a
+shorter one, and stays.
 """
 
 from __future__ import annotations
@@ -22,23 +25,46 @@ GRAM_BYTES = 20
 _PLACE = np.uint64(PIECE - 1)
 
 
-def prefix_ranks(text: np.ndarray, depth: int, at: np.ndarray) -> np.ndarray:
-    """Dense ranks, in suffix order up to depth bytes, of the suffixes at the given places, each of which has depth bytes."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    known = min(depth, 8)
-    key = np.zeros(n, np.uint64)
-    for b in range(known):
-        key = key << np.uint64(8) | padded[b : b + n]
-    while known < depth:
-        rank = _dense(key)
-        step = min(known, depth - known)
-        if known + step == depth:
-            return _dense(rank[at] << np.uint64(32) | rank[at + step])
-        later = np.zeros(n, np.uint64)
-        later[: n - step] = rank[step:]
-        key, known = rank << np.uint64(32) | later, known + step
-    return _dense(key[at])
+class SuffixOrder:
+    """Suffixes of text at the given places, each of which has depth bytes, in order of these bytes."""
+
+    def __init__(self, text: np.ndarray, depth: int, at: np.ndarray) -> None:
+        n = len(text)
+        padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+        self.depth, known = depth, min(depth, 8)
+        key = np.zeros(n, np.uint64)
+        for b in range(8):
+            key = key << np.uint64(8) | padded[b : b + n]
+        self.heads = key  # the 8 bytes from each place on
+        self.ranks: list[tuple[int, np.ndarray]] = []  # (bytes looked at, dense rank of each place)
+        if known < depth:
+            key = _dense(key)
+            self.ranks.append((8, key))
+        while 2 * known < depth:
+            later = np.zeros(n, np.uint64)
+            later[: n - known] = key[known:]
+            key, known = _dense(key << np.uint64(32) | later), 2 * known
+            self.ranks.append((known, key))
+        whole = key[at] << np.uint64(32) | key[at + depth - known] if self.ranks else key[at] >> np.uint64(64 - 8 * depth)
+        self.order = np.argsort(whole, kind="stable")
+        self.places, whole = at[self.order], whole[self.order]
+        self.same = np.concatenate([np.zeros(min(1, len(at)), bool), whole[1:] == whole[:-1]])  # as the suffix before it, depth bytes long
+
+    def common(self) -> np.ndarray:
+        """Length of the common prefix of each suffix with the one before it, up to depth; 0 for the first."""
+        length = np.where(self.same, self.depth, 0)
+        todo = np.flatnonzero(~self.same)[1:]
+        a, b = self.places[todo - 1], self.places[todo]
+        end = len(self.heads) - 1
+        for size, rank in reversed(self.ranks):
+            step = np.where(rank[np.minimum(a, end)] == rank[np.minimum(b, end)], size, 0)
+            a, b = a + step, b + step
+        differ = self.heads[np.minimum(a, end)] ^ self.heads[np.minimum(b, end)]
+        same_bytes = np.zeros(len(todo), np.int64)
+        for k in range(8):
+            same_bytes += differ < np.uint64(1 << (64 - 8 * (k + 1)))
+        length[todo] = np.minimum(b - self.places[todo] + same_bytes, self.depth)
+        return length
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -49,34 +75,33 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def previous_smaller(values: np.ndarray) -> np.ndarray:
-    """For each place the nearest one before it with a smaller value, or -1; by pointer jumping."""
-    before = np.arange(-1, len(values) - 1)
+def previous_smaller(values: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one before it with a smaller value, or -1, and the least of common on the way there (0 without one); by pointer jumping. common belongs to a place and the one before it."""
+    before, least = np.arange(-1, len(values) - 1), common.copy()
     todo = np.flatnonzero((before >= 0) & (values[before] >= values))
     while len(todo):
-        before[todo] = before[before[todo]]
-        to = before[todo]
+        over = before[todo]
+        least[todo] = np.minimum(least[todo], least[over])
+        before[todo] = to = before[over]
         todo = todo[(to >= 0) & (values[to] >= values[todo])]
-    return before
+    return before, np.where(before >= 0, least, 0)
 
 
-def next_smaller(values: np.ndarray) -> np.ndarray:
-    """For each place the nearest one after it with a smaller value, or their number."""
-    return (len(values) - 1 - previous_smaller(values[::-1]))[::-1]
+def next_smaller(values: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As previous_smaller, for the nearest one after it, or the number of places."""
+    turned = np.concatenate([common[:1] * 0, common[:0:-1]])
+    after, least = previous_smaller(values[::-1], turned)
+    return (len(values) - 1 - after)[::-1], least[::-1]
 
 
-def has_previous_factor(text: np.ndarray, owners: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Whether the longest previous factor at each place, taken over places of smaller owners, reaches depth."""
-    rank = prefix_ranks(text, depth, at)
-    order = np.lexsort((owners, rank))
-    rank, value = rank[order], owners[order]
-    n = len(order)
-    lower, upper = previous_smaller(value), next_smaller(value)
+def longest_previous_factors(text: np.ndarray, owners: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """For the suffix at each place, the length of its longest prefix, up to depth, that a suffix of a smaller owner has."""
+    suffixes = SuffixOrder(text, depth, at)
+    common, value = suffixes.common(), owners[suffixes.order]
     # Common prefixes shrink with distance in suffix order, so the two neighbours hold the longest one.
-    reached = (lower >= 0) & (rank[np.maximum(lower, 0)] == rank) | (upper < n) & (rank[np.minimum(upper, n - 1)] == rank)
-    out = np.zeros(n, bool)
-    out[order] = reached
-    return out
+    found = np.empty(len(at), np.int64)
+    found[suffixes.order] = np.maximum(previous_smaller(value, common)[1], next_smaller(value, common)[1])
+    return found
 
 
 class ByteUnits:
@@ -149,8 +174,12 @@ class SuffixArrayStrategy:
         before = np.cumsum(counts) - counts
         at = np.arange(int(counts.sum())) + np.repeat(starts - before, counts)
         owners = np.cumsum(np.concatenate([[0], np.diff(ids) != 0]))
-        found = has_previous_factor(joined, np.repeat(owners, counts), at, self.window)
-        return [np.flatnonzero(x) for x in np.split(found, before[1:])]
+        found = longest_previous_factors(joined, np.repeat(owners, counts), at, self.window)
+        return [np.flatnonzero(x) for x in np.split(found >= self.window, before[1:])]
+
+    def finer(self) -> SuffixArrayStrategy | None:
+        """Grams twice as long, then whole windows."""
+        return SuffixArrayStrategy(self.window, 2 * self.gram) if self.gram < self.window else None
 
 
 def remove_repeated_bytes(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
