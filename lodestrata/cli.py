@@ -14,6 +14,7 @@ from .limits import PROFILES
 from .report.render import NAME, RENDERERS, VERSION, exit_code, report_of
 from .rules import RULES, show
 from .schemas import SEVERITIES
+from .storage import clean
 
 HELP = f"""{NAME}: static inspection of source repositories
 
@@ -130,9 +131,12 @@ def main(args: list[str] | None = None) -> int:
         print(f"{NAME} doctor\nPlatform: {platform.system().lower()}-{platform.machine()}\nScanner: {VERSION}\nRepository scans: offline; target code is not executed")
     else:
         spark = SparkSession.builder.appName(NAME).getOrCreate()
-        if command == "diff":
-            return _diff(spark, given["range"])
-        report = scan(spark, given["path"], "quick" if given["quick"] else "deep" if given["deep"] else "default", given["history"])
+        try:
+            if command == "diff":
+                return _diff(spark, given["range"])
+            report = scan(spark, given["path"], "quick" if given["quick"] else "deep" if given["deep"] else "default", given["history"])
+        finally:
+            clean(spark)
         print(RENDERERS[given["format"]](report), end="")
         return exit_code(report, given["fail_on"])
     return 0

@@ -238,6 +238,21 @@ class Parser:
             return self.variables(start, True)
         return None
 
+    def declares_resource(self, using: Token) -> bool:
+        """Whether the token `using` begins a declaration: a name follows on its line."""
+        after = self._scan(using.end)
+        return using.kind == "name" and using.value == "using" and after.kind == "name" and not after.newline and after.value not in ("in", "instanceof", "of", "as", "satisfies")
+
+    def _using_statement(self, start: int) -> Node | None:
+        return self.variables(start, True) if self.declares_resource(self.tok) else None
+
+    def _await_statement(self, start: int) -> Node | None:
+        after = self.peek()
+        if after.newline or not self.declares_resource(after):
+            return None
+        self.next()
+        return self.variables(start, True)
+
     def variables(self, start: int, statement: bool) -> Node:
         kind, items = self.next().value, []
         while True:
@@ -253,7 +268,7 @@ class Parser:
         out = self.node("VariableDeclaration", start, kind=kind, declarations=items)
         if statement:
             for item in items:
-                if item.init is None and (kind == "const" or item.id.type != "Identifier") and not self.declaring:
+                if item.init is None and (kind in ("const", "using") or item.id.type != "Identifier") and not self.declaring:
                     raise self.fail("Missing initializer", item.start)
             self.semicolon()
         return out
@@ -287,6 +302,9 @@ class Parser:
         saved, self.no_in = self.no_in, True
         if self.is_("var", "const") or (self.is_("let") and self.peek().kind in ("name", "punct") and self.peek().value not in ("in", "of", ";", "=", ".")):
             init = self.variables(self.tok.start, False)
+        elif self.declares_resource(self.tok) or (self.is_("await") and self.declares_resource(self.peek())):
+            self.eat("await")
+            init = self.variables(self.tok.start, False)
         elif not self.is_(";"):
             init = self.expression()
         self.no_in = saved

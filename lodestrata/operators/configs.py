@@ -28,13 +28,9 @@ def shortened(value: str) -> str:
     return value if len(value) <= EVIDENCE_CHARS else value[:EVIDENCE_CHARS] + "…"
 
 
-def downloads_and_executes(command: Column) -> Column:
-    low = F.lower(command)
-
-    def any_of(needles: list[str]) -> Column:
-        return F.exists(F.array(*map(F.lit, needles)), lambda n: F.contains(low, n))
-
-    return any_of(DOWNLOADERS) & any_of(EXECUTORS)
+def downloads_and_executes(command: str) -> bool:
+    low = command.lower()
+    return any(d in low for d in DOWNLOADERS) and any(e in low for e in EXECUTORS)
 
 
 def is_lifecycle(name: Column) -> Column:
@@ -107,14 +103,12 @@ def _tasks(path: str, text: str, value: object) -> Iterator[Found]:
         if _at(task, "runOptions", "runOn") != "folderOpen":
             continue
         command, label = _command(_at(task, "command")), _at(task, "label")
-        low = (command or "").lower()
-        dangerous = any(d in low for d in DOWNLOADERS) and any(e in low for e in EXECUTORS)
         evidence = [f"task: {label if isinstance(label, str) else 'unnamed task'}", "runOn: folderOpen"]
         evidence += [f"command: {shortened(command)}"] if command is not None else []
         evidence += ["terminal reveal: never"] if _at(task, "presentation", "reveal") == "never" else []
         message = "A VS Code folder-open task can execute repository-controlled commands before the developer intentionally runs the project."
         line = _line(text, "folderOpen")
-        if dangerous:
+        if downloads_and_executes(command or ""):
             yield _found(path, "IDE-FOLDER-OPEN-DOWNLOAD-EXECUTE", "critical", 97, "Repository downloads or executes content when opened", message, evidence, line)
         else:
             yield _found(path, "IDE-FOLDER-OPEN-TASK", "high", 85, "Repository task runs automatically when opened", message, evidence, line)

@@ -34,11 +34,6 @@ def severity_at_least(findings: DataFrame, threshold: str) -> DataFrame:
     return findings.filter(severity_rank(F.col("severity")) >= SEVERITIES.index(name))
 
 
-def in_report_order(findings: DataFrame) -> DataFrame:
-    """Severity descending, file ascending with null first, id ascending, then as emitted."""
-    return findings.orderBy("repo_id", severity_rank(F.col("severity")).desc(), F.col("file").asc_nulls_first(), "id", "emit_seq")
-
-
 def first_per_key(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key. The least order value is aggregated before the shuffle, so a hot key costs a row a task."""
     columns = rows.columns
@@ -70,8 +65,3 @@ def risk(findings: DataFrame) -> DataFrame:
     """Per repository the highest severity and the highest score, each by itself."""
     top = F.max(severity_rank(F.col("severity")))
     return findings.groupBy("repo_id").agg(F.element_at(F.array(*map(F.lit, SEVERITIES)), top + 1).alias("severity"), F.max("score").alias("score"))
-
-
-def explode_findings(rows: DataFrame, findings: Column, keep: list[Column | str]) -> DataFrame:
-    """A row per finding of an array column that may hold nulls."""
-    return rows.select(*keep, F.posexplode(F.array_compact(findings)).alias("position", "found")).select("*", "found.*").drop("found")

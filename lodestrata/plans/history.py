@@ -36,12 +36,13 @@ def _blob_findings(blobs: DataFrame, limits: ScanLimits) -> tuple[DataFrame, Dat
         "Executable-looking text was parsed as JavaScript. No execution path is established by this finding alone.", file=F.col("path"),
         evidence=F.array(F.concat(F.lit("extension: ."), F.when(suffix == "", "(none)").otherwise(suffix))),
     )
-    found = (
-        files.select("repo_id", "seq", F.explode("found").alias("f"))
-        .unionByName(configs.filter("id is not null").select("repo_id", "seq", F.struct(*FINDING_FIELDS).alias("f")))
-        .unionByName(sources.filter("disguised").select("repo_id", "seq", parsed.alias("f")))
-        .unionByName(files.select("repo_id", "seq", F.explode("language_found").alias("f")))
-    )
+    as_struct = F.struct(*FINDING_FIELDS).alias("f")
+    found = G.union_in_order([
+        files.select("repo_id", "seq", F.posexplode("found").alias("position", "f")),
+        configs.filter("id is not null").select("repo_id", "seq", "position", as_struct),
+        sources.filter("disguised").select("repo_id", "seq", F.lit(0).alias("position"), parsed.alias("f")),
+        files.select("repo_id", "seq", F.posexplode("language_found").alias("position", "f")),
+    ])
     reasons = (
         configs.select("repo_id", F.explode("reasons").alias("reason"))
         .unionByName(sources.select("repo_id", F.explode("reasons").alias("reason")))
@@ -61,8 +62,8 @@ def compare_commits(spark: SparkSession, paths: dict[str, str], base: str | None
     line = F.coalesce("f.line", F.lit(0))
     keyed = keyed.withColumn("key", F.concat_ws("|", "f.id", line.cast("string"), F.array_join("f.evidence", "|")))
     keys = ["repo_id", "commit_no", "place", "key"]
-    # Of findings with the same key the last one stands, as keys don't name the file's other fields.
-    current = keyed.filter("side = 'new'").groupBy(*keys, "commit", "path").agg(F.first("f").alias("f"))
+    # Of findings of a blob with the same key the last one stands, as a key doesn't hold all fields.
+    current = keyed.filter("side = 'new'").groupBy(*keys, "commit", "path").agg(F.max_by("f", F.struct("part", "position")).alias("f"))
     fresh = current.join(keyed.filter("side = 'old'").select(*keys).distinct(), keys, "left_anti")
     unread = changes.filter("side = 'reason'").select("repo_id", F.col("note").alias("reason"))
     findings = fresh.select("repo_id", "commit_no", "commit", "path", "place", "key", "f.*")

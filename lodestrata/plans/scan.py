@@ -14,7 +14,7 @@ from ..limits import PROFILES, ScanLimits
 from ..operators import graph as G
 from ..operators.configs import analyse_configs, execution_roots
 from ..operators.files import classify
-from ..operators.findings import FINDING_FIELDS, cap_per_repo, finding, in_report_order, risk, severity_rank
+from ..operators.findings import FINDING_FIELDS, cap_per_repo, finding, risk, severity_rank
 from ..operators.languages import analyse_languages
 from ..schemas import FILES
 from ..sources.walk import walk_repositories
@@ -122,13 +122,13 @@ def scan_rows(raw: DataFrame, limits: ScanLimits) -> ScanResult:
     # Graph and flow
     slim = modules.select("repo_id", "seq", "id", "path")
     resolved = durable(G.resolve_imports(imports, slim), "resolved")
-    edges = G.import_edges(resolved, slim)
+    edges, lost, cut = G.within_edge_limit(G.import_edges(resolved, slim), G.lost_imports(imports, resolved, slim), imports, slim, limits.graph_edges)
     reached, route_limits = G.reachable_modules(roots, edges, slim, limits.route_length)
     graph_found = G.graph_findings(slim, calls, reached, files)
     flows = durable(flow_findings(modules, reached, limits), "flows")
     flow_found = flows.filter("reason is null").withColumn("emit_seq", F.col("position"))
     combined = G.combined_chains(flow_found)
-    unresolved = G.unresolved_imports(imports, resolved, slim).unionByName(G.unresolved_roots(roots, slim)).distinct()
+    unresolved = lost.select("repo_id", "edge").unionByName(G.unresolved_roots(roots, slim)).distinct()
 
     # Findings in order of emission: by file (classifier, configuration, JavaScript, language), then graph, flow, walk
     disguised = sources.filter("disguised").select("repo_id", "seq", "path", F.lit(True).alias("disguised"))
@@ -159,8 +159,6 @@ def scan_rows(raw: DataFrame, limits: ScanLimits) -> ScanResult:
     findings, over = cap_per_repo(durable(ordered, "findings"), limits.max_findings)
     findings = with_rank(findings)
 
-    edge_limit = limits.graph_edges
-    lost = edges.groupBy("repo_id").count().unionByName(unresolved.groupBy("repo_id").count()).groupBy("repo_id").agg(F.sum("count").alias("n")).filter(F.col("n") >= edge_limit)
     reasons = [
         raw.filter("kind = '#reason'").select("repo_id", F.col("note").alias("reason")),
         configs.select("repo_id", F.explode("reasons").alias("reason")),
@@ -170,7 +168,7 @@ def scan_rows(raw: DataFrame, limits: ScanLimits) -> ScanResult:
         commands.filter("limited").join(files.select("repo_id", F.col("seq").alias("file_seq"), "path"), ["repo_id", "file_seq"]).select("repo_id", F.concat(F.lit("JS/TS execution root extraction limit reached: "), "path").alias("reason")),
         roots_over.select("repo_id", F.lit(f"JS/TS global execution root limit of {limits.roots} reached; remaining roots omitted").alias("reason")),
         route_limits.select("repo_id", F.lit(f"JS/TS execution route depth limit of {limits.route_length} reached").alias("reason")),
-        lost.select("repo_id", F.lit(f"JS/TS graph edge limit of {edge_limit} reached").alias("reason")),
+        cut.select("repo_id", F.lit(f"JS/TS graph edge limit of {limits.graph_edges} reached").alias("reason")),
         flows.filter("reason is not null").select("repo_id", "reason"),
         over.select("repo_id", F.lit(FINDING_LIMIT).alias("reason")),
     ]
@@ -205,6 +203,3 @@ def with_history(result: ScanResult, found: DataFrame, reasons: DataFrame, limit
 def with_rank(findings: DataFrame) -> DataFrame:
     return findings.withColumn("severity_rank", severity_rank(F.col("severity")))
 
-
-def report_findings(result: ScanResult) -> DataFrame:
-    return in_report_order(result.findings)

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-FALLBACK_DIR = "/tmp/lodestrata-checkpoints"
+_own: dict[str, str] = {}  # application: folder of this process, for local sessions without a shared folder
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder for cut lineage, one for each application, below the session's spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder that goes with
+    the process; on a cluster no folder of the driver's would do, so that is an
+    error.
+    """
+    application = spark.sparkContext.applicationId
+    if shared := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return f"{shared.rstrip('/')}/lodestrata-{application}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if application not in _own:
+        _own[application] = tempfile.mkdtemp(prefix="lodestrata-")
+        atexit.register(shutil.rmtree, _own[application], ignore_errors=True)
+    return _own[application]
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -19,3 +35,9 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what this application has written to the shared folder. Tables that rest on it can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

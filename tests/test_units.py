@@ -28,6 +28,7 @@ VALID = [
     "async x => await x; (async () => {})(); new (foo())(1); import('x')",
     "import d, * as n from 'm'; export {d as default}; export * from 'k'; export default class {}",
     "a = b\n++c\nlet x\nif (y) z; else w",
+    "using a = f(), b = g(); await using c = h(); for (using d of e) {} for (await using d of e) {} using(x); using = 1; using\nz",
 ]
 INVALID = ["const a = ;", "function (", "a b", "{", "`x${", "'a", "for (", "const a", "return 1", "a => {} ()"]
 TYPED = [
