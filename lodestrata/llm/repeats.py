@@ -25,7 +25,7 @@ Names and texts are sent in proportion to the input; no pair of documents is
 ever listed. A block sends a row to each part it has something for. Blocks and
 parts both grow with the input, up to 64 and 128 MB, so that the number of rows
 grows with its square only where it is small: a row, some 60 bytes, stands for
-1 KB of input at 30 GB, for 4 KB at 1 TB and for 80 bytes at 100 TB.
+500 bytes of input at 30 GB, for 1 KB at 1 TB and for 80 bytes at 100 TB.
 """
 
 from __future__ import annotations
@@ -48,9 +48,9 @@ from .rolling import mix
 
 #: (least, most) bytes of text in a block and in a part, and the share of the input that they are in between.
 BLOCK_BYTES, BLOCK_SHARE = (4 << 20, 64 << 20), 1 << 16
-PART_BYTES, PART_SHARE = (8 << 20, 128 << 20), 1 << 14
+PART_BYTES, PART_SHARE = (4 << 20, 128 << 20), 1 << 14
 #: Texts of a part that are judged at once.
-JUDGED_BYTES = 4 << 20
+JUDGED_BYTES = 2 << 20
 #: Runs from which on a name is hot.
 HOT_RUNS = 1 << 14
 #: Rows without an id are later than all others and never earlier than one another.

@@ -38,14 +38,19 @@ class SuffixOrder:
         self.heads = key  # the 8 bytes from each place on
         self.ranks: list[tuple[int, np.ndarray]] = []  # (bytes looked at, dense rank of each place)
         if known < depth:
-            key = _dense(key)
-            self.ranks.append((8, key))
+            self.ranks.append((8, _dense(key)))
         while 2 * known < depth:
-            later = np.zeros(n, np.uint64)
-            later[: n - known] = key[known:]
-            key, known = _dense(key << np.uint64(32) | later), 2 * known
-            self.ranks.append((known, key))
-        whole = key[at] << np.uint64(32) | key[at + depth - known] if self.ranks else key[at] >> np.uint64(64 - 8 * depth)
+            rank = self.ranks[-1][1]
+            key = rank.astype(np.uint64) << np.uint64(32)
+            key[: n - known] |= rank[known:]
+            known *= 2
+            self.ranks.append((known, _dense(key)))
+        if self.ranks:
+            rank = self.ranks[-1][1]
+            whole = rank[at].astype(np.uint64) << np.uint64(32) | rank[at + depth - known]
+        else:
+            whole = key[at] >> np.uint64(64 - 8 * depth)
+        del key
         self.order = np.argsort(whole, kind="stable")
         self.places, whole = at[self.order], whole[self.order]
         self.same = np.concatenate([np.zeros(min(1, len(at)), bool), whole[1:] == whole[:-1]])  # as the suffix before it, depth bytes long
@@ -70,8 +75,8 @@ class SuffixOrder:
 def _dense(key: np.ndarray) -> np.ndarray:
     order = np.argsort(key)
     in_order = key[order]
-    rank = np.zeros(len(key), np.uint64)
-    rank[order[1:]] = np.cumsum(in_order[1:] != in_order[:-1]).astype(np.uint64)
+    rank = np.zeros(len(key), np.uint32)
+    rank[order[1:]] = np.cumsum(in_order[1:] != in_order[:-1], dtype=np.uint32)
     return rank
 
 
