@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import corpora as C
+from .case_rows import CASE_SQL
 
 _FINDINGS = """
 f AS (
@@ -53,7 +54,7 @@ _SIGNAL_LIST = f"""[
   CASE WHEN {_any('VirtualBox', 'VMware', 'QEMU', 'Parallels')} THEN 'virtual-machine environment check' END,
   CASE WHEN {_any('navigator.language', 'process.env.LANG', 'Intl.DateTimeFormat')} THEN 'locale or regional environment check' END,
   CASE WHEN {_any('tasklist', 'Get-Process', 'ps aux', '/proc/')} AND {_any('Wireshark', 'ProcessHacker', 'x64dbg', 'OllyDbg', 'Procmon')} THEN 'security-tool process enumeration check' END,
-  CASE WHEN {_any('setTimeout', 'setInterval')} AND regexp_matches(text, '(?s)(?:setTimeout|setInterval).{{0,124}}?[0-9]{{4}}') THEN 'long timer delay' END,
+  CASE WHEN {_any('setTimeout', 'setInterval')} AND len(list_filter(flatten(list_transform(regexp_extract_all(text, '(?s)(?:setTimeout|setInterval)(.{{0,128}})', 1), lambda w: regexp_extract_all(w, '[0-9]+'))), lambda d: length(d) >= 4 AND TRY_CAST(d AS UBIGINT) >= 5000)) > 0 THEN 'long timer delay' END,
   CASE WHEN {_any('Invoke-WebRequest', 'Invoke-Expression')} THEN 'PowerShell download or execution primitive' END,
   CASE WHEN {_count('http://')} + {_count('https://')} > 0 THEN 'URL occurrences: ' || CAST({_count('http://')} + {_count('https://')} AS VARCHAR) END,
   CASE WHEN {_IPV4} > 0 THEN 'IPv4 address occurrences: ' || CAST({_IPV4} AS VARCHAR) END,
@@ -84,10 +85,12 @@ e AS (SELECT DISTINCT module_id AS src, m.id AS dst FROM res JOIN m ON m.path =
 """
 
 ORACLE_SQL = {
+    **CASE_SQL,
     "byte_entropies": f"WITH {_ENTROPY} SELECT doc_id, round(coalesce(e, 0), 6) AS entropy FROM documents LEFT JOIN entropies USING (doc_id)",
     "line_metrics": f"SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN right(text, 1) = chr(10) THEN 0 ELSE 1 END END AS BIGINT) AS line_count, CAST({_LINES} AS BIGINT) AS max_line_length FROM documents",
     "longest_runs": f"SELECT doc_id, CAST({_runs('text', '[0-9A-Fa-f]+')} AS BIGINT) AS hex_run, CAST({_runs('text', '[A-Za-z0-9+/=]+')} AS BIGINT) AS base64_run, CAST({_runs('text', '[ \\t]+')} AS BIGINT) AS blank_run FROM documents",
     "content_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "sql_functions": f"WITH {_ENTROPY} SELECT doc_id, round(coalesce(e, 0), 6) AS entropy, CAST({_runs('text', '[0-9A-Fa-f]+')} AS BIGINT) AS hex_run, CAST(CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN right(text, 1) = chr(10) THEN 0 ELSE 1 END END AS BIGINT) AS lines FROM documents LEFT JOIN entropies USING (doc_id)",
     "duplicate_content": "SELECT sha256(text) AS sha256, CAST(count(*) AS BIGINT) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1",
     "address_tokens": f"SELECT doc_id, CAST({_IPV4} AS BIGINT) AS ipv4, CAST({_WALLET} AS BIGINT) AS wallets FROM documents",
     "raw_signal_rows": f"WITH {_SIGNALS} SELECT doc_id, CAST(generate_subscripts(signals, 1) - 1 AS BIGINT) AS position, unnest(signals) AS signal FROM s",
@@ -100,7 +103,10 @@ ORACLE_SQL = {
           CAST(max(greatest(a * 40, b * 75, c * 75, d * 45)) AS BIGINT) AS score FROM x GROUP BY source""",
     "risk_rollup": f"WITH {_FINDINGS} SELECT repo_id, ['informational', 'low', 'medium', 'high', 'critical'][max(rank)] AS severity, max(score) AS score FROM f GROUP BY repo_id",
     "severity_threshold": f"WITH {_FINDINGS} SELECT repo_id, severity, CAST(count(*) AS BIGINT) AS n FROM f WHERE rank >= 4 GROUP BY ALL",
-    "summary_counts": f"WITH {_FINDINGS}, g AS (SELECT repo_id, count(*) AS n FROM f GROUP BY repo_id) SELECT source AS repo_id, CAST(count(*) AS BIGINT) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS content_bytes, CAST(0 AS BIGINT) AS symlinks, CAST(coalesce(any_value(n), 0) AS BIGINT) AS findings FROM documents LEFT JOIN g ON g.repo_id = source GROUP BY source",
+    "summary_counts": f"""WITH {_FINDINGS}, g AS (SELECT repo_id, count(*) AS n, max(rank) AS rank, max(score) AS score FROM f GROUP BY repo_id)
+        SELECT source AS repo_id, CASE WHEN max(octet_length(encode(text))) > 40000 THEN 'incomplete' ELSE 'complete' END AS status, ['informational', 'low', 'medium', 'high', 'critical'][coalesce(any_value(rank), 1)] AS severity,
+          CAST(coalesce(any_value(score), 0) AS BIGINT) AS score, CAST(count(*) AS BIGINT) AS entries, CAST(count(*) AS BIGINT) AS files, CAST(0 AS BIGINT) AS symlinks, CAST(sum(octet_length(encode(text))) AS BIGINT) AS content_bytes, CAST(coalesce(any_value(n), 0) AS BIGINT) AS findings
+        FROM documents LEFT JOIN g ON g.repo_id = source GROUP BY source""",
     "finding_cap": f"WITH {_FINDINGS} SELECT repo_id, id, emit_seq FROM f QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY emit_seq) <= 7",
     "first_finding_per_key": f"WITH {_FINDINGS} SELECT repo_id, id, file, min(emit_seq) AS emit_seq FROM f GROUP BY ALL",
     "finding_order": f"WITH {_FINDINGS} SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY rank DESC, file NULLS FIRST, id, emit_seq) AS BIGINT) AS place, severity, file, id, emit_seq FROM f",
@@ -108,8 +114,6 @@ ORACLE_SQL = {
     "new_findings": f"WITH {_FINDINGS}, p AS (SELECT repo_id, file, id FROM f WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT repo_id, file, id, emit_seq FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.repo_id = f.repo_id AND p.file = f.file AND p.id = f.id)",
     "tree_diff": "SELECT o_orderkey AS path, o_orderstatus AS blob FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 7 = 0",
     "script_blocks": "SELECT page_id, CAST(generate_subscripts(b, 1) - 1 AS BIGINT) AS number, unnest(b) AS body FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script(?:\\s[^>]*)?>(.*?)</script>', 1) AS b FROM pages)",
-    "page_links": "SELECT page_id, href, CAST(count(*) AS BIGINT) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY ALL",
-    "url_parts": "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages",
     "extension_roles": f"""SELECT CAST(id AS BIGINT) AS id, {_SUFFIX} AS extension, array_to_string(list_filter([
         CASE WHEN {_NAME} = 'package.json' THEN 'npm_manifest' END,
         CASE WHEN {_NAME} IN ('package-lock.json', 'npm-shrinkwrap.json', 'yarn.lock', 'pnpm-lock.yaml') THEN 'dependency_lockfile' END,

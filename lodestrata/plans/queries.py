@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +13,21 @@ from ..functions.content import byte_entropy, gzip_bytes, line_count, longest_ma
 from ..functions.signals import ipv4_tokens, raw_signals, wallet_tokens
 from ..operators import files as FILE
 from ..operators import graph as G
+from ..js.extract import extract_scripts
 from ..js.tables import analyse_sources
 from ..limits import DEFAULT
 from ..operators.configs import analyse_configs, npm_scripts
 from ..operators.findings import cap_per_repo, first_per_key, risk, severity_at_least, severity_rank
+from ..operators.findings import new_findings as unseen
 from ..operators.languages import matched
 from ..operators.signatures import SIGNATURES, matches
 from ..sources.walk import WALK_SCHEMA, expand_archives
 from . import corpora as C
-from .scan import scan_rows
+from . import scenarios
+from .scan import scan_rows, summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(scenarios.QUERIES)
 
 
 def query(f: Query) -> Query:
@@ -110,10 +114,13 @@ def severity_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of every source as a repository; one that holds a very long text counts as incomplete."""
     files = C.document_files(spark, sf_dir)
-    found = _document_findings(spark, sf_dir).groupBy("repo_id").agg(F.count("*").alias("findings"))
-    totals = files.groupBy("repo_id").agg(F.count("*").alias("files"), F.sum("size").alias("content_bytes"), F.count_if(F.col("kind") == "symlink").alias("symlinks"))
-    return totals.join(found, "repo_id", "left").withColumn("findings", F.coalesce("findings", F.lit(0).cast("long")))
+    totals = files.groupBy("repo_id").agg(F.count("*").alias("entries"), F.count_if(F.col("kind") == "file").alias("files"), F.sum("size").alias("content_bytes"))
+    counts = totals.unpivot("repo_id", ["entries", "files", "content_bytes"], "note", "size")
+    coverage = files.filter("size > 40000").select("repo_id", F.lit("long text").alias("reason")).distinct()
+    found = summaries(counts, _document_findings(spark, sf_dir), coverage)
+    return found.select("repo_id", "status", "risk.severity", F.col("risk.score").cast("long").alias("score"), *[F.col(f"summary.{c}").alias(c) for c in ("entries", "files", "symlinks", "content_bytes", "findings")])
 
 
 @query
@@ -143,10 +150,10 @@ def union_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all documents that the labelled ones don't have, by source, file and rule."""
-    current = _document_findings(spark, sf_dir)
+    current = _document_findings(spark, sf_dir).withColumn("path", F.col("file")).withColumn("line", F.lit(None).cast("long")).withColumn("evidence", F.array("severity"))
     known = C.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("known")).distinct()
-    previous = current.join(known, (F.col("emit_seq") / 10).cast("long") == F.col("known"), "left_semi").select("repo_id", "file", "id").distinct()
-    return current.join(previous, ["repo_id", "file", "id"], "left_anti").select("repo_id", "file", "id", "emit_seq")
+    previous = current.join(known, (F.col("emit_seq") / 10).cast("long") == F.col("known"), "left_semi")
+    return unseen(current, previous.select("repo_id", "path", "id", "line", "evidence").distinct()).select("repo_id", "file", "id", "emit_seq")
 
 
 @query
@@ -160,23 +167,12 @@ def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def script_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inline scripts of pages: number and body."""
-    bodies = F.regexp_extract_all("html", F.lit(r"(?s)<script(?:\s[^>]*)?>(.*?)</script>"), F.lit(1))
-    return C.table(spark, sf_dir, "pages").select("page_id", F.posexplode(bodies).alias("number", "body")).withColumn("number", F.col("number").cast("long"))
 
+    @F.pandas_udf("array<string>")
+    def bodies(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [b.source for b in extract_scripts(t or "", False)[0] if not b.external])
 
-@query
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Link targets of pages with the number of times each page has them."""
-    links = C.table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-    return links.groupBy("page_id", "href").agg(F.count("*").alias("n"))
-
-
-@query
-def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.col("url")
-    return C.table(spark, sf_dir, "pages").select(
-        "page_id", F.regexp_extract(url, r"^([a-z]+)://", 1).alias("scheme"), F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract(url, r"^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path")
-    )
+    return C.table(spark, sf_dir, "pages").select("page_id", F.posexplode(bodies("html")).alias("number", "body")).withColumn("number", F.col("number").cast("long"))
 
 
 def _files(spark: SparkSession) -> DataFrame:

@@ -176,10 +176,11 @@ def scan_rows(raw: DataFrame, limits: ScanLimits) -> ScanResult:
     languages = sources.select("repo_id", "seq", F.col("language").alias("js_language"))
     records = files.join(languages, ["repo_id", "seq"], "left").withColumn("parsed_language", F.coalesce("js_language", "language")).select(*FILES.fieldNames())
     counts = raw.filter("kind = '#counts'").select("repo_id", "note", "size")
-    return ScanResult(records, findings, unresolved, coverage, _summary(counts, findings, coverage), counts)
+    return ScanResult(records, findings, unresolved, coverage, summaries(counts, findings, coverage), counts)
 
 
-def _summary(counts: DataFrame, findings: DataFrame, coverage: DataFrame) -> DataFrame:
+def summaries(counts: DataFrame, findings: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Per repository of counts(repo_id, note, size): totals, risk and status."""
     totals = counts.groupBy("repo_id").pivot("note", ["entries", "files", "directories", "symlinks", "special_files", "content_bytes"]).agg(F.first("size"))
     struct = F.struct(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("entries", "files", "directories", "symlinks", "special_files", "content_bytes")], F.coalesce("n", F.lit(0)).cast("long").alias("findings"))
     joined = totals.join(findings.groupBy("repo_id").agg(F.count("*").alias("n")), "repo_id", "left").join(risk(findings), "repo_id", "left").join(coverage.groupBy("repo_id").agg(F.count("*").alias("reasons")), "repo_id", "left")
@@ -197,7 +198,7 @@ def with_history(result: ScanResult, found: DataFrame, reasons: DataFrame, limit
     findings = with_rank(findings)
     coverage = result.coverage.unionByName(reasons).unionByName(over.select("repo_id", F.lit(FINDING_LIMIT).alias("reason"))).distinct()
     counts = result.counts
-    return ScanResult(result.files, findings, result.unresolved, coverage, _summary(counts, findings, coverage), counts)
+    return ScanResult(result.files, findings, result.unresolved, coverage, summaries(counts, findings, coverage), counts)
 
 
 def with_rank(findings: DataFrame) -> DataFrame:

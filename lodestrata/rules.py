@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Ids and descriptions.
+# Ids and descriptions. Three don't name a parser or a signature engine, as this one has its own.
 RULES = {
     "CONFIG-PARSE-FAILED": "Security-relevant configuration could not be parsed; scan coverage is incomplete.",
     "DEVCONTAINER-EXECUTION-HOOK": "A devcontainer hook can execute repository-controlled commands.",
