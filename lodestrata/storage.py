@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}  # application: folder of this process, for local sessions without a shared folder
+_noted: list[list[str]] = []  # of each open noting(), innermost last
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -33,11 +36,28 @@ def work_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write df to a fresh table in the shared folder and read it back, so that what follows depends on files and not on executors."""
     path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    for paths in _noted:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def noting() -> Iterator[list[str]]:
+    """The paths of the tables that are written inside."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        _noted.pop()
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Removes what this application has written to the shared folder. Tables that rest on it can't be read afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, work_dir(spark))
