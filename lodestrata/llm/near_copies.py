@@ -6,8 +6,12 @@ of a fingerprint tolerates, so the rest come from prefix filtering, which
 misses no pair: if all shingles stand in one global order, two sets of that similarity share an element among
 the first n - ceil(0.8 n) + 1 of their n elements. Any order gives the same
 links; this one puts shingles last that a sketch of counts knows as frequent,
-so that common passages seldom bring texts together. All candidates are
-compared: hashes of shingles reject, words accept.
+so that common passages seldom bring texts together.
+
+A pair is compared in three steps. Each row has a sketch: how many of its
+distinct shingles fall into each of some slots. What two sketches have in
+common is at least what the sets have in common, so most pairs end there, and
+no text moves for them. Then hashes of shingles reject, and words accept.
 
 Rows that share an element are first compared with the least of them, which
 joins large groups by few comparisons. Then every pair of such rows that is
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, durable, shuffle_width
 from .recompression import word_hashes
 from .rolling import mix
-from .simhash import components, fingerprint_batches, print_links
+from .simhash import components, fingerprint, print_links
 
 SHINGLE_WORDS = 5
 #: Similarity of at least 4 / 5.
@@ -37,6 +41,8 @@ SLOT_PARTS = 16
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
 SMALL_GROUP = 64
+#: Slots of a sketch: at least so many, and a power of two of at least a quarter of the set's size.
+LEAST_SKETCH = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 ENTRY = np.dtype([("key", "<i8"), ("row", "<i8"), ("size", "<i4"), ("place", "<i4")])
 
@@ -246,19 +252,63 @@ def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], ["u", "v"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
+def sketch(hashes: np.ndarray) -> bytes:
+    """Of distinct hashes, how many fall into each slot; 255 stands for any number from there on."""
+    slots = max(LEAST_SKETCH, 1 << (max(1, len(hashes) // 4) - 1).bit_length())
+    return np.bincount((hashes >> np.uint64(40)).astype(np.int64) & (slots - 1), minlength=slots).clip(max=255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> float:
+    """At least what the sets of two sketches share; infinite if a slot is full."""
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (a, b))
+    if max(x.max(), y.max()) == 255:
+        return float("inf")
+    slots = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, slots).sum(axis=0), y.reshape(-1, slots).sum(axis=0)).sum())
+
+
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, fp, size, sketch) of each row."""
+    for batch in batches:
+        prints, sizes, sketches = [], [], []
+        for _, rows in _chunks(batch, "text"):
+            texts = [t for (t,) in rows]
+            prints += [fingerprint(t, SHINGLE_WORDS) for t in texts]
+            for hashes in map(np.unique, shingle_hashes(texts)):
+                sizes.append(len(hashes))
+                sketches.append(sketch(hashes))
+        columns = [batch.column("row"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "fp", "size", "sketch"])
+
+
+def _likely_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nx, ny = (batch.column(c).to_numpy() for c in ("left_size", "right_size"))
+        shared = np.array([most_shared(x.as_py(), y.as_py()) for x, y in zip(batch.column("left_sketch"), batch.column("right_sketch"), strict=True)], float)
+        fit = np.flatnonzero((SHARE + OF) * shared >= SHARE * (nx + ny))
+        chosen = batch.take(pa.array(fit))
+        yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], ["a", "b"])
+
+
+def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, label: str) -> DataFrame:
     """(u, v) of pairs(a, b) whose texts are alike."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+
+    def side(df: DataFrame, key: str, prefix: str) -> DataFrame:
+        return df.select(F.col("row").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "row"])
+
+    known = sketches.select("row", "size", "sketch")
+    both = pairs.join(side(known, "a", "left"), "a").join(side(known, "b", "right"), "b")
+    likely = durable(both.select("a", "b", "left_size", "right_size", "left_sketch", "right_sketch").mapInArrow(_likely_batches, "a long, b long"), label + "-likely")
+    needed = likely.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     own = texts.join(needed, "row", "left_semi")
-    met = pairs.join(own.select(F.col("row").alias("a"), F.col("text").alias("left")), "a").join(own.select(F.col("row").alias("b"), F.col("text").alias("right")), "b")
+    met = likely.join(own.select(F.col("row").alias("a"), F.col("text").alias("left")), "a").join(own.select(F.col("row").alias("b"), F.col("text").alias("right")), "b")
     return durable(met.select("a", "b", "left", "right").mapInArrow(_compare_batches, "u long, v long"), label)
 
 
-def print_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows of texts(row, text) whose fingerprints are linked: every row with the least of its fingerprint, and those with one another."""
-    prints = durable(texts.select(F.col("row").alias("doc_id"), "text").mapInArrow(fingerprint_batches(SHINGLE_WORDS), "doc_id long, fp long"), "near-prints")
-    least = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-print-groups")
-    same = prints.join(least, "fp").filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+def print_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows of prints(row, fp) whose fingerprints are linked: every row with the least of its fingerprint, and those with one another."""
+    least = durable(prints.groupBy("fp").agg(F.min("row").alias("least")), "near-print-groups")
+    same = prints.join(least, "fp").filter("row != least").select(F.col("least").alias("a"), F.col("row").alias("b"))
     linked = print_links(least)
     other = linked.join(least.select(F.col("fp").alias("u"), F.col("least").alias("x")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("y")), "v")
     return same.unionByName(other.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
@@ -270,13 +320,14 @@ def near_links(texts: DataFrame) -> DataFrame:
     n = max(shuffle_width(texts.sparkSession), total * ENTRY.itemsize // (OF * BUCKET_BYTES) + 1)
     sent = texts.mapInArrow(_prefix_batches(levels, n), "bucket long, entries binary")
     met = durable(sent.groupBy("bucket").applyInArrow(_star_pairs, "bucket long, a long, b long, entries binary"), "near-candidates")
-    first = durable(print_pairs(texts).unionByName(met.filter("a is not null").select("a", "b")).distinct(), "near-first-pairs")
-    links = _links(first, texts, "near-first-links")
+    sketches = durable(texts.mapInArrow(_sketch_batches, "row long, fp long, size long, sketch binary"), "near-sketches")
+    first = durable(print_pairs(sketches.select("row", "fp")).unionByName(met.filter("a is not null").select("a", "b")).distinct(), "near-first-pairs")
+    links = _links(first, texts, sketches, "near-first-links")
     joined = components(links, "near-first-components")
     entries = met.filter("length(entries) > 0").select("bucket", "entries").mapInArrow(_entry_batches, "bucket long, key long, row long, size int, place int")
     rooted = entries.join(joined, entries["row"] == joined["node"], "left").select("bucket", "key", "row", "size", "place", F.coalesce("root", "row").alias("root"))
     others = rooted.groupBy("bucket").applyInArrow(_other_pairs, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    return links.unionByName(_links(durable(others, "near-others"), texts, "near-other-links"))
+    return links.unionByName(_links(durable(others, "near-others"), texts, sketches, "near-other-links"))
 
 
 def keep_one_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
