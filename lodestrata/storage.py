@@ -42,6 +42,20 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def durable_by(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
+    """As durable, dealt by key into n buckets, which a later join or group by key reads as they are, without a shuffle.
+
+    Spark knows of buckets by name only, so this is an external table of the session's catalog.
+    """
+    name = f"{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(df.sparkSession)}/{name}"
+    for paths in _noted:
+        paths.append(path)
+    table = f"lodestrata_{name.replace('-', '_')}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 @contextlib.contextmanager
 def noting() -> Iterator[list[str]]:
     """The paths of the tables that are written inside."""
