@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import durable, noting, remove, work_dir
+from ..storage import durable, durable_by, noting, remove, work_dir
 
-__all__ = ["SPACE_CLASS", "as_bytes", "durable", "noting", "remove", "shuffle_width", "squeezed", "work_dir"]
+__all__ = ["SPACE_CLASS", "as_bytes", "durable", "durable_by", "noting", "remove", "shuffle_width", "squeezed", "work_dir"]
 
 #: The bytes that separate words: space and the controls 9 to 13.
 SPACE_CLASS = r"[ \t-\r]+"

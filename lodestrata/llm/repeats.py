@@ -5,7 +5,8 @@ window of a document by something that depends on the window's contents alone,
 so that equal windows have equal names wherever they stand; neighbouring
 windows mostly share their name and form a run.
 
-1. Documents are packed into blocks, written once.
+1. Documents are packed into blocks, written once, in buckets: later steps read
+   a block where it lies, and only what is said about it moves.
 2. Each block sends the hashes of its names, each once, with how many runs it
    has; parts of them say which names more than one document has, and which of
    those are hot: held by very many runs. (A third of all rows with the same
@@ -43,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, durable, shuffle_width
+from .common import as_bytes, durable, durable_by, shuffle_width
 from .rolling import mix
 
 #: (least, most) bytes of text in a block and in a part, and the share of the input that they are in between.
@@ -51,6 +52,8 @@ BLOCK_BYTES, BLOCK_SHARE = (4 << 20, 64 << 20), 1 << 16
 PART_BYTES, PART_SHARE = (4 << 20, 128 << 20), 1 << 14
 #: Texts of a part that are judged at once.
 JUDGED_BYTES = 2 << 20
+#: Buckets that blocks are dealt over: two for each block, so that few get several.
+MAX_BUCKETS = 1 << 16
 #: Runs from which on a name is hot.
 HOT_RUNS = 1 << 14
 #: Rows without an id are later than all others and never earlier than one another.
@@ -204,15 +207,16 @@ def _block_names(units: Units, ids: np.ndarray) -> tuple[Runs, np.ndarray, np.nd
 
 
 def _send_names(strategy: Strategy, nested: bool, n_parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, blob in zip(batch.column("block").to_pylist(), batch.column("docs"), strict=True):
-                ids, texts, *_ = _load_block(blob.as_py(), nested)
-                _, names, _, marks = _block_names(strategy.units(texts), ids)
-                rows = [(p, block, _six(names[at]) + marks[at].tobytes()) for p, at in _by_part(_parts(names, n_parts, 1))]
-                if rows:
-                    p, own, blobs = map(list, zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(own, pa.int64()), pa.array(blobs, pa.binary())], ["part", "block", "names"])
+    """Rows (part, block, names) of a block."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        rows: list[tuple[int, int, bytes]] = []
+        for block, blob in zip(blocks.column("block").to_pylist(), blocks.column("docs"), strict=True):
+            ids, texts, *_ = _load_block(blob.as_py(), nested)
+            _, names, _, marks = _block_names(strategy.units(texts), ids)
+            rows += [(p, block, _six(names[at]) + marks[at].tobytes()) for p, at in _by_part(_parts(names, n_parts, 1))]
+        part, own, blobs = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"part": pa.array(part, pa.int64()), "block": pa.array(own, pa.int64()), "names": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -400,7 +404,8 @@ def _verdicts(blocks: DataFrame, strategy: Strategy, nested: bool, size: int, pa
     n = max(shuffle_width(blocks.sparkSession), size // part_bytes + 1)
     finer = strategy.finer()
     flags = (
-        blocks.mapInArrow(_send_names(strategy, nested, n), "part long, block long, names binary")
+        blocks.groupBy("block")
+        .applyInArrow(_send_names(strategy, nested, n), "part long, block long, names binary")
         .groupBy("part")
         .applyInArrow(_shared_names(hot_runs), "part long, block long, flags binary")
     )
@@ -430,7 +435,8 @@ def remove_repeats(
     size = packed.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     block_bytes = block_bytes or _between(BLOCK_BYTES, size // BLOCK_SHARE)
     part_bytes = part_bytes or _between(PART_BYTES, size // PART_SHARE)
-    blocks = durable(packed.mapInArrow(_block_batches(block_bytes), "block long, docs binary"), "repeat-blocks")
+    made = packed.mapInArrow(_block_batches(block_bytes), "block long, docs binary")
+    blocks = durable_by(made, "repeat-blocks", "block", min(MAX_BUCKETS, max(shuffle_width(docs.sparkSession), 2 * size // block_bytes)))
     verdicts = _verdicts(blocks, strategy, False, size, part_bytes, judged_bytes, hot_runs)
     schema = f"carry {carried.simpleString()}, n_units long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     return blocks.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_apply(strategy, to_arrow_type(carried), with_text), schema)

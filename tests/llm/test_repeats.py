@@ -96,8 +96,7 @@ def exchanged(strategy, blocks, n_parts, hot_runs):
     """(runs of each name that are judged under it, blocks of hot runs) of one level, without Spark."""
     sent = []
     for number, blob in enumerate(blocks):
-        batch = pa.RecordBatch.from_pydict({"block": [number], "docs": pa.array([blob], pa.binary())})
-        sent += [pa.Table.from_batches([x]) for x in R._send_names(strategy, True, n_parts)([batch])]
+        sent.append(R._send_names(strategy, True, n_parts)(pa.table({"block": [number], "docs": pa.array([blob], pa.binary())})))
     names = pa.concat_tables(sent)
     flags = pa.concat_tables([R._shared_names(hot_runs)(names.filter(pc.equal(names["part"], p))) for p in range(n_parts)])
     judged, hot = Counter(), []
