@@ -4,14 +4,20 @@ Recompression shortens all documents by the same rules: runs of one symbol
 become a symbol, then the alphabet is dealt into left and right symbols and
 each left symbol followed by a right one becomes a symbol. A rule looks at the
 symbols next to it only, so equal substrings get equal symbols inside; each
-symbol here knows how far it looked (its extent). Symbols are named by 64-bit
-hashes of what they stand for, the same for all documents without a dictionary.
+symbol here knows how far it looked (its extent).
+
+A Spark round names the runs and pairs of a level: every block sends those it
+has, each once, and a dictionary numbers the ones that more than one document
+has (see repeats.py). One that a single document has gets no number and is
+dead: it joins no further symbol, and a window that holds its extent can't be
+in another document. Words are named by hashes.
 
 A window of 13 words is named by the contents of the extent of its least symbol
 on the highest level that has a symbol whose extent lies inside the window;
-that depends on the window's words alone. Spark rounds then tell which names
-more than one document has, bring their words together, and verify window by
-window (see repeats.py). So hashes only reveal; words decide.
+that depends on the window's words alone. Symbols of two levels look at 4 and 8
+words on average, those of a third at 14, more than a window has, so rounds end
+there. What documents share is then brought together by these names and
+verified window by window: symbols reveal; words decide.
 """
 
 from __future__ import annotations
@@ -30,8 +36,12 @@ PIECE_WORDS = PIECE // 4
 _RUN, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
+#: Bits of a key that is sent for a run or pair, and of a number within its level.
+KEY_BITS, LEVEL_SHIFT = 48, np.uint64(44)
+
+
 class Symbols:
-    """The symbols of one level: name, extent [low, high) in words, and document."""
+    """The symbols of one level: name (0 if dead), extent [low, high) in words, and document."""
 
     def __init__(self, name: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
         self.name, self.low, self.high, self.doc = name, low, high, doc
@@ -47,28 +57,25 @@ class Symbols:
         after[at_end] = self.end[self.doc[at_end]] + 1
         return before, after
 
-    def runs_compressed(self) -> Symbols:
-        same = (self.name[1:] == self.name[:-1]) & (self.doc[1:] == self.doc[:-1])
+    def compressed(self, level: int) -> tuple[Symbols, np.ndarray, np.ndarray]:
+        """(symbols of the next level, places of those that are a run or a pair, their keys); the latter wait for their names."""
+        same = (self.name[1:] == self.name[:-1]) & (self.doc[1:] == self.doc[:-1]) & (self.name[1:] > 0)
         start = np.flatnonzero(np.concatenate([[True], ~same]))
         last = np.append(start[1:], len(self.name)) - 1
         length = (last - start + 1).astype(np.uint64)
         before, after = self._neighbours()
-        name = self.name[start]
-        name = np.where(length > 1, mix(name + length * _RUN), name)
-        return Symbols(name, before[start], after[last], self.doc[start], self.first, self.end)
-
-    def pairs_compressed(self, level: int) -> Symbols:
-        left = (mix(self.name + np.uint64(level) * _PAIR) & np.uint64(1)).astype(bool)
+        runs = Symbols(self.name[start], before[start], after[last], self.doc[start], self.first, self.end)
+        whole = mix(runs.name + length * _RUN)
+        alive = runs.name > 0
+        left = (mix(whole + np.uint64(level) * _PAIR) & np.uint64(1)).astype(bool)
         joined = np.zeros(len(left), bool)  # this symbol and the next become one
-        joined[:-1] = left[:-1] & ~left[1:] & (self.doc[1:] == self.doc[:-1])
-        taken = np.concatenate([[False], joined[:-1]])
-        before, after = self._neighbours()
-        following = np.append(self.name[1:], np.uint64(0))
-        name = np.where(joined, mix(self.name * _PAIR + mix(following)), self.name)
-        low = np.where(left, self.low, before)
-        high = np.where(left, after, self.high)
-        keep = ~taken
-        return Symbols(name[keep], low[keep], high[keep], self.doc[keep], self.first, self.end)
+        joined[:-1] = left[:-1] & ~left[1:] & alive[:-1] & alive[1:] & (runs.doc[1:] == runs.doc[:-1])
+        keep = ~np.concatenate([[False], joined[:-1]])
+        before, after = runs._neighbours()
+        key = np.where(joined, mix(whole * _PAIR + np.append(whole[1:], np.uint64(0))), whole) >> np.uint64(64 - KEY_BITS)
+        new = (joined | (length > 1) & alive)[keep]
+        made = Symbols(runs.name[keep], np.where(left, runs.low, before)[keep], np.where(left, after, runs.high)[keep], runs.doc[keep], self.first, self.end)
+        return made, np.flatnonzero(new), key[keep][new]
 
 
 def word_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -87,25 +94,26 @@ def word_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(out + (ends - starts).astype(np.uint64) * _RUN)
 
 
-def window_names(words: np.ndarray, doc: np.ndarray, first: np.ndarray, end: np.ndarray, window: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window starts, least symbol's place made unique over levels, name) of all windows inside documents; words holds at most PIECE_WORDS hashes."""
+def window_names(words: np.ndarray, ladder: list[Symbols], doc: np.ndarray, end: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window starts, least symbol's place made unique over levels, name) of the windows inside documents that hold no dead symbol; words holds at most PIECE_WORDS hashes."""
     n = len(words)
     place = np.arange(n, dtype=np.int64)
-    level = Symbols(words, place, place + 1, doc, first, end)
-    ladder = [level]
-    for k in range(1, levels + 1):
-        level = level.runs_compressed().pairs_compressed(k)
-        ladder.append(level)
     contents = SliceHash(words)
     todo = np.flatnonzero(place + window <= end[doc]) if n else place
+    inside = []
+    for level in ladder:
+        a, b = np.searchsorted(level.low, todo), np.searchsorted(level.high, todo + window, side="right")
+        dead = np.concatenate([[0], np.cumsum(level.name == 0)])
+        alive = (a >= b) | (dead[np.maximum(a, b)] == dead[a])
+        todo = todo[alive]
+        inside = [(x[alive], y[alive]) for x, y in [*inside, (a, b - 1)]]
     starts, symbols, names = [], [], []
-    for k in range(levels, -1, -1):
-        level = ladder[k]
-        a = np.searchsorted(level.low, todo)
-        b = np.searchsorted(level.high, todo + window, side="right") - 1
-        has = a <= b
+    left = np.ones(len(todo), bool)
+    for k in range(len(ladder) - 1, -1, -1):
+        level, (a, b) = ladder[k], inside[k]
+        has = np.flatnonzero(left & (a <= b))
+        left[has] = False
         s, a, b = todo[has], a[has], b[has]
-        todo = todo[~has]
         if not len(s):
             continue
         low, high = np.maximum(level.low, 0), np.minimum(level.high, n)
@@ -131,8 +139,8 @@ def window_names(words: np.ndarray, doc: np.ndarray, first: np.ndarray, end: np.
 
 
 class WordUnits:
-    def __init__(self, texts: list[bytes], window: int, levels: int) -> None:
-        self.window, self.levels = window, levels
+    def __init__(self, texts: list[bytes], window: int) -> None:
+        self.window = window
         self.texts = [b" ".join(t.split()) for t in texts]
         joined = b" ".join(t for t in self.texts if t)
         self.counts = np.array([t.count(b" ") + 1 if t else 0 for t in self.texts], np.int64)
@@ -143,28 +151,6 @@ class WordUnits:
         self.first = np.cumsum(self.counts) - self.counts
         self.joined = joined
 
-    def runs(self) -> Runs:
-        words = word_hashes(self.values, self.starts, self.ends)
-        owner = np.repeat(np.arange(len(self.counts)), self.counts)
-        found, lo, total = [], 0, len(words)
-        while lo < total:
-            hi = min(total, lo + PIECE_WORDS)
-            doc = owner[lo:hi] - owner[lo]
-            docs = slice(owner[lo], owner[hi - 1] + 1)
-            first = np.maximum(self.first[docs] - lo, 0)
-            # A document that goes on past the piece looks like one that ends there: its last windows come with the next piece.
-            end = np.minimum(self.first[docs] + self.counts[docs] - lo, hi - lo)
-            s, symbol, name = window_names(words[lo:hi], doc, first, end, self.window, self.levels)
-            if len(s):
-                new = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (s[1:] != s[:-1] + 1) | (doc[s[1:]] != doc[s[:-1]])])
-                start, last = s[new], s[np.concatenate([new[1:], [True]])]
-                own = owner[lo + start]
-                found.append(Runs(own, lo + start - self.first[own], lo + last - self.first[own], name[new]))
-            if hi == total:
-                break
-            lo = hi - self.window + 1
-        return Runs(*map(np.concatenate, zip(*found, strict=True))) if found else Runs(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64)))
-
     def text(self, doc: int, first: int, last: int) -> bytes:
         at = self.first[doc]
         return self.joined[self.starts[at + first] : self.ends[at + last + self.window - 1]]
@@ -175,12 +161,73 @@ class WordUnits:
         return b" ".join([w for w, gone in zip(self.texts[doc].split(b" "), mask.tolist(), strict=True) if not gone])
 
 
+class Piece:
+    """At most PIECE_WORDS words of a block, on all levels so far. Windows that two pieces share belong to the later one."""
+
+    def __init__(self, words: np.ndarray, owner: np.ndarray, lo: int, first: np.ndarray, counts: np.ndarray) -> None:
+        self.lo, self.words, self.owner = lo, words, owner
+        self.doc = (owner - owner[0]).astype(np.int32)
+        docs = slice(owner[0], owner[-1] + 1)
+        begin = np.maximum(first[docs] - lo, 0).astype(np.int32)
+        # A document that goes on past the piece looks like one that ends there: its last windows come with the next piece.
+        self.end = np.minimum(first[docs] + counts[docs] - lo, len(words)).astype(np.int32)
+        place = np.arange(len(words), dtype=np.int32)
+        self.ladder = [Symbols((words >> np.uint64(20)) + np.uint64(1), place, place + np.int32(1), self.doc, begin, self.end)]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys of the next level's runs and pairs, their documents)."""
+        self.waiting = self.ladder[-1].compressed(len(self.ladder))
+        made, new, key = self.waiting
+        return key, self.owner[0] + made.doc[new].astype(np.int64)
+
+    def name(self, known: np.ndarray, numbers: np.ndarray) -> None:
+        """Takes the numbers (0: dead) of the sorted distinct keys."""
+        made, new, key = self.waiting
+        found = numbers[np.searchsorted(known, key)] if len(key) else numbers[:0]
+        made.name[new] = np.where(found > 0, np.uint64(len(self.ladder)) << LEVEL_SHIFT | found, 0)
+        self.ladder.append(made)
+        del self.waiting
+
+
+class RecompressionUnits(WordUnits):
+    def __init__(self, texts: list[bytes], window: int) -> None:
+        super().__init__(texts, window)
+        words = word_hashes(self.values, self.starts, self.ends)
+        owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.pieces, lo, total = [], 0, len(words)
+        while lo < total:
+            hi = min(total, lo + PIECE_WORDS)
+            self.pieces.append(Piece(words[lo:hi], owner[lo:hi], lo, self.first, self.counts))
+            if hi == total:
+                break
+            lo = hi - window + 1
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        found = [p.keys() for p in self.pieces]
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def name(self, known: np.ndarray, numbers: np.ndarray) -> None:
+        for p in self.pieces:
+            p.name(known, numbers)
+
+    def runs(self) -> Runs:
+        found = []
+        for p in self.pieces:
+            s, symbol, name = window_names(p.words, p.ladder, p.doc, p.end, self.window)
+            if len(s):
+                new = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (s[1:] != s[:-1] + 1) | (p.doc[s[1:]] != p.doc[s[:-1]])])
+                start, last = s[new], s[np.concatenate([new[1:], [True]])]
+                own = p.owner[start]
+                found.append(Runs(own, p.lo + start - self.first[own], p.lo + last - self.first[own], name[new]))
+        return Runs(*map(np.concatenate, zip(*found, strict=True))) if found else Runs(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64)))
+
+
 class RecompressionStrategy:
-    def __init__(self, window: int = WINDOW_WORDS, levels: int = LEVELS) -> None:
-        self.window, self.levels = window, levels
+    def __init__(self, window: int = WINDOW_WORDS, rounds: int = LEVELS) -> None:
+        self.window, self.rounds = window, rounds
 
-    def units(self, texts: list[bytes]) -> WordUnits:
-        return WordUnits(texts, self.window, self.levels)
+    def units(self, texts: list[bytes]) -> RecompressionUnits:
+        return RecompressionUnits(texts, self.window)
 
     def n_windows(self, text: bytes) -> int:
         return text.count(b" ") + 2 - self.window
@@ -220,8 +267,11 @@ class WindowUnits(WordUnits):
 class WindowStrategy(RecompressionStrategy):
     """Whole windows as names, for what recompression names alike very often."""
 
+    def __init__(self, window: int) -> None:
+        super().__init__(window, 0)
+
     def units(self, texts: list[bytes]) -> WindowUnits:
-        return WindowUnits(texts, self.window, 0)
+        return WindowUnits(texts, self.window)
 
     def finer(self) -> None:
         return None

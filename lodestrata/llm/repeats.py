@@ -6,7 +6,9 @@ so that equal windows have equal names wherever they stand; neighbouring
 windows mostly share their name and form a run.
 
 1. Documents are packed into blocks, written once, in buckets: later steps read
-   a block where it lies, and only what is said about it moves.
+   a block where it lies, and only what is said about it moves. A strategy may
+   ask for rounds first: each block sends the keys of what it wants named, each
+   once, and gets a number for those that more than one document has.
 2. Each block sends the hashes of its names, each once, with how many runs it
    has; parts of them say which names more than one document has, and which of
    those are hot: held by very many runs. (A third of all rows with the same
@@ -33,7 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
 import numpy as np
@@ -83,8 +85,19 @@ class Units(Protocol):
         """Contents of the units whose mask is false."""
 
 
+class NamedUnits(Units, Protocol):
+    """Units of a strategy with rounds: keys() and name() take turns."""
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys of 48 bits to be named in this round, the document of each)."""
+
+    def name(self, known: np.ndarray, numbers: np.ndarray) -> None:
+        """Takes the numbers of the sorted distinct keys; 0 if only one document has it."""
+
+
 class Strategy(Protocol):
     window: int
+    rounds: int
 
     def units(self, texts: list[bytes]) -> Units: ...
 
@@ -195,28 +208,88 @@ def _by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 OWN = 0x80
 
 
-def _block_names(units: Units, ids: np.ndarray) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
-    """(runs, sorted distinct names, place of each run's name among them, a byte for each name: logarithm of its number of runs, and OWN if rows with different ids have it)."""
-    runs = units.runs()
-    names, place, often = np.unique(runs.name, return_inverse=True, return_counts=True)
-    least, most = np.full(len(names), NO_ID), np.full(len(names), np.iinfo(np.int64).min)
-    owners = ids[runs.doc]
+def _marked(names: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct names, place of each name among them, a byte for each: logarithm of how often it occurs, and OWN if different owners have it)."""
+    distinct, place, often = np.unique(names, return_inverse=True, return_counts=True)
+    least, most = np.full(len(distinct), NO_ID), np.full(len(distinct), np.iinfo(np.int64).min)
     np.minimum.at(least, place, owners)
     np.maximum.at(most, place, owners)
-    return runs, names, place, np.log2(often).astype(np.uint8) | np.where(least != most, OWN, 0).astype(np.uint8)
+    return distinct, place, np.log2(often).astype(np.uint8) | np.where(least != most, OWN, 0).astype(np.uint8)
+
+
+def _block_names(units: Units, ids: np.ndarray) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs, and _marked of their names."""
+    runs = units.runs()
+    return runs, *_marked(runs.name, ids[runs.doc])
+
+
+def _named_units(strategy: Strategy, texts: list[bytes], replies: pa.Table | None, n_parts: int, rounds: int) -> Units:
+    """Units that have taken the numbers of so many rounds. (A block may have nothing to name in one.)"""
+    units = strategy.units(texts)
+    answers = {} if replies is None else {(r, p): x for r, p, x in zip(*(replies.column(c).to_pylist() for c in ("round", "part", "numbers")), strict=True)}
+    for r in range(rounds):
+        keys, _ = units.keys()
+        known = np.unique(keys)
+        numbers = np.zeros(len(known), np.uint64)
+        for p, at in _by_part(_parts(known, n_parts, 1)):
+            numbers[at] = _open_numbers(answers[r, p], len(at), p, n_parts)
+        units.name(known, numbers)
+    return units
+
+
+def _send_keys(strategy: Strategy, n_parts: int, rounds: int):
+    """Rows (part, block, names) of the round after so many."""
+
+    def run(blocks: pa.Table, replies: pa.Table | None) -> pa.Table:
+        rows: list[tuple[int, int, bytes]] = []
+        for block, blob in zip(blocks.column("block").to_pylist(), blocks.column("docs"), strict=True):
+            _, ids, texts = _load(blob.as_py())
+            keys, docs = _named_units(strategy, texts, replies, n_parts, rounds).keys()
+            known, _, marks = _marked(keys, ids[docs])
+            rows += [(p, block, _six(known[at]) + marks[at].tobytes()) for p, at in _by_part(_parts(known, n_parts, 1))]
+        return _name_rows(rows)
+
+    return run
+
+
+def _name_rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    part, own, blobs = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"part": pa.array(part, pa.int64()), "block": pa.array(own, pa.int64()), "names": pa.array(blobs, pa.binary())})
+
+
+def _number_keys(number: int):
+    """Rows (round, part, block, numbers): for each block's keys whether more than one document has it, and the steps from one such key's place in the part's dictionary to the next."""
+
+    def run(table: pa.Table) -> pa.Table:
+        counts, place, shared = _gathered(table)[:3]
+        rank = np.cumsum(np.bincount(place, shared) > 0) if len(place) else place
+        replies = []
+        for at, own in zip(np.split(place, np.cumsum(counts)[:-1]), np.split(shared, np.cumsum(counts)[:-1]), strict=True):
+            replies.append(_shut(np.packbits(own).tobytes(), np.diff(rank[at[own]], prepend=0).astype("<u4").tobytes()))
+        n = table.num_rows
+        return pa.table({"round": pa.array([number] * n, pa.int64()), "part": table.column("part"), "block": table.column("block"), "numbers": pa.array(replies, pa.binary())})
+
+    return run
+
+
+def _open_numbers(blob: bytes, n: int, part: int, n_parts: int) -> np.ndarray:
+    data = _open(blob)
+    size = -(-n // 8)
+    numbers = np.zeros(n, np.uint64)
+    numbers[np.unpackbits(np.frombuffer(data, np.uint8, size), count=n) > 0] = np.cumsum(np.frombuffer(data, "<u4", offset=size), dtype=np.uint64) * np.uint64(n_parts) + np.uint64(part)
+    return numbers
 
 
 def _send_names(strategy: Strategy, nested: bool, n_parts: int):
     """Rows (part, block, names) of a block."""
 
-    def run(blocks: pa.Table) -> pa.Table:
+    def run(blocks: pa.Table, replies: pa.Table | None) -> pa.Table:
         rows: list[tuple[int, int, bytes]] = []
         for block, blob in zip(blocks.column("block").to_pylist(), blocks.column("docs"), strict=True):
             ids, texts, *_ = _load_block(blob.as_py(), nested)
-            _, names, _, marks = _block_names(strategy.units(texts), ids)
+            _, names, _, marks = _block_names(_named_units(strategy, texts, replies, n_parts, strategy.rounds), ids)
             rows += [(p, block, _six(names[at]) + marks[at].tobytes()) for p, at in _by_part(_parts(names, n_parts, 1))]
-        part, own, blobs = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table({"part": pa.array(part, pa.int64()), "block": pa.array(own, pa.int64()), "names": pa.array(blobs, pa.binary())})
+        return _name_rows(rows)
 
     return run
 
@@ -226,19 +299,24 @@ def _six(names: np.ndarray) -> bytes:
     return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
+def _gathered(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """(number of names of each block, place of each name among the part's distinct ones, whether more than one document has it, how often it occurs in the block)."""
+    blobs = table.column("names").to_pylist()
+    counts = [len(x) // 7 for x in blobs]
+    wide = np.zeros((sum(counts), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b"".join(x[: 6 * n] for x, n in zip(blobs, counts, strict=True)), np.uint8).reshape(-1, 6)
+    marks = np.frombuffer(b"".join(x[6 * n :] for x, n in zip(blobs, counts, strict=True)), np.uint8)
+    _, place, often = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
+    own = np.bincount(place, marks >= OWN, minlength=len(often)) > 0
+    return counts, place, (own | (often > 1))[place], np.exp2((marks & (OWN - 1)).astype(float))
+
+
 def _shared_names(hot_runs: int):
     """Two rows of bits for each block's names: those that more than one document has, and the hot ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        blobs = table.column("names").to_pylist()
-        counts = [len(x) // 7 for x in blobs]
-        wide = np.zeros((sum(counts), 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(x[: 6 * n] for x, n in zip(blobs, counts, strict=True)), np.uint8).reshape(-1, 6)
-        marks = np.frombuffer(b"".join(x[6 * n :] for x, n in zip(blobs, counts, strict=True)), np.uint8)
-        _, place, often = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
-        shared = (marks >= OWN) | (often[place] > 1)
-        runs = np.bincount(place, np.exp2((marks & (OWN - 1)).astype(float)))
-        hot = runs[place] >= hot_runs
+        counts, place, shared, runs = _gathered(table)
+        hot = np.bincount(place, runs)[place] >= hot_runs
         cuts = np.cumsum(counts)[:-1]
         flags = [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(shared, cuts), np.split(hot, cuts), strict=True)]
         return pa.table({"part": table.column("part"), "block": table.column("block"), "flags": pa.array(flags, pa.binary())})
@@ -253,11 +331,13 @@ RUNS, SETTLED, HOT = range(3)
 def _send_runs(strategy: Strategy, nested: bool, n_parts: int, has_finer: bool):
     """Rows (part, block, kind, held): runs for a part, verdicts that a block reached by itself, or its runs of hot names."""
 
-    def run(block: pa.Table, flags: pa.Table) -> pa.Table:
+    def run(block: pa.Table, said: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, int, bytes]] = []
+        replies = said.filter(pc.is_valid(said["round"])) if strategy.rounds else None
+        flags = said.filter(pc.is_null(said["round"])) if strategy.rounds else said
         for number, blob in zip(block.column("block").to_pylist(), block.column("docs"), strict=True):
             ids, texts, doc_of, first_of = _load_block(blob.as_py(), nested)
-            units = strategy.units(texts)
+            units = _named_units(strategy, texts, replies, n_parts, strategy.rounds)
             runs, names, place, _ = _block_names(units, ids)
             shared, hot = np.zeros(len(names), bool), np.zeros(len(names), bool)
             by_part = dict(zip(flags.column("part").to_pylist(), flags.column("flags").to_pylist(), strict=True))
@@ -399,17 +479,37 @@ def _between(limits: tuple[int, int], wanted: int) -> int:
     return min(limits[1], max(limits[0], wanted))
 
 
+NAMES = "part long, block long, names binary"
+REPLIES = "round long, part long, block long, numbers binary"
+
+
+def _told(blocks: DataFrame, replies: DataFrame | None, send: Callable[[pa.Table, pa.Table | None], pa.Table]) -> DataFrame:
+    """What send makes of each block and the replies to it."""
+    if replies is None:
+        return blocks.groupBy("block").applyInArrow(lambda table: send(table, None), NAMES)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda table, own: send(table, own), NAMES)
+
+
+def _rounds(blocks: DataFrame, strategy: Strategy, n: int) -> DataFrame | None:
+    """The numbers of all rounds."""
+    replies = None
+    for r in range(strategy.rounds):
+        made = durable(_told(blocks, replies, _send_keys(strategy, n, r)).groupBy("part").applyInArrow(_number_keys(r), REPLIES), "repeat-numbers")
+        replies = made if replies is None else replies.unionByName(made)
+    return replies
+
+
 def _verdicts(blocks: DataFrame, strategy: Strategy, nested: bool, size: int, part_bytes: int, judged_bytes: int, hot_runs: int) -> DataFrame:
     """(block, held): the verdicts on all windows of blocks(block, docs), which hold size bytes."""
     n = max(shuffle_width(blocks.sparkSession), size // part_bytes + 1)
     finer = strategy.finer()
-    flags = (
-        blocks.groupBy("block")
-        .applyInArrow(_send_names(strategy, nested, n), "part long, block long, names binary")
-        .groupBy("part")
-        .applyInArrow(_shared_names(hot_runs), "part long, block long, flags binary")
-    )
-    runs = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send_runs(strategy, nested, n, finer is not None), "part long, block long, kind int, held binary")
+    replies = _rounds(blocks, strategy, n)
+    said = _told(blocks, replies, _send_names(strategy, nested, n)).groupBy("part").applyInArrow(_shared_names(hot_runs), "part long, block long, flags binary")
+    if replies is not None:
+        said = replies.select("block", "part", "round", "numbers", F.lit(None).cast("binary").alias("flags")).unionByName(
+            said.select("block", "part", F.lit(None).cast("long").alias("round"), F.lit(None).cast("binary").alias("numbers"), "flags")
+        )
+    runs = blocks.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_send_runs(strategy, nested, n, finer is not None), "part long, block long, kind int, held binary")
     judged = durable(runs.groupBy("part").applyInArrow(_judge_part(strategy, judged_bytes), "block long, hot boolean, held binary"), "repeat-verdicts")
     found = judged.filter("not hot").select("block", "held")
     if finer is None:
@@ -436,7 +536,8 @@ def remove_repeats(
     block_bytes = block_bytes or _between(BLOCK_BYTES, size // BLOCK_SHARE)
     part_bytes = part_bytes or _between(PART_BYTES, size // PART_SHARE)
     made = packed.mapInArrow(_block_batches(block_bytes), "block long, docs binary")
-    blocks = durable_by(made, "repeat-blocks", "block", min(MAX_BUCKETS, max(shuffle_width(docs.sparkSession), 2 * size // block_bytes)))
+    buckets = min(MAX_BUCKETS, max(shuffle_width(docs.sparkSession), 2 * size // block_bytes))
+    blocks = durable_by(made, "repeat-blocks", "block", buckets)
     verdicts = _verdicts(blocks, strategy, False, size, part_bytes, judged_bytes, hot_runs)
     schema = f"carry {carried.simpleString()}, n_units long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     return blocks.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_apply(strategy, to_arrow_type(carried), with_text), schema)

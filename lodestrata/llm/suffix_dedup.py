@@ -161,6 +161,8 @@ class ByteUnits:
 
 
 class SuffixArrayStrategy:
+    rounds = 0
+
     def __init__(self, window: int = MIN_BYTES, gram: int = GRAM_BYTES) -> None:
         self.window, self.gram = window, min(gram, window)
 
