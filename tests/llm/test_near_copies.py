@@ -86,3 +86,17 @@ def test_near_copies_edges(spark):
     rows = [(None, text, None), (5, text + " more", "w"), (5, text, "w"), (3, None, "w"), (9, "", "w"), (None, "alone", "k")]
     kept = near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((r.doc_id or 0, r.w) for r in kept) == [(0, "k"), (3, "w"), (5, "w")]
+
+
+def test_sketches_never_tell_too_little():
+    import numpy as np
+
+    from lodestrata.llm.near_copies import most_shared, sketch
+
+    rng = np.random.default_rng(3)
+    for n, m, both in ((1, 1, 1), (300, 280, 250), (5000, 1200, 900), (40, 90_000, 30), (3, 3, 0)):
+        shared = rng.integers(0, 1 << 63, both).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, size - both).astype(np.uint64)])) for size in (n, m))
+        assert most_shared(sketch(a), sketch(b)) >= len(np.intersect1d(a, b))
+    full = np.arange(1000, dtype=np.uint64)  # all in one slot
+    assert most_shared(sketch(full), sketch(full)) == float("inf")
