@@ -5,18 +5,23 @@ the first candidates. A similarity of 0.8 often changes more bits than any key
 of a fingerprint tolerates, so the rest come from prefix filtering, which
 misses no pair: if all shingles stand in one global order, two sets of that similarity share an element among
 the first n - ceil(0.8 n) + 1 of their n elements. Any order gives the same
-links; this one puts shingles last that a sketch of counts knows as frequent,
-so that common passages seldom bring texts together.
+links; this one goes by a sketch of counts (2^22 slots, whose logarithms go to
+all tasks, 4 MB), frequent shingles last, so that common passages seldom bring
+texts together.
 
 A pair is compared in three steps. Each row has a sketch: how many of its
 distinct shingles fall into each of some slots. What two sketches have in
 common is at least what the sets have in common, so most pairs end there, and
 no text moves for them. Then hashes of shingles reject, and words accept.
 
-Rows that share an element are first compared with the least of them, which
-joins large groups by few comparisons. Then every pair of such rows that is
-still in different components is compared, so the components are those of all
-links.
+A pair is looked at under the first element that both have: what stands before
+it in either set isn't shared, so the rest of the smaller side bounds what is.
+Rows that share an element are first compared with the one of them that has the
+least before it, which joins large groups by few comparisons: of texts that are
+a common passage and something of their own, two that are alike are both alike
+to the one with the least of its own. Then the pairs that are still in different
+components and whose bound leaves room are compared, so the components are those
+of all links.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +42,8 @@ from .simhash import components, fingerprint, print_links
 SHINGLE_WORDS = 5
 #: Similarity of at least 4 / 5.
 SHARE, OF = 4, 5
-SLOTS = 1 << 18
-SLOT_PARTS = 16
+SLOTS = 1 << 22
+SLOT_PARTS = 32
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
 SMALL_GROUP = 64
@@ -97,29 +103,36 @@ def _chunks(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[int, list[tu
         yield start, held
 
 
+def _shut(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<i4").tobytes())
+
+
+def _open(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i4").astype(np.int64)
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SLOTS, np.int64)
+    counts = np.zeros(SLOTS, np.int32)
     for batch in batches:
-        for _, texts in _chunks(batch, "text"):
-            every = np.concatenate(shingle_hashes([t for (t,) in texts]))
-            counts += np.bincount((every & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-    yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_PARTS), pa.int64()), pa.array([x.astype("<i8").tobytes() for x in np.split(counts, SLOT_PARTS)], pa.binary())], ["part", "counts"])
+        for _, rows in _chunks(batch, "text"):
+            slots, often = np.unique(np.concatenate(shingle_hashes([t for (t,) in rows])) & np.uint64(SLOTS - 1), return_counts=True)
+            counts[slots.astype(np.int64)] += often.astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_PARTS), pa.int64()), pa.array([_shut(x) for x in np.split(counts, SLOT_PARTS)], pa.binary())], ["part", "counts"])
 
 
 def _summed_counts(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), "<i8") for x in table.column("counts"))
-    return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    total = sum(_open(x.as_py()) for x in table.column("counts"))
+    levels = np.floor(np.log2(1 + total)).astype(np.uint8)
+    return pa.table({"part": table.column("part")[:1], "total": pa.array([int(total.sum())], pa.int64()), "levels": pa.array([zstandard.ZstdCompressor(level=1).compress(levels.tobytes())], pa.binary())})
 
 
 def slot_levels(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """(level of each slot of shingles: how many times it doubles the mean, number of shingles)."""
-    parts = texts.select("text").mapInArrow(_count_batches, "part long, counts binary").groupBy("part").applyInArrow(_summed_counts, "part long, counts binary").collect()
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.counts, "<i8") for r in sorted(parts, key=lambda r: r.part))])
-    total = int(counts.sum())
-    if not total:
+    """(level of each slot of shingles: the logarithm of its count, number of shingles)."""
+    parts = texts.select("text").mapInArrow(_count_batches, "part long, counts binary").groupBy("part").applyInArrow(_summed_counts, "part long, total long, levels binary").collect()
+    if not parts:
         return np.zeros(SLOTS, np.uint8), 0
-    mean = max(1, total // SLOTS)
-    return np.floor(np.log2(1 + counts // mean)).clip(0, 30).astype(np.uint8), total
+    levels = [np.frombuffer(zstandard.ZstdDecompressor().decompress(r.levels), np.uint8) for r in sorted(parts, key=lambda r: r.part)]
+    return np.concatenate(levels), sum(r.total for r in parts)
 
 
 def prefix(hashes: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
@@ -154,10 +167,9 @@ def _prefix_batches(levels: np.ndarray, n_buckets: int):
 
 
 def _may_be_alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether entries with the same key leave room for the similarity, by what may be shared before and after the key."""
+    """Whether entries with the same key, the first that both sets have, leave room for the similarity."""
     nx, ny = x["size"].astype(np.int64), y["size"].astype(np.int64)
-    px, py = x["place"].astype(np.int64), y["place"].astype(np.int64)
-    most = np.minimum(px, py) + np.minimum(nx - px, ny - py)
+    most = np.minimum(nx - x["place"], ny - y["place"])
     return (SHARE + OF) * most >= SHARE * (nx + ny)
 
 
@@ -176,16 +188,16 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _star_pairs(table: pa.Table) -> pa.Table:
-    """Pairs with the least row of each key, and the entries of keys that have further pairs."""
+    """Pairs with the row of each key that has the least before it, and the entries of keys that have further pairs."""
     entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
     entries = entries[np.argsort(entries["key"], kind="stable")]
     _, sizes = _groups(entries["key"])
     entries = entries[np.repeat(sizes > 1, sizes)]
-    entries = entries[np.lexsort((entries["row"], entries["key"]))]
+    entries = entries[np.lexsort((entries["row"], entries["size"], entries["place"], entries["key"]))]
     start, sizes = _groups(entries["key"])
-    least = entries[np.repeat(start, sizes)]
-    fit = (least["row"] != entries["row"]) & _may_be_alike(least, entries)
-    a, b = _distinct(least["row"][fit], entries["row"][fit])
+    centre = entries[np.repeat(start, sizes)]
+    fit = (centre["row"] != entries["row"]) & _may_be_alike(centre, entries)
+    a, b = _distinct(centre["row"][fit], entries["row"][fit])
     more = entries[np.repeat(sizes > 2, sizes)]
     n = len(a)
     return pa.table({
@@ -209,10 +221,10 @@ def _other_pairs(table: pa.Table) -> pa.Table:
     for c in ENTRY.names:
         entries[c] = table.column(c).to_numpy()
     root = table.column("root").to_numpy()
-    order = np.lexsort((entries["row"], entries["key"]))
+    order = np.lexsort((entries["size"], entries["key"]))
     entries, root = entries[order], root[order]
     start, sizes = _groups(entries["key"])
-    mixed = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), sizes)
+    mixed = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), sizes) if len(start) else np.zeros(0, bool)
     entries, root = entries[mixed], root[mixed]
     start, sizes = _groups(entries["key"])
     small = np.repeat(sizes <= SMALL_GROUP, sizes)
@@ -224,11 +236,15 @@ def _other_pairs(table: pa.Table) -> pa.Table:
         a.append(x["row"][fit])
         b.append(y["row"][fit])
     for s, n in zip(start[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist(), strict=True):
-        for i in range(s, s + n - 1):
-            y = entries[i + 1 : s + n]
-            fit = np.flatnonzero(root[i] != root[i + 1 : s + n])
-            fit = fit[_may_be_alike(entries[i : i + 1], y[fit])]
-            a.append(np.full(len(fit), entries["row"][i]))
+        size = entries["size"][s : s + n].astype(np.int64)
+        rest = size - entries["place"][s : s + n]
+        # A partner is at least as large, and not larger than what the rest of this one allows.
+        ends = s + np.searchsorted(size, (SHARE + OF) * rest // SHARE - size, side="right")
+        for i in np.flatnonzero(ends > np.arange(s, s + n) + 1).tolist():
+            y = entries[s + i + 1 : ends[i]]
+            fit = np.flatnonzero(root[s + i] != root[s + i + 1 : ends[i]])
+            fit = fit[_may_be_alike(entries[s + i : s + i + 1], y[fit])]
+            a.append(np.full(len(fit), entries["row"][s + i]))
             b.append(y["row"][fit])
     x, y = _distinct(np.concatenate(a), np.concatenate(b))
     return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
