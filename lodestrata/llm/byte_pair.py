@@ -15,6 +15,8 @@ from tokenizers import Tokenizer
 CACHE_WORDS = 300_000
 CACHED_WORD_BYTES = 64
 NO_MERGE = 1 << 62
+#: Code points of the Latin, Greek and Cyrillic alphabets, none of which composes with another letter.
+ALPHABETS = [*range(0xC0, 0x250), *range(0x370, 0x530)]
 #: Marks that are a piece of their own after letters.
 SENTENCE_MARKS = (b".", b",", b";", b":", b"!", b"?")
 
@@ -47,6 +49,9 @@ class BytePairEncoder:
         library = Tokenizer.from_file(path)
         self.normalised, self.split_letters = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.byte_of = {ord(c): b for b, c in enumerate(byte_letters())}
+        # Lower-case letters that the library leaves as they are and together; words of them alone are one piece.
+        alphabet = [c for c in map(chr, ALPHABETS) if self.normalised(f"a{c}{c}b") == f"a{c}{c}b" and len(self.split_letters(f"a{c}{c}b")) == 1]
+        self.plain_word = regex.compile("[a-z" + "".join(map(regex.escape, alphabet)) + "]+")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")")
         self.strings = {i: s for s, i in [*self.vocabulary.items(), *self.special.items()]}
@@ -116,6 +121,10 @@ class BytePairEncoder:
         if word[-1:] in SENTENCE_MARKS and word[:-1].isalpha() and word.islower():
             return pieces[word[:-1]] + pieces[word[-1:]]
         text = word.decode("utf-8", "replace")
+        if self.plain_word.fullmatch(text):
+            return pieces[word]
+        if word[-1:] in SENTENCE_MARKS and self.plain_word.fullmatch(text[:-1]):
+            return pieces[word[:-1]] + pieces[word[-1:]]
         if "<|" not in text:
             return b"".join([pieces[p] for p in self.cut(text)])
         out = []
