@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, durable, shuffle_width
 from .recompression import word_hashes
-from .rolling import mix
+from .rolling import distinct, mix
 from .simhash import components, fingerprint, print_links
 
 SHINGLE_WORDS = 5
@@ -138,7 +138,7 @@ def slot_levels(texts: DataFrame) -> tuple[np.ndarray, int]:
 def prefix(hashes: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
     """(first elements of a set in the global order, one of which any set of the wanted similarity has among its own; size of the set)."""
     order = levels[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | hashes >> np.uint64(6)
-    order = np.unique(order)
+    order = distinct(order)
     n = len(order)
     return order[: n - -(-SHARE * n // OF) + 1].view(np.int64), n
 
@@ -252,7 +252,7 @@ def _other_pairs(table: pa.Table) -> pa.Table:
 
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sets(texts: list[bytes]) -> list[np.ndarray]:
-        return [np.unique(x) for x in shingle_hashes(texts)]
+        return [distinct(x) for x in shingle_hashes(texts)]
 
     for batch in batches:
         fit = []
@@ -290,7 +290,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for _, rows in _chunks(batch, "text"):
             texts = [t for (t,) in rows]
             prints += [fingerprint(t, SHINGLE_WORDS) for t in texts]
-            for hashes in map(np.unique, shingle_hashes(texts)):
+            for hashes in map(distinct, shingle_hashes(texts)):
                 sizes.append(len(hashes))
                 sketches.append(sketch(hashes))
         columns = [batch.column("row"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]

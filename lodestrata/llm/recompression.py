@@ -102,7 +102,9 @@ def window_names(words: np.ndarray, ladder: list[Symbols], doc: np.ndarray, end:
     todo = np.flatnonzero(place + window <= end[doc]) if n else place
     inside = []
     for level in ladder:
-        a, b = np.searchsorted(level.low, todo), np.searchsorted(level.high, todo + window, side="right")
+        # How many symbols begin before the window, and how many end inside it or before; counted, as there is a place for each word.
+        a = np.cumsum(np.bincount(level.low + 1, minlength=n + 1))[todo]
+        b = np.cumsum(np.bincount(level.high, minlength=n + 1))[todo + window]
         dead = np.concatenate([[0], np.cumsum(level.name == 0)])
         alive = (a >= b) | (dead[np.maximum(a, b)] == dead[a])
         todo = todo[alive]

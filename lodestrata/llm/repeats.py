@@ -47,14 +47,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, durable, durable_by, shuffle_width
-from .rolling import mix
+from .rolling import distinct, mix
 
 #: (least, most) bytes of text in a block and in a part, and the share of the input that they are in between.
 BLOCK_BYTES, BLOCK_SHARE = (4 << 20, 64 << 20), 1 << 16
 PART_BYTES, PART_SHARE = (4 << 20, 128 << 20), 1 << 14
 #: Texts of a part that are judged at once.
 JUDGED_BYTES = 2 << 20
-#: Buckets that blocks are dealt over: two for each block, so that few get several.
+#: Buckets that blocks are dealt over: one for each block, up to so many.
 MAX_BUCKETS = 1 << 16
 #: Runs from which on a name is hot.
 HOT_RUNS = 1 << 14
@@ -229,7 +229,7 @@ def _named_units(strategy: Strategy, texts: list[bytes], replies: pa.Table | Non
     answers = {} if replies is None else {(r, p): x for r, p, x in zip(*(replies.column(c).to_pylist() for c in ("round", "part", "numbers")), strict=True)}
     for r in range(rounds):
         keys, _ = units.keys()
-        known = np.unique(keys)
+        known = distinct(keys)
         numbers = np.zeros(len(known), np.uint64)
         for p, at in _by_part(_parts(known, n_parts, 1)):
             numbers[at] = _open_numbers(answers[r, p], len(at), p, n_parts)
@@ -536,7 +536,7 @@ def remove_repeats(
     block_bytes = block_bytes or _between(BLOCK_BYTES, size // BLOCK_SHARE)
     part_bytes = part_bytes or _between(PART_BYTES, size // PART_SHARE)
     made = packed.mapInArrow(_block_batches(block_bytes), "block long, docs binary")
-    buckets = min(MAX_BUCKETS, max(shuffle_width(docs.sparkSession), 2 * size // block_bytes))
+    buckets = min(MAX_BUCKETS, max(shuffle_width(docs.sparkSession), size // block_bytes + 1))
     blocks = durable_by(made, "repeat-blocks", "block", buckets)
     verdicts = _verdicts(blocks, strategy, False, size, part_bytes, judged_bytes, hot_runs)
     schema = f"carry {carried.simpleString()}, n_units long, n_removed long, n_spans long, kept_sha256 string, kept_text string"

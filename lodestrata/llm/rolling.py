@@ -29,6 +29,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which is quicker here than numpy's hash table."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])]
+
+
 class SliceHash:
     """Hashes of any slices of one piece of at most PIECE uint64 or uint8 values."""
 
