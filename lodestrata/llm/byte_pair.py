@@ -50,8 +50,8 @@ class BytePairEncoder:
         self.normalised, self.split_letters = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.byte_of = {ord(c): b for b, c in enumerate(byte_letters())}
         # Lower-case letters that the library leaves as they are and together; words of them alone are one piece.
-        alphabet = [c for c in map(chr, ALPHABETS) if self.normalised(f"a{c}{c}b") == f"a{c}{c}b" and len(self.split_letters(f"a{c}{c}b")) == 1]
-        self.plain_word = regex.compile("[a-z" + "".join(map(regex.escape, alphabet)) + "]+")
+        self.alphabet = [c for c in map(chr, ALPHABETS) if self.normalised(f"a{c}{c}b") == f"a{c}{c}b" and len(self.split_letters(f"a{c}{c}b")) == 1]
+        self.plain_word = regex.compile("[a-z" + "".join(map(regex.escape, self.alphabet)) + "]+")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")")
         self.strings = {i: s for s, i in [*self.vocabulary.items(), *self.special.items()]}

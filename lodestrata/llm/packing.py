@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .byte_pair import BytePairEncoder, Store, encoder, packed, split_words, word_store
+from .byte_pair import BytePairEncoder, encoder, packed, split_words
 from .common import as_bytes
+from .many_words import ManyStore, ManyWords
 
 LENGTH, END_ID = 4096, 2
 SENTENCE_PENALTY, INNER_PENALTY = 4, 12
@@ -39,6 +40,8 @@ INNER_STEP = 64
 HORIZON_WINDOWS, REPLANNED_WINDOWS = 128, 4
 #: Words in a generation of a worker's store; their ids are small.
 KEPT_WORDS = 500_000
+#: Texts are encoded together until they have this many bytes, so that their new words are merged together.
+CHUNK_BYTES = 1 << 20
 
 
 def choose_cuts(positions: np.ndarray, penalties: np.ndarray, length: int) -> list[int]:
@@ -137,10 +140,23 @@ class Packer:
 
 
 @functools.cache
-def _packed_words(path: str, kept_words: int) -> tuple[BytePairEncoder, Store]:
+def _packed_words(path: str, kept_words: int) -> tuple[BytePairEncoder, ManyStore]:
     """One for each worker process, so that tasks share what is known."""
     tokenizer = encoder(path, True, kept_words * 3 // 5)
-    return tokenizer, word_store(tokenizer, bytes, kept_words)
+    return tokenizer, ManyStore(ManyWords(tokenizer), kept_words)
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[list[tuple[object, bytes]]]:
+    """The (doc_id, text) of a batch in order, CHUNK_BYTES together or one longer text."""
+    chunk, held = [], 0
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        chunk.append((doc_id, text.as_py()))
+        held += len(chunk[-1][1])
+        if held >= CHUNK_BYTES:
+            yield chunk
+            chunk, held = [], 0
+    if chunk:
+        yield chunk
 
 
 def _pack_batches(path: str, length: int, end_id: int, kept_words: int, schema: pa.Schema):
@@ -156,9 +172,11 @@ def _pack_batches(path: str, length: int, end_id: int, kept_words: int, schema:
 
         for batch in batches:
             pieces = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.frombuffer(b"".join(map(words.__getitem__, split_words(text.as_py()))) + end, "<u4")
-                pieces += packer.add(doc_id, ids)
+            for chunk in _chunks(batch):
+                encoded = [list(map(words.__getitem__, split_words(text))) for _, text in chunk]
+                words.fill()
+                for (doc_id, _), ids in zip(chunk, encoded, strict=True):
+                    pieces += packer.add(doc_id, np.frombuffer(b"".join(ids) + end, "<u4"))
             if pieces:
                 yield made(pieces)
         if pieces := list(packer.finish()):
