@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format
+from . import cap_filters, chat_format
+from . import collocations as phrases
 from .bpe import bpe_digests
+from .conversation_repair import repair_conversations
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .quality_rules import quality_rules
@@ -61,11 +63,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_quality_rules, op3_suffix_dedup, op4_warc, op5_substring_dedup,
         op6_bpe, op7_exact_dedup, op8_packing, op9_simhash, op10_chat_format,
+        op11_conversation_repair, op12_collocations, op13_near_vectors,
     )
 }
 
@@ -105,4 +120,6 @@ ranked AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w
 SELECT doc_id, keep_id, CAST(count(*) OVER (PARTITION BY bare) AS BIGINT) AS group_size, r = 1 AS kept, sha256(bare) AS text_sha256 FROM ranked
 """,
     "op10_chat_format": chat_format.ORACLE_SQL,
+    "op12_collocations": phrases.ORACLE_SQL,
+    "op13_near_vectors": cap_filters.ORACLE_SQL,
 }
