@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import corpora as C
+from . import given_tables
 from .case_rows import CASE_SQL
 
 _FINDINGS = """
@@ -86,6 +87,7 @@ e AS (SELECT DISTINCT module_id AS src, m.id AS dst FROM res JOIN m ON m.path =
 
 ORACLE_SQL = {
     **CASE_SQL,
+    **given_tables.ORACLE_SQL,
     "byte_entropies": f"WITH {_ENTROPY} SELECT doc_id, round(coalesce(e, 0), 6) AS entropy FROM documents LEFT JOIN entropies USING (doc_id)",
     "line_metrics": f"SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN right(text, 1) = chr(10) THEN 0 ELSE 1 END END AS BIGINT) AS line_count, CAST({_LINES} AS BIGINT) AS max_line_length FROM documents",
     "longest_runs": f"SELECT doc_id, CAST({_runs('text', '[0-9A-Fa-f]+')} AS BIGINT) AS hex_run, CAST({_runs('text', '[A-Za-z0-9+/=]+')} AS BIGINT) AS base64_run, CAST({_runs('text', '[ \\t]+')} AS BIGINT) AS blank_run FROM documents",

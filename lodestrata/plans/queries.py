@@ -23,11 +23,11 @@ from ..operators.languages import matched
 from ..operators.signatures import SIGNATURES, matches
 from ..sources.walk import WALK_SCHEMA, expand_archives
 from . import corpora as C
-from . import scenarios
+from . import given_tables, scenarios
 from .scan import scan_rows, summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = dict(scenarios.QUERIES)
+QUERIES: dict[str, Query] = scenarios.QUERIES | given_tables.QUERIES
 
 
 def query(f: Query) -> Query:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..js.tables import analyse_sources, flow_findings
 from ..limits import PROFILES, ScanLimits
 from ..operators import graph as G
+from ..operators.budget import within_budget
 from ..operators.configs import analyse_configs, execution_roots
 from ..operators.files import classify
 from ..operators.findings import FINDING_FIELDS, cap_per_repo, finding, risk, severity_rank
 from ..operators.languages import analyse_languages
+from ..operators.ranges import places
 from ..schemas import FILES
 from ..sources.walk import walk_repositories
 from ..storage import durable
@@ -53,22 +54,15 @@ class ScanResult:
 
 
 def greedy_modules(modules: DataFrame, limits: ScanLimits) -> tuple[DataFrame, DataFrame]:
-    """(modules within the budgets, reasons): a module that doesn't fit is left out, later smaller ones may still fit. Only sizes are folded."""
-
-    def fold(table: pd.DataFrame) -> pd.DataFrame:
-        count = total = 0
-        out = []
-        for r in table.sort_values("seq").itertuples(index=False):
-            fits = count < limits.modules and total + r.source_bytes <= limits.module_bytes
-            if fits:
-                count, total = count + 1, total + r.source_bytes
-            out.append((r.repo_id, r.seq, fits))
-        return pd.DataFrame(out, columns=["repo_id", "seq", "fits"])
-
+    """(modules within the budgets, reasons): a module that doesn't fit is left out, later smaller ones may still fit, up to so many. Only sizes are folded, of repositories that are over a budget."""
     sizes = modules.select("repo_id", "seq", "source_bytes")
     over = sizes.groupBy("repo_id").agg(F.count("*").alias("n"), F.sum("source_bytes").alias("b")).filter((F.col("n") > limits.modules) | (F.col("b") > limits.module_bytes)).select("repo_id")
-    verdicts = durable(sizes.join(over, "repo_id", "left_semi").groupBy("repo_id").applyInPandas(fold, "repo_id string, seq long, fits boolean"), "module-budget")
-    dropped = verdicts.filter("not fits")
+    todo = durable(sizes.join(over, "repo_id", "left_semi"), "module-sizes")
+    dropped = todo.select("repo_id", "seq")
+    if not todo.isEmpty():
+        judged = durable(within_budget(todo, "repo_id", ["seq"], "source_bytes", limits.module_bytes), "module-budget")
+        late = places(judged.filter("fits").select("repo_id", "seq"), ["repo_id"], ["seq"]).filter(F.col("place") > limits.modules)
+        dropped = durable(judged.filter("not fits").select("repo_id", "seq").unionByName(late.select("repo_id", "seq")), "module-dropped")
     first = dropped.groupBy("repo_id").agg(F.min("seq").alias("seq")).join(modules.select("repo_id", "seq", "path", "origin"), ["repo_id", "seq"])
     where = F.when(F.col("origin") == "archive", F.concat(F.lit("archive member "), "path")).otherwise(F.col("path"))
     text = F.concat(F.lit(f"JS/TS global semantic analysis limit of {limits.modules} modules or {limits.module_bytes} source bytes reached before "), where, F.lit("; additional modules were omitted"))
