@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import durable
-from .ranges import in_ranges
+from .ranges import in_ranges, n_parts
 
 _KEYS = "_part int, _group string"
 
@@ -160,7 +160,7 @@ def within_budget(rows: DataFrame, group: str | Column, order: list[str | Column
     if budget < 0:
         raise ValueError("a budget is not negative")
     named = rows.withColumns({"_group": (F.col(group) if isinstance(group, str) else group).cast("string"), "_size": F.coalesce(F.col(size) if isinstance(size, str) else size, F.lit(0)).cast("long")})
-    ranged = in_ranges(named, ["_group"], order, parts, "budget-rows")
+    ranged = in_ranges(named, ["_group"], order, parts or n_parts(named), "budget-rows")
     sized = ranged.select("_part", "_group", "_at", "_size")
     starts = rows.sparkSession.createDataFrame(_starts(sized, budget), _KEYS + ", _rest long")
     folded = sized.groupBy("_part").cogroup(starts.groupBy("_part")).applyInArrow(_fold_groups(budget), "_part int, _at long, fits boolean, left long")

@@ -8,13 +8,14 @@ function), roots(repo_id, seq, file, trigger, line).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import IMPORT_SUFFIXES, has_code_extension, resolve_from
 from ..limits import DEFAULT
 from ..storage import durable
 from .findings import finding, first_per_key
+from .ranges import places
 
 # Modules of the runtime, capabilities, signal prefixes.
 BUILTIN_MODULES = ["fs", "os", "path", "http", "https", "vm", "child_process", "crypto", "net", "tls"]
@@ -264,5 +265,5 @@ def union_in_order(parts: list[DataFrame]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str | Column], name: str = "emit_seq") -> DataFrame:
-    """rows with their place within their repository."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy("repo_id").orderBy(*order)).cast("long"))
+    """rows with their place within their repository, which may lie in many partitions."""
+    return places(rows, ["repo_id"], order, name)

@@ -23,9 +23,9 @@ def n_parts(rows: DataFrame) -> int:
 
 
 def in_ranges(rows: DataFrame, group: list[str | Column], order: list[str | Column], parts: int | None = None, label: str = "ranges") -> DataFrame:
-    """rows, written in order, with _part and _at: the number of their range partition and their place in it, from 0."""
+    """rows, written in order, with _part and _at: the number of their range partition and their place in it, from 0. By default there are as many partitions as the session deals a shuffle in."""
     keys = [*group, *order]
-    dealt = rows.repartitionByRange(parts or n_parts(rows), *keys).sortWithinPartitions(*keys)
+    dealt = (rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     number = dealt.withColumn("_row", F.monotonically_increasing_id())
     split = number.withColumns({"_part": F.shiftright("_row", PLACE_BITS).cast("int"), "_at": F.col("_row").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))})
     return durable(split.drop("_row"), label)
