@@ -1,14 +1,17 @@
 """Phrase collocations by generalised suffix automata.
 
 1. Pieces of texts are packed into blocks, each of one language, and written
-   once, in buckets.
-2. Each block counts its words, and pairs of neighbouring words under 64-bit
-   names. Both are summed over all blocks. A block learns which of its pairs
-   are frequent: only runs of words whose every pair is frequent can hold a
-   frequent phrase. (Two pairs of one name only leave longer runs.)
-3. Each block builds a generalised suffix automaton over its distinct runs,
-   with the number of occurrences as size of each state's endpos set, and lists
-   the substrings of 2 to 5 words with their counts. A substring that isn't the
+   once, in buckets: as numbers into the block's list of words.
+2. Three rounds tell each block which of its words, pairs and triples are
+   frequent. A block sends 40-bit names of its own distinct ones with their
+   counts, some 3 bytes each, and gets a bit for each. Only pairs of frequent
+   words are named, and only triples of frequent pairs. (Two of one name only
+   mean that more is kept than need be.)
+3. Each block cuts its pieces where a pair isn't frequent, and at the middle
+   word of a triple that isn't; no frequent phrase is cut by that. It builds a
+   generalised suffix automaton over the distinct runs that are left, with the
+   number of occurrences as size of each state's endpos set, and lists the
+   substrings of 2 to 5 words with their counts. A substring that isn't the
    longest of its state always follows the same word: the suffix links, which
    give each state's shortest string, tell that; a state with one transition to
    a state of its own count is always followed by the same word.
@@ -42,6 +45,8 @@ MIN_WORDS, MAX_WORDS = 2, 5
 MIN_COUNT, TOP = 100, 2000
 #: Text in a block, and text of all open blocks of a task.
 BLOCK_BYTES, OPEN_BYTES = 8 << 20, 48 << 20
+#: Names of words, pairs and triples, and names that are counted together.
+NAME_BITS, PART_NAMES = 40, 1 << 22
 #: Words of distinct runs in one automaton (a single run may be longer).
 AUTOMATON_WORDS = 1 << 17
 #: Parts that a language's phrases are ranked in before the last ranking.
@@ -121,6 +126,22 @@ class Automaton:
                 yield tuple(self.words[end - n : end]), count[state], *((before, after) if n < most else (0, 0))
 
 
+def _shut(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _open(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def _numbered(held: list[bytes]) -> bytes:
+    """Pieces as their distinct words, from 1, and numbers, 0 after each piece."""
+    numbers: dict[bytes, int] = {b"\n": 0}
+    ids = np.array([numbers.setdefault(w, len(numbers)) for piece in held for w in (*piece.split(b" "), b"\n")], "<i4")
+    words = b"\n".join(list(numbers)[1:])
+    return _shut(len(words).to_bytes(8, "little"), words, ids.tobytes())
+
+
 def _block_batches(block_bytes: int):
     """Packs pieces into blocks of one language. A piece is never cut."""
 
@@ -132,8 +153,7 @@ def _block_batches(block_bytes: int):
             nonlocal number
             _, words, held = open_blocks.pop(lang)
             number += 1
-            body = zstandard.ZstdCompressor(level=1).compress(b"\n".join(held))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lang]), pa.array([words], pa.int64()), pa.array([body], pa.binary())], ["block", "lang", "words", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lang]), pa.array([words], pa.int64()), pa.array([_numbered(held)], pa.binary())], ["block", "lang", "words", "body"])
 
         total = 0
         for batch in batches:
@@ -158,55 +178,124 @@ def _block_batches(block_bytes: int):
 
 
 class _Block:
-    """The pieces of one block as numbers: 0 ends a piece, words count from 1."""
+    """The pieces of one block, and what replies have said about its words, pairs and triples so far."""
+
+    def __init__(self, table: pa.Table, replies: pa.Table | None = None) -> None:
+        self.number, self.lang = table.column("block")[0].as_py(), table.column("lang")[0].as_py()
+        body = _open(table.column("body")[0].as_py())
+        size = int.from_bytes(body[:8], "little")
+        self.words = [b"", *body[8 : 8 + size].split(b"\n")]
+        self.ids = np.frombuffer(body, "<i4", offset=8 + size).astype(np.int64)
+        seed = xxhash.xxh64_intdigest(self.lang)
+        self._names = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], np.uint64)
+        self._flags: dict[int, list[tuple[int, np.ndarray]]] = {}
+        self._known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        if replies is not None:
+            columns = (replies.column(c).to_pylist() for c in ("round", "part", "n", "flags"))
+            for gram, part, n, flags in zip(*columns, strict=True):
+                self._flags.setdefault(gram, []).append((part, np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool)))
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, names) of all that begin a gram of n words whose shorter grams are all frequent."""
+        if n not in self._known:
+            at = np.flatnonzero(self.ids > 0)
+            if n > 1:
+                at = self.frequent(n - 1)
+                at = at[:-1][np.diff(at) == 1]  # a shorter gram there and at the next place
+            name = self._names[self.ids[at]]
+            for i in range(1, n):
+                name = name * np.uint64(0x9E3779B97F4A7C15) + self._names[self.ids[at + i]]
+            name = (name ^ name >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            self._known[n] = at, name >> np.uint64(64 - NAME_BITS)
+        return self._known[n]
+
+    def frequent(self, n: int) -> np.ndarray:
+        """The places of grams(n) that all blocks together have often enough, as replies say."""
+        at, names = self.grams(n)
+        place = np.unique(names, return_inverse=True)[1]
+        flags = [f for _, f in sorted(self._flags.get(n, ()), key=lambda x: x[0])]
+        return at[np.concatenate(flags)[place]] if flags else at[:0]
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Bytes of equal weight together, as they compress."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+_ASKED = "part int, block long, n int, names binary"
+_REPLIES = "block long, part int, round int, n int, flags binary"
+
+
+def _ask(gram: int, parts: int, enough: int):
+    """The block's distinct names for each part, sorted, as steps, with their counts (as far as they matter)."""
+
+    def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("names", pa.binary())])
+        if not blocks.num_rows:
+            return schema.empty_table()
+        names, counts = np.unique(_Block(blocks, replies).grams(gram)[1], return_counts=True)
+        if not len(names):
+            return schema.empty_table()
+        part = (names * np.uint64(parts)) >> np.uint64(NAME_BITS)
+        found, starts = np.unique(part, return_index=True)
+        sent = [_shut(_planes(np.diff(n, prepend=np.uint64(0))), _planes(np.minimum(c, enough))) for n, c in zip(np.split(names, starts[1:]), np.split(counts, starts[1:]), strict=True)]
+        sizes = np.diff(np.append(starts, len(names)))
+        return pa.Table.from_arrays([pa.array(found.astype(np.int32)), pa.array([blocks.column("block")[0].as_py()] * len(found), pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(sent, pa.binary())], schema=schema)
+
+    return run
 
-    def __init__(self, table: pa.Table) -> None:
-        self.lang = table.column("lang")[0].as_py()
-        found = zstandard.ZstdDecompressor().decompress(table.column("body")[0].as_py()).replace(b"\n", b" \n ").split(b" ")
-        numbers: dict[bytes, int] = {b"\n": 0}
-        self.ids = np.array([numbers.setdefault(w, len(numbers)) for w in found], np.int64)
-        self.words = list(numbers)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(places of words that another follows in their piece, the 64-bit names of these pairs)."""
-        seed = xxhash.xxh64_intdigest(self.lang)
-        names = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], np.uint64)
-        at = np.flatnonzero((self.ids[:-1] > 0) & (self.ids[1:] > 0))
-        name = names[self.ids[at]] * np.uint64(0x9E3779B97F4A7C15) + names[self.ids[at + 1]]
-        return at, (name ^ name >> np.uint64(32)).view(np.int64)
+def _answer(gram: int, enough: int):
+    """For each block that asked, a bit for each of its names: whether all blocks have it often enough."""
 
+    def run(asked: pa.Table) -> pa.Table:
+        sizes = asked.column("n").to_numpy()
+        opened = [_open(x.as_py()) for x in asked.column("names")]
+        names = np.concatenate([np.cumsum(_from_planes(x[: len(x) // 2]), dtype=np.uint64) for x in opened])
+        counts = np.concatenate([_from_planes(x[len(x) // 2 :]) for x in opened])
+        distinct, place = np.unique(names, return_inverse=True)
+        often = np.zeros(len(distinct), np.uint64)
+        np.add.at(often, place, counts)
+        flags = (often >= enough)[place]
+        bits = [np.packbits(f).tobytes() for f in np.split(flags, np.cumsum(sizes)[:-1])]
+        rounds = pa.array(np.full(len(sizes), gram, np.int32))
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "round": rounds, "n": asked.column("n"), "flags": pa.array(bits, pa.binary())})
 
-def _count_words(table: pa.Table) -> pa.Table:
-    block = _Block(table)
-    counts = np.bincount(block.ids, minlength=len(block.words))[1:]
-    lang = pa.DictionaryArray.from_arrays(np.zeros(len(counts), np.int32), [block.lang]).cast(pa.string())
-    return pa.table({"lang": lang, "phrase": pa.array(block.words[1:], pa.binary()).cast(pa.string()), "a": counts.astype(np.int64)})
+    return run
 
 
-def _count_pairs(table: pa.Table) -> pa.Table:
-    names, counts = np.unique(_Block(table).pairs()[1], return_counts=True)
-    block = np.full(len(names), table.column("block")[0].as_py(), np.int64)
-    return pa.table({"block": block, "name": names, "n": counts.astype(np.int64)})
+def _list_words(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+    """The block's frequent words with their counts."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64())])
+    if not blocks.num_rows:
+        return schema.empty_table()
+    block = _Block(blocks, replies)
+    found, counts = np.unique(block.ids[block.frequent(1)], return_counts=True)
+    return pa.Table.from_arrays([pa.array([block.lang] * len(found), pa.string()), pa.array([block.words[i].decode() for i in found.tolist()], pa.string()), pa.array(counts.astype(np.int64))], schema=schema)
 
 
-def _runs(block: _Block, frequent: np.ndarray) -> Counter:
-    """Longest runs of words whose every neighbouring pair is frequent, with how often each stands in the block."""
-    at, names = block.pairs()
-    at = at[np.isin(names, frequent)]
+def _runs(block: _Block) -> Counter:
+    """Longest runs of words whose every pair and triple is frequent, with how often each stands in the block. Runs that meet in an infrequent triple share its middle word."""
+    at = block.frequent(2)
     if not len(at):
         return Counter()
-    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    triples = np.zeros(len(block.ids) + 1, bool)
+    triples[block.frequent(3)] = True
+    first = np.flatnonzero((np.diff(at, prepend=-2) != 1) | ~triples[at - 1])  # the pair before doesn't lead here
     last = np.append(first[1:], len(at)) - 1
-    ids = block.ids
-    return Counter(tuple(ids[a : b + 2].tolist()) for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True))
+    return Counter(tuple(block.ids[a : b + 2].tolist()) for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True))
 
 
 def _list_phrases(least: int, most: int):
-    def run(blocks: pa.Table, names: pa.Table) -> pa.Table:
+    def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64()), ("before", pa.string()), ("after", pa.string())])
-        if not blocks.num_rows or not names.num_rows:
+        if not blocks.num_rows:
             return schema.empty_table()
-        block = _Block(blocks)
+        block = _Block(blocks, replies)
         words = [w.decode() for w in block.words]
         words[0] = None
         columns: list[list] = [[], [], [], []]
@@ -217,7 +306,7 @@ def _list_phrases(least: int, most: int):
                 for column, value in zip(columns, (" ".join([words[w] for w in phrase]), count, words[before], words[after]), strict=True):
                     column.append(value)
 
-        for sequence, weight in _runs(block, names.column("name").to_numpy()).items():
+        for sequence, weight in _runs(block).items():
             if automaton.words and len(automaton.words) + len(sequence) > AUTOMATON_WORDS:
                 send()
                 automaton = Automaton()
@@ -234,14 +323,18 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     made = texts.mapInArrow(_block_batches(BLOCK_BYTES), "block long, lang string, words long, body binary")
     blocks = durable_by(made, "phrase-blocks", "block", shuffle_width(docs.sparkSession))
     sizes = durable(blocks.groupBy("lang").agg(F.sum("words").alias("n")), "phrase-sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    parts = max(shuffle_width(docs.sparkSession), total // PART_NAMES + 1)
     of_block = blocks.groupBy("block")
-    counted = of_block.applyInArrow(_count_words, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    replies = docs.sparkSession.createDataFrame([], _REPLIES)
+    for gram in (1, 2, 3):
+        asked = of_block.cogroup(replies.groupBy("block")).applyInArrow(_ask(gram, parts, min_count), _ASKED)
+        replies = replies.unionByName(durable(asked.groupBy("part").applyInArrow(_answer(gram, min_count), _REPLIES), "phrase-replies"))
+    told = of_block.cogroup(replies.groupBy("block"))
+    counted = told.applyInArrow(_list_words, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
     words = durable(counted.filter(F.col("a") >= min_count), "phrase-words")
-    paired = of_block.applyInArrow(_count_pairs, "block long, name long, n long")
-    frequent = durable(paired.groupBy("name").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).select("name"), "phrase-pairs")
-    known = durable(paired.select("block", "name").join(frequent, "name", "left_semi"), "phrase-known")
     schema = "lang string, phrase string, a long, before string, after string"
-    listed = of_block.cogroup(known.groupBy("block")).applyInArrow(_list_phrases(MIN_WORDS, max_words), schema)
+    listed = told.applyInArrow(_list_phrases(MIN_WORDS, max_words), schema)
 
     def always(c: str):
         return (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
