@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators.automaton import Marker, marker_hits
 from ..operators.budget import within_budget
+from ..operators.graph import reachable_modules
 from ..operators.markers import marker_rules, rule_markers
+from ..operators.trees import digests, segments, stored_by_depth, tree_changes_by_descent, walk_order, within_walk
 from .corpora import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +131,124 @@ SELECT kind, id, rule, CAST(sum(k) AS BIGINT) AS markers, min(line) AS first_lin
 def marker_rules_of_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that hold for documents and pages, from the hits alone."""
     return marker_rules(_hits(spark, sf_dir), ["kind", "id"], [*rule_markers()[1], *CORPUS_RULES])
+
+
+# Path trees
+
+#: A walk of the pages' paths meets so many entries, and opens folders so deep.
+WALK_ENTRIES, WALK_DEPTH = 30, 1
+
+
+def _page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as leaves of a tree for each top-level domain: domain, other labels of the host, segments of the path."""
+    place = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    host = F.split(F.substring_index(place, "/", 1), "[.]")
+    names = F.concat(F.slice(F.reverse(host), 2, 8), segments(F.regexp_replace(place, "^[^/]*", "")))
+    return table(spark, sf_dir, "pages").select(F.element_at(host, -1).alias("repo_id"), names.alias("names"), "page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"))
+
+
+_PAGES = """
+p AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS place FROM pages),
+h AS (SELECT page_id, html, string_split(split_part(place, '/', 1), '.') AS host, list_filter(string_split(regexp_replace(place, '^[^/]*', ''), '/'), lambda x: x <> '') AS rest FROM p),
+leaves AS (SELECT page_id, html, host[-1] AS repo_id, list_concat(list_reverse(host)[2:], rest) AS names FROM h)
+"""
+_NODES = f"""
+{_PAGES},
+paths AS (SELECT DISTINCT repo_id, names FROM leaves WHERE len(names) > 0),
+found AS (SELECT repo_id, names[1:d] AS names, d AS depth, count(*) AS leaves FROM (SELECT *, unnest(range(1, len(names) + 1)) AS d FROM paths) GROUP BY ALL),
+level(repo_id, names, depth, leaves, place) AS (
+  SELECT repo_id, names, depth, leaves, row_number() OVER (PARTITION BY repo_id ORDER BY names[1]) FROM found WHERE depth = 1
+  UNION ALL SELECT f.repo_id, f.names, f.depth, f.leaves, row_number() OVER (PARTITION BY f.repo_id ORDER BY l.place, f.names[-1]) FROM level l JOIN found f ON f.repo_id = l.repo_id AND f.depth = l.depth + 1 AND f.names[1:l.depth] = l.names),
+above AS (SELECT repo_id, depth, count(*) AS n FROM level GROUP BY ALL),
+walked AS (SELECT l.*, place + coalesce((SELECT sum(n) FROM above a WHERE a.repo_id = l.repo_id AND a.depth < l.depth), 0) AS walked FROM level l),
+sizes AS (SELECT a.repo_id, a.names, count(*) AS size FROM found a JOIN found b ON a.repo_id = b.repo_id AND b.names[1:a.depth] = a.names GROUP BY ALL),
+firsts AS (SELECT a.repo_id, a.names, count(*) AS n FROM found a JOIN found b ON a.repo_id = b.repo_id AND b.names < a.names GROUP BY ALL),
+ends AS (SELECT a.repo_id, a.names, count(*) AS n FROM found a JOIN found b ON a.repo_id = b.repo_id AND (b.names < a.names AND a.names[1:b.depth] <> b.names OR b.names <> a.names AND b.names[1:a.depth] = a.names) GROUP BY ALL)
+"""
+
+
+@query(
+    f"""WITH RECURSIVE {_NODES}
+SELECT repo_id, array_to_string(names, '/') AS path, depth, leaves, size, CAST(walked AS BIGINT) AS walked, CAST(coalesce(f.n, 0) + 1 AS BIGINT) AS before, CAST(coalesce(e.n, 0) + 1 AS BIGINT) AS after
+FROM walked JOIN sizes USING (repo_id, names) LEFT JOIN firsts f USING (repo_id, names) LEFT JOIN ends e USING (repo_id, names)"""
+)
+def walk_order_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every folder and page of the paths of pages: its places in a breadth-first walk, before and after its children, and its subtree's size."""
+    walked = walk_order(_page_paths(spark, sf_dir))
+    return walked.select("repo_id", F.array_join("names", "/").alias("path"), F.col("depth").cast("long").alias("depth"), "leaves", "size", "walked", "before", "after")
+
+
+@query(
+    f"""WITH RECURSIVE {_NODES},
+seen AS (SELECT repo_id, names, depth, row_number() OVER (PARTITION BY repo_id ORDER BY walked) AS n FROM walked WHERE depth <= {WALK_DEPTH + 1})
+SELECT repo_id, array_to_string(names, '/') AS entry FROM seen WHERE n <= {WALK_ENTRIES}
+UNION ALL SELECT repo_id, 'maximum entry count {WALK_ENTRIES} reached' FROM seen GROUP BY repo_id HAVING count(*) > {WALK_ENTRIES}
+UNION ALL SELECT repo_id, 'maximum directory depth {WALK_DEPTH} reached at ' || array_to_string(names, '/') FROM seen JOIN sizes USING (repo_id, names) WHERE n <= {WALK_ENTRIES} AND depth = {WALK_DEPTH + 1} AND size > 1"""
+)
+def bounded_walk_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that a bounded walk over the paths of pages meets, and why it ends."""
+    kept, reasons = within_walk(walk_order(_page_paths(spark, sf_dir)), WALK_ENTRIES, WALK_DEPTH)
+    return kept.select("repo_id", F.array_join("names", "/").alias("entry")).unionByName(reasons.withColumnRenamed("reason", "entry"))
+
+
+@query(
+    f"""WITH {_PAGES},
+head AS (SELECT repo_id, names, min(sha256(html)) AS own FROM leaves GROUP BY ALL),
+base AS (SELECT repo_id, names, min(CASE WHEN page_id % 7 = 0 THEN 'changed' ELSE sha256(html) END) AS own FROM leaves WHERE page_id % 11 <> 0 GROUP BY ALL
+  UNION ALL SELECT repo_id, list_append(names, 'gone'), min(sha256(html)) FROM leaves WHERE page_id % 13 = 0 GROUP BY ALL)
+SELECT repo_id, array_to_string(names, '/') AS path, CASE WHEN base.own IS NULL THEN 'added' WHEN head.own IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM head FULL JOIN base USING (repo_id, names) WHERE head.own IS DISTINCT FROM base.own"""
+)
+def tree_digest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against a tree that lacks some, has others changed and a few more: told by digests of folders, from the roots down."""
+    leaves = _page_paths(spark, sf_dir)
+    least = F.min("digest").alias("digest")
+    head = leaves.groupBy("repo_id", "names").agg(least)
+    old = leaves.filter("page_id % 11 <> 0").withColumn("digest", F.when(F.col("page_id") % 7 == 0, "changed").otherwise(F.col("digest")))
+    gone = leaves.filter("page_id % 13 = 0").withColumn("names", F.array_append("names", F.lit("gone")))
+    base = old.groupBy("repo_id", "names").agg(least).unionByName(gone.groupBy("repo_id", "names").agg(least))
+    changes, _ = tree_changes_by_descent(stored_by_depth(digests(head), "head-tree"), stored_by_depth(digests(base), "base-tree"))
+    return changes.select("repo_id", F.array_join("names", "/").alias("path"), "change")
+
+
+# Graph
+
+#: Modules of a route from its entry to the deepest module that is looked for.
+GRAPH_LEVELS = 5
+
+
+def _trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(modules, edges, roots) of line items: an order names its parts, a part its suppliers, and a supplier, a hub, the orders of its first lines."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("o"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s"), "l_linenumber", "l_returnflag", "l_orderkey", "l_partkey", "l_suppkey",
+    )
+    steps = [("o", "p", "l_partkey", F.lit(True)), ("p", "s", "l_suppkey", F.col("l_returnflag") == "R"), ("s", "o", "l_orderkey", F.col("l_linenumber") == 1)]
+    lined = [lines.filter(only).select(F.lit("trade").alias("repo_id"), F.col(a).alias("src"), F.col(b).alias("dst"), F.col("l_linenumber").cast("long").alias("line"), F.col(n).alias("dst_seq")) for a, b, n, only in steps]
+    edges = lined[0].unionByName(lined[1]).unionByName(lined[2]).groupBy("repo_id", "src", "dst", "dst_seq").agg(F.min("line").alias("line")).withColumn("seq", F.col("line"))
+    ids = edges.select("repo_id", F.col("src").alias("id")).unionByName(edges.select("repo_id", F.col("dst").alias("id"))).distinct()
+    modules = ids.select("repo_id", F.xxhash64("id").alias("seq"), "id", F.concat(F.lit("m/"), "id").alias("path"))
+    roots = table(spark, sf_dir, "orders").filter("o_orderkey % 5000 = 0").select(F.lit("trade").alias("repo_id"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("file"), F.lit("start").alias("trigger"), F.lit(None).cast("long").alias("line"))
+    return modules, edges, roots
+
+
+def _reach_sql() -> str:
+    edge = "SELECT {} AS src, {} AS dst, {} AS dst_seq, min(CAST(l_linenumber AS BIGINT)) AS line FROM lineitem WHERE {} GROUP BY ALL"
+    o, p, s = "'o' || l_orderkey", "'p' || l_partkey", "'s' || l_suppkey"
+    edges = " UNION ALL ".join(edge.format(*x) for x in ((o, p, "l_partkey", "true"), (p, s, "l_suppkey", "l_returnflag = 'R'"), (s, o, "l_orderkey", "l_linenumber = 1")))
+    levels = ["level0 AS (SELECT 'o' || o_orderkey AS id, 0 AS depth, [o_orderkey, 0] AS place, 'trigger: start > entry: m/o' || o_orderkey AS route FROM orders WHERE o_orderkey % 5000 = 0 AND ('o' || o_orderkey) IN (SELECT src FROM e UNION SELECT dst FROM e))"]
+    for n in range(1, GRAPH_LEVELS + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM level{i}" for i in range(n))
+        levels.append(
+            f"level{n} AS (SELECT dst AS id, {n} AS depth, list_concat(place, [line, dst_seq]) AS place, route || ' > m/' || src || ':' || line || ' imports m/' || dst AS route"
+            f" FROM level{n - 1} JOIN e ON e.src = level{n - 1}.id WHERE dst NOT IN ({seen}) QUALIFY row_number() OVER (PARTITION BY dst ORDER BY list_concat(place, [line, dst_seq])) = 1)"
+        )
+    every = " UNION ALL ".join(f"SELECT id, CAST(depth AS BIGINT) AS depth, route FROM level{i}" for i in range(GRAPH_LEVELS + 1))
+    return f"WITH e AS MATERIALIZED ({edges}), {', '.join(x.replace(' AS (', ' AS MATERIALIZED (', 1) for x in levels)} {every}"
+
+
+@query(_reach_sql())
+def trade_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What some orders reach over line items, breadth first: depth and the first route of every order, part and supplier."""
+    modules, edges, roots = _trade_graph(spark, sf_dir)
+    reached, _ = reachable_modules(roots, edges, modules, GRAPH_LEVELS + 2)
+    return reached.select("id", F.col("depth").cast("long").alias("depth"), F.array_join("route", " > ").alias("route"))
