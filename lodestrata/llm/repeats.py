@@ -13,10 +13,11 @@ windows mostly share their name and form a run.
    has; parts of them say which names more than one document has, and which of
    those are hot: held by very many runs. (A third of all rows with the same
    text send one hash a block.)
-3. Each block sends the text of the runs whose name came back; runs that repeat
-   inside a block are settled there, the first one is sent. In a part, the
-   strategy decides window by window what an earlier document has: names only
-   bring texts together, contents decide.
+3. Each block sends the text of the runs whose name came back: each text once,
+   with all rows that have it. In a part, the strategy decides window by window
+   what an earlier document has: names only bring texts together, contents
+   decide. A text that several rows have takes part twice, as that of its first
+   row and as that of a later one, which stands for all the others.
 4. Runs of hot names, a phrase that very many texts hold, aren't judged under
    that name: each block's distinct ones are a smaller block, which goes through
    the steps again with the strategy's finer names, so that what surrounds the
@@ -101,8 +102,6 @@ class Strategy(Protocol):
 
     def units(self, texts: list[bytes]) -> Units: ...
 
-    def n_windows(self, text: bytes) -> int: ...
-
     def earlier(self, texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
         """For each text, in ascending order of ids, the numbers of its windows that a text with a smaller id has."""
 
@@ -118,38 +117,66 @@ def _open(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each stretch, one after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 class Texts(NamedTuple):
-    """Texts with their owners' ids, and where they stand: in which document of their block, from which unit on. sub is a hash that tells them apart inside a part."""
+    """Distinct texts, and the rows that have each, one text's after another: id, and where it stands, in which document of the row's block, from which unit on. sub is a hash that tells names apart inside a part."""
 
     ids: np.ndarray
     doc: np.ndarray
     first: np.ndarray
+    rows: np.ndarray  # of each text
     sub: np.ndarray
     ends: np.ndarray
     joined: bytes
 
     def shut(self) -> bytes:
-        return _shut(struct.pack("<q", len(self.ids)), *(x.astype("<i8").tobytes() for x in self[:3]), self.sub.astype("<u2").tobytes(), self.ends.astype("<i8").tobytes(), self.joined)
+        head = struct.pack("<qq", len(self.ids), len(self.rows))
+        return _shut(head, *(x.astype("<i8").tobytes() for x in self[:4]), self.sub.astype("<u2").tobytes(), self.ends.astype("<i8").tobytes(), self.joined)
 
-    def some(self, at: np.ndarray) -> list[bytes]:
-        joined, starts = self.joined, np.concatenate([[0], self.ends[:-1]])
-        return [joined[a:b] for a, b in zip(starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+    def texts(self) -> list[bytes]:
+        starts = np.concatenate([[0], self.ends])[:-1]
+        return [self.joined[a:b] for a, b in zip(starts.tolist(), self.ends.tolist(), strict=True)]
 
-
-def _texts(ids: np.ndarray, doc: np.ndarray, first: np.ndarray, sub: np.ndarray, texts: list[bytes]) -> Texts:
-    return Texts(ids, doc, first, sub, np.cumsum([len(t) for t in texts]), b"".join(texts))
+    def some(self, at: np.ndarray) -> Texts:
+        member = _spread((np.cumsum(self.rows) - self.rows)[at], self.rows[at])
+        starts = np.concatenate([[0], self.ends])[:-1]
+        parts = [self.joined[a:b] for a, b in zip(starts[at].astype(int).tolist(), self.ends[at].tolist(), strict=True)]
+        return Texts(self.ids[member], self.doc[member], self.first[member], self.rows[at], self.sub[at], np.cumsum([len(t) for t in parts], dtype=np.int64), b"".join(parts))
 
 
 def _open_texts(blob: bytes) -> Texts:
     data = _open(blob)
-    n = struct.unpack_from("<q", data)[0]
-    at, columns = 8, []
-    for kind in ("<i8", "<i8", "<i8", "<u2", "<i8"):
+    rows, texts = struct.unpack_from("<qq", data)
+    at, columns = 16, []
+    for kind, n in (("<i8", rows), ("<i8", rows), ("<i8", rows), ("<i8", texts), ("<u2", texts), ("<i8", texts)):
         columns.append(np.frombuffer(data, kind, n, at))
         at += columns[-1].nbytes
     return Texts(*columns, data[at:])
 
 
+class Copies(NamedTuple):
+    """Texts that take part, in place of all rows: each distinct text once for the rows with its smallest id, and once more for all others, under the smallest of their ids."""
+
+    ids: np.ndarray
+    text: np.ndarray  # number of the text
+    rows: np.ndarray  # how many rows each stands for
+    member: np.ndarray  # numbers of these rows, one copy's after another
+
+
+def _copies(ids: np.ndarray, text: np.ndarray) -> Copies:
+    order = np.lexsort((ids, text))
+    own, of = ids[order], text[order]
+    new = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
+    least = own[np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = own > least
+    start = np.flatnonzero(new | (later & ~np.concatenate([[False], later[:-1]])))
+    return Copies(own[start], of[start], np.diff(np.append(start, len(order))), order)
+
+
 def _block_batches(block_bytes: int):
     def block(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
@@ -182,13 +209,25 @@ def _load(blob: bytes) -> tuple[pa.Table, np.ndarray, list[bytes]]:
     return table, ids, table.column("body").to_pylist()
 
 
-def _load_block(blob: bytes, nested: bool) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """(ids, texts, document, first unit) of a block of documents or, nested, of runs."""
-    if nested:
-        held = _open_texts(blob)
-        return held.ids, held.some(np.arange(len(held.ids))), held.doc, held.first
-    _, ids, texts = _load(blob)
-    return ids, texts, np.arange(len(ids)), np.zeros(len(ids), np.int64)
+class Loaded(NamedTuple):
+    """The texts of a block of documents or, nested, of runs, and the rows that each stands for."""
+
+    ids: np.ndarray
+    texts: list[bytes]
+    rows: np.ndarray
+    row_ids: np.ndarray
+    doc: np.ndarray
+    first: np.ndarray
+
+
+def _load_block(blob: bytes, nested: bool) -> Loaded:
+    if not nested:
+        _, ids, texts = _load(blob)
+        n = len(ids)
+        return Loaded(ids, texts, np.ones(n, np.int64), ids, np.arange(n), np.zeros(n, np.int64))
+    held = _open_texts(blob)
+    copies, texts = _copies(held.ids, np.repeat(np.arange(len(held.rows)), held.rows)), held.texts()
+    return Loaded(copies.ids, [texts[i] for i in copies.text.tolist()], copies.rows, *(x[copies.member] for x in held[:3]))
 
 
 def _parts(names: np.ndarray, n: int, salt: int) -> np.ndarray:
@@ -286,8 +325,8 @@ def _send_names(strategy: Strategy, nested: bool, n_parts: int):
     def run(blocks: pa.Table, replies: pa.Table | None) -> pa.Table:
         rows: list[tuple[int, int, bytes]] = []
         for block, blob in zip(blocks.column("block").to_pylist(), blocks.column("docs"), strict=True):
-            ids, texts, *_ = _load_block(blob.as_py(), nested)
-            _, names, _, marks = _block_names(_named_units(strategy, texts, replies, n_parts, strategy.rounds), ids)
+            held = _load_block(blob.as_py(), nested)
+            _, names, _, marks = _block_names(_named_units(strategy, held.texts, replies, n_parts, strategy.rounds), held.ids)
             rows += [(p, block, _six(names[at]) + marks[at].tobytes()) for p, at in _by_part(_parts(names, n_parts, 1))]
         return _name_rows(rows)
 
@@ -324,21 +363,21 @@ def _shared_names(hot_runs: int):
     return run
 
 
-#: What a row of a part or of its verdicts holds.
-RUNS, SETTLED, HOT = range(3)
+#: What a row of a part holds.
+RUNS, HOT = range(2)
 
 
 def _send_runs(strategy: Strategy, nested: bool, n_parts: int, has_finer: bool):
-    """Rows (part, block, kind, held): runs for a part, verdicts that a block reached by itself, or its runs of hot names."""
+    """Rows (part, block, kind, held): runs for a part, or a block's runs of hot names."""
 
     def run(block: pa.Table, said: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, int, bytes]] = []
         replies = said.filter(pc.is_valid(said["round"])) if strategy.rounds else None
         flags = said.filter(pc.is_null(said["round"])) if strategy.rounds else said
         for number, blob in zip(block.column("block").to_pylist(), block.column("docs"), strict=True):
-            ids, texts, doc_of, first_of = _load_block(blob.as_py(), nested)
-            units = _named_units(strategy, texts, replies, n_parts, strategy.rounds)
-            runs, names, place, _ = _block_names(units, ids)
+            own = _load_block(blob.as_py(), nested)
+            units = _named_units(strategy, own.texts, replies, n_parts, strategy.rounds)
+            runs, names, place, _ = _block_names(units, own.ids)
             shared, hot = np.zeros(len(names), bool), np.zeros(len(names), bool)
             by_part = dict(zip(flags.column("part").to_pylist(), flags.column("flags").to_pylist(), strict=True))
             for p, at in _by_part(_parts(names, n_parts, 1)):
@@ -346,26 +385,22 @@ def _send_runs(strategy: Strategy, nested: bool, n_parts: int, has_finer: bool):
                 shared[at] = np.unpackbits(bits[: len(bits) // 2], count=len(at)) > 0
                 hot[at] = np.unpackbits(bits[len(bits) // 2 :], count=len(at)) > 0
             chosen = np.flatnonzero(shared[place])
-            chosen = chosen[np.argsort(ids[runs.doc[chosen]], kind="stable")]
             local, first, last = runs.doc[chosen], runs.first[chosen], runs.last[chosen]
-            found = [units.text(*x) for x in zip(local.tolist(), first.tolist(), last.tolist(), strict=True)]
-            owners, doc = ids[local], doc_of[local]
-            first, last = first + first_of[local], last + first_of[local]
-            owner, seen = owners.tolist(), {}
-            settled = np.array([owner[seen.setdefault(t, i)] < owner[i] for i, t in enumerate(found)], bool)
-            if settled.any():
-                rows.append((number % n_parts, number, SETTLED, _shut_verdicts(doc[settled], first[settled], last[settled])))
-            name = runs.name[chosen]
+            found: dict[bytes, int] = {}
+            text = np.array([found.setdefault(units.text(*x), len(found)) for x in zip(local.tolist(), first.tolist(), last.tolist(), strict=True)], np.int64)
+            name, apart = np.zeros(len(found), np.uint64), np.zeros(len(found), bool)
+            name[text], apart[text] = runs.name[chosen], hot[place[chosen]] & has_finer
+            by_text = np.argsort(text, kind="stable")
+            n_rows = own.rows[local[by_text]]
+            row = _spread((np.cumsum(own.rows) - own.rows)[local[by_text]], n_rows)
+            rows_of = np.bincount(text[by_text], n_rows, len(found)).astype(np.int64)
             sub = (mix(name + np.uint64(3)) >> np.uint64(40)).astype(np.uint16)
-
-            def picked(at: np.ndarray) -> bytes:
-                return _texts(owners[at], doc[at], first[at], sub[at], [found[i] for i in at.tolist()]).shut()
-
-            apart = hot[place[chosen]] if has_finer else np.zeros(len(chosen), bool)
-            sent = np.flatnonzero(~settled & ~apart)
-            rows += [(p, number, RUNS, picked(sent[at])) for p, at in _by_part(_parts(name[sent], n_parts, 2))]
-            if len(at := np.flatnonzero(~settled & apart)):
-                rows.append((number % n_parts, number, HOT, picked(at)))
+            texts = list(found)
+            held = Texts(own.row_ids[row], own.doc[row], own.first[row] + np.repeat(first[by_text], n_rows), rows_of, sub, np.cumsum([len(t) for t in texts], dtype=np.int64), b"".join(texts))
+            sent = np.flatnonzero(~apart)
+            rows += [(p, number, RUNS, held.some(sent[at]).shut()) for p, at in _by_part(_parts(name[sent], n_parts, 2))]
+            if apart.any():
+                rows.append((number % n_parts, number, HOT, held.some(np.flatnonzero(apart)).shut()))
         part, own, kind, held = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.table({"part": pa.array(part, pa.int64()), "block": pa.array(own, pa.int64()), "kind": pa.array(kind, pa.int32()), "held": pa.array(held, pa.binary())})
 
@@ -387,28 +422,19 @@ def _spans(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return windows[np.concatenate([[0], cut + 1])], windows[np.concatenate([cut, [len(windows) - 1]])]
 
 
-def _judge(strategy: Strategy, ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
-    """(text number, first, last) of windows that a text with a smaller id has."""
-    order = np.argsort(ids, kind="stable").tolist()
-    place: dict[bytes, int] = {}
-    members: list[list[int]] = []  # texts that are the same and have their smallest id
-    whole: list[tuple[int, int]] = []  # (text, place): a smaller id has all of it
-    for i in order:
-        p = place.setdefault(texts[i], len(members))
-        if p == len(members):
-            members.append([i])
-        elif ids[members[p][0]] < ids[i]:
-            whole.append((i, p))
-        else:
-            members[p].append(i)
-    distinct = list(place)
-    for p, earlier in enumerate(strategy.earlier(distinct, ids[[m[0] for m in members]])):
+def _judge(strategy: Strategy, ids: np.ndarray, text: np.ndarray, texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Columns of (row, first, last): windows that a text with a smaller id has. ids and text (a number in texts, which may repeat) are the rows'."""
+    number: dict[bytes, int] = {}
+    same = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
+    distinct_texts = list(number)
+    copies = _copies(ids, same[text])
+    order = np.argsort(copies.ids, kind="stable")
+    starts = np.cumsum(copies.rows) - copies.rows
+    for i, earlier in zip(order.tolist(), strategy.earlier([distinct_texts[k] for k in copies.text[order].tolist()], copies.ids[order]), strict=True):
         if len(earlier):
-            for lo, hi in zip(*(x.tolist() for x in _spans(earlier)), strict=True):
-                for i in members[p]:
-                    yield i, lo, hi
-    for i, p in whole:
-        yield i, 0, strategy.n_windows(distinct[p]) - 1
+            first, last = _spans(earlier)
+            member = copies.member[starts[i] : starts[i] + copies.rows[i]]
+            yield np.stack([np.repeat(member, len(first)), np.tile(first, len(member)), np.tile(last, len(member))])
 
 
 def _judge_part(strategy: Strategy, judged_bytes: int):
@@ -426,14 +452,14 @@ def _judge_part(strategy: Strategy, judged_bytes: int):
         n = sum(len(x.joined) for x in sent) // judged_bytes + 1
         made: list[np.ndarray] = []
         for k in range(n if sent else 0):
-            picks = [np.flatnonzero(x.sub % n == k) for x in sent]
-            if not any(map(len, picks)):
+            picks = [x.some(np.flatnonzero(x.sub % n == k)) for x in sent]
+            if not any(len(x.rows) for x in picks):
                 continue
-            ids, doc, first = (np.concatenate([getattr(x, c)[at] for x, at in zip(sent, picks, strict=True)]) for c in ("ids", "doc", "first"))
-            source = np.repeat(np.arange(len(sent)), [len(at) for at in picks])
-            texts = [t for x, at in zip(sent, picks, strict=True) for t in x.some(at)]
-            if verdicts := list(_judge(strategy, ids, texts)):
-                i, lo, hi = np.array(verdicts, np.int64).T
+            ids, doc, first = (np.concatenate([getattr(x, c) for x in picks]) for c in ("ids", "doc", "first"))
+            source = np.repeat(np.arange(len(sent)), [len(x.ids) for x in picks])
+            text = np.repeat(np.arange(sum(len(x.rows) for x in picks)), np.concatenate([x.rows for x in picks]))
+            if verdicts := list(_judge(strategy, ids, text, [t for x in picks for t in x.texts()])):
+                i, lo, hi = np.concatenate(verdicts, axis=1)
                 made.append(np.stack([source[i], doc[i], first[i] + lo, first[i] + hi]))
         if made:
             source, *columns = np.concatenate(made, axis=1)

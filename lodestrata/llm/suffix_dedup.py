@@ -169,9 +169,6 @@ class SuffixArrayStrategy:
     def units(self, texts: list[bytes]) -> ByteUnits:
         return ByteUnits(texts, self.window, self.gram)
 
-    def n_windows(self, text: bytes) -> int:
-        return len(text) - self.window + 1
-
     def earlier(self, texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
         """Texts in ascending order of ids: owners are ranks of ids, so rows with equal ids are one owner."""
         joined = np.frombuffer(b"".join(texts), np.uint8)

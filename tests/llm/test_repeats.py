@@ -88,7 +88,8 @@ def phrase_blocks(words, n_blocks, per_block):
         ids = [b * per_block + i for i in range(per_block)]
         own = [f"{around()} {words} {around()}".encode() for _ in ids]
         texts += own
-        blocks.append(R._texts(np.array(ids), np.arange(per_block), np.zeros(per_block, np.int64), np.zeros(per_block, np.uint16), own).shut())
+        none = np.zeros(per_block, np.int64)
+        blocks.append(R.Texts(np.array(ids), np.arange(per_block), none, none + 1, none, np.cumsum([len(t) for t in own]), b"".join(own)).shut())
     return blocks, texts
 
 
@@ -106,8 +107,7 @@ def exchanged(strategy, blocks, n_parts, hot_runs):
             if kind == R.HOT:
                 hot.append(held)
             elif kind == R.RUNS:
-                texts = R._open_texts(held)
-                for t in texts.some(np.arange(len(texts.ids))):
+                for t in R._open_texts(held).texts():
                     runs = strategy.units([t]).runs()
                     judged.update(set(runs.name.tolist()))
     return judged, hot
@@ -126,6 +126,27 @@ def test_a_phrase_of_all_documents_is_judged_in_small_groups(strategy, phrase):
     assert groups <= 128 and not blocks  # a power of two above the limit, or one run a block
 
 
+@pytest.mark.parametrize("blind", [False, True])
+def test_the_arrays_decide_alone(spark, blind):
+    """Copies of whole texts, inside a block and across blocks, are removed by the arrays or not at all."""
+
+    class Told(SuffixArrayStrategy):
+        def earlier(self, texts, ids):
+            found = SuffixArrayStrategy.earlier(self, texts, ids)
+            return [x[:0] for x in found] if blind else found
+
+        def finer(self):
+            return None
+
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, passage if i % 3 else passage[40:200] + str(i)) for i in range(60)]
+    docs = spark.createDataFrame([(d, t, "c", "b", 1) for d, t in rows], SCHEMA)
+    found = remove_repeats(docs.coalesce(2), Told(), "doc_id", "text", ["doc_id"], with_text=False, block_bytes=2000)
+    got = {r.carry.doc_id: r.n_removed for r in found.collect()}
+    assert got == {d: 0 if blind else gone for (d, _), (_, gone, *_) in zip(rows, brute(rows, 50, str.encode), strict=True)}
+
+
 def test_text_form_keeps_columns_and_characters(spark):
     passage = "é" * 40
     rows = [(1, passage, "c", None, 40), (2, "x" + passage, None, "b", 41), (3, None, "c", "b", None)]
