@@ -187,7 +187,7 @@ class _Block:
         self.words = [b"", *body[8 : 8 + size].split(b"\n")]
         self.ids = np.frombuffer(body, "<i4", offset=8 + size).astype(np.int64)
         seed = xxhash.xxh64_intdigest(self.lang)
-        self._names = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], np.uint64)
+        self.names = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], np.uint64)
         self._flags: dict[int, list[tuple[int, np.ndarray]]] = {}
         self._known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         if replies is not None:
@@ -202,9 +202,9 @@ class _Block:
             if n > 1:
                 at = self.frequent(n - 1)
                 at = at[:-1][np.diff(at) == 1]  # a shorter gram there and at the next place
-            name = self._names[self.ids[at]]
+            name = self.names[self.ids[at]]
             for i in range(1, n):
-                name = name * np.uint64(0x9E3779B97F4A7C15) + self._names[self.ids[at + i]]
+                name = name * np.uint64(0x9E3779B97F4A7C15) + self.names[self.ids[at + i]]
             name = (name ^ name >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
             self._known[n] = at, name >> np.uint64(64 - NAME_BITS)
         return self._known[n]
@@ -268,14 +268,42 @@ def _answer(gram: int, enough: int):
     return run
 
 
-def _list_words(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-    """The block's frequent words with their counts."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64())])
-    if not blocks.num_rows:
-        return schema.empty_table()
-    block = _Block(blocks, replies)
-    found, counts = np.unique(block.ids[block.frequent(1)], return_counts=True)
-    return pa.Table.from_arrays([pa.array([block.lang] * len(found), pa.string()), pa.array([block.words[i].decode() for i in found.tolist()], pa.string()), pa.array(counts.astype(np.int64))], schema=schema)
+_WORDS = "part int, lang string, words binary, counts binary"
+
+
+def _list_words(parts: int):
+    """The block's frequent words with their counts, packed for each part."""
+
+    def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("counts", pa.binary())])
+        if not blocks.num_rows:
+            return schema.empty_table()
+        block = _Block(blocks, replies)
+        found, counts = np.unique(block.ids[block.frequent(1)], return_counts=True)
+        part = (block.names[found] % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        numbers, starts = np.unique(part[order], return_index=True)
+        picks = np.split(order, starts[1:]) if len(order) else []
+        words = [_shut(b"\n".join([block.words[i] for i in found[p].tolist()])) for p in picks]
+        sums = [_shut(_planes(counts[p])) for p in picks]
+        return pa.Table.from_arrays([pa.array(numbers, pa.int32()), pa.array([block.lang] * len(picks), pa.string()), pa.array(words, pa.binary()), pa.array(sums, pa.binary())], schema=schema)
+
+    return run
+
+
+def _sum_words(enough: int):
+    """The words of one part that all blocks of a language have often enough."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sums: Counter = Counter()
+        for lang, words, counts in zip(*(table.column(c).to_pylist() for c in ("lang", "words", "counts")), strict=True):
+            for word, n in zip(_open(words).split(b"\n"), _from_planes(_open(counts)).tolist(), strict=True):
+                sums[lang, word] += n
+        kept = [(lang, word.decode(), n) for (lang, word), n in sums.items() if n >= enough]
+        columns = list(zip(*kept, strict=True)) or [(), (), ()]
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("lang", "phrase", "a"), columns, (pa.string(), pa.string(), pa.int64()), strict=True)})
+
+    return run
 
 
 def _runs(block: _Block) -> Counter:
@@ -331,8 +359,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         asked = of_block.cogroup(replies.groupBy("block")).applyInArrow(_ask(gram, parts, min_count), _ASKED)
         replies = replies.unionByName(durable(asked.groupBy("part").applyInArrow(_answer(gram, min_count), _REPLIES), "phrase-replies"))
     told = of_block.cogroup(replies.groupBy("block"))
-    counted = told.applyInArrow(_list_words, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-    words = durable(counted.filter(F.col("a") >= min_count), "phrase-words")
+    counted = told.applyInArrow(_list_words(parts), _WORDS).groupBy("part")
+    words = durable(counted.applyInArrow(_sum_words(min_count), "lang string, phrase string, a long"), "phrase-words")
     schema = "lang string, phrase string, a long, before string, after string"
     listed = told.applyInArrow(_list_phrases(MIN_WORDS, max_words), schema)
 
