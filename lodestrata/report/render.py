@@ -92,7 +92,7 @@ def to_markdown(report: Report) -> str:
     return out + CLOSING + "\n"
 
 
-def _sarif_result(f: Report, index: int) -> Report:
+def sarif_result(f: Report, index: int) -> Report:
     out: Report = {"ruleId": f["id"], "ruleIndex": index, "level": SARIF_LEVELS[f["severity"]], "message": {"text": f["message"]}, "properties": {"confidence": spelled(f["confidence"]).lower(), "riskScore": f["score"]}}
     if f["file"] is not None:
         place: Report = {"artifactLocation": {"uri": encoded_uri(f["file"])}}
@@ -112,7 +112,7 @@ def to_sarif(report: Report) -> str:
     rules = [{"id": i, "name": i, "shortDescription": {"text": first[i]["title"]}, "defaultConfiguration": {"level": SARIF_LEVELS[first[i]["severity"]]}} for i in ids]
     run = {
         "tool": {"driver": {"name": NAME, "version": report["scanner_version"], "rules": rules}},
-        "results": [_sarif_result(f, ids.index(f["id"])) for f in report["findings"]],
+        "results": [sarif_result(f, ids.index(f["id"])) for f in report["findings"]],
         "properties": {"scanStatus": report["status"], "networkAccess": report["network_access"], "scanProfile": report["profile"]},
     }
     return json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False) + "\n"
