@@ -234,8 +234,8 @@ class RecompressionStrategy:
     def n_windows(self, text: bytes) -> int:
         return text.count(b" ") + 2 - self.window
 
-    def earlier(self, texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-        """Windows by their words; texts come in ascending order of ids, so the first owner of a window has the smallest id."""
+    def earlier(self, texts: list[bytes], first: np.ndarray, later: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Windows by their words; texts come in ascending order of their first owners, so the owner that a window was met with first is its smallest one."""
         joined = b" ".join(texts)
         gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
         starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(joined))
@@ -243,10 +243,11 @@ class RecompressionStrategy:
         before = np.cumsum(counts) - counts
         # A text's windows end at its last word: the words of the texts before it are their windows and window - 1 more each.
         at = np.arange(int(counts.sum())) + np.repeat(np.arange(len(texts)) * (self.window - 1), counts)
-        first: dict[bytes, int] = {}
-        owners = np.repeat(ids, counts).tolist()
-        seen = [first.setdefault(joined[a:b], own) < own for a, b, own in zip(starts[at].tolist(), ends[at + self.window - 1].tolist(), owners, strict=True)]
-        return [np.flatnonzero(x) for x in np.split(np.array(seen, bool), before[1:])]
+        met: dict[bytes, int] = {}
+        owners = np.repeat(first, counts)
+        least = np.array([met.setdefault(joined[a:b], own) for a, b, own in zip(starts[at].tolist(), ends[at + self.window - 1].tolist(), owners.tolist(), strict=True)], np.int64)
+        gone = (least < owners, least < np.repeat(later, counts))
+        return [(np.flatnonzero(x), np.flatnonzero(y)) for x, y in zip(*(np.split(g, before[1:]) for g in gone), strict=True)]
 
     def finer(self) -> WindowStrategy | None:
         return WindowStrategy(self.window)

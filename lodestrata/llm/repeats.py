@@ -16,8 +16,8 @@ windows mostly share their name and form a run.
 3. Each block sends the text of the runs whose name came back: each text once,
    with all rows that have it. In a part, the strategy decides window by window
    what an earlier document has: names only bring texts together, contents
-   decide. A text that several rows have takes part twice, as that of its first
-   row and as that of a later one, which stands for all the others.
+   decide. The rows with a text's smallest id are its first owner, the others
+   its later ones, for whom the text itself is an earlier match, too.
 4. Runs of hot names, a phrase that very many texts hold, aren't judged under
    that name: each block's distinct ones are a smaller block, which goes through
    the steps again with the strategy's finer names, so that what surrounds the
@@ -102,8 +102,8 @@ class Strategy(Protocol):
 
     def units(self, texts: list[bytes]) -> Units: ...
 
-    def earlier(self, texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-        """For each text, in ascending order of ids, the numbers of its windows that a text with a smaller id has."""
+    def earlier(self, texts: list[bytes], first: np.ndarray, later: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of the distinct texts, in ascending order of first: the numbers of its windows that start in a text with an owner smaller than its first one, and than its later one (NO_ID and more: none)."""
 
     def finer(self) -> Strategy | None:
         """The same windows with names that fewer of them share; None where a name is a whole window's."""
@@ -427,14 +427,21 @@ def _judge(strategy: Strategy, ids: np.ndarray, text: np.ndarray, texts: list[by
     number: dict[bytes, int] = {}
     same = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
     distinct_texts = list(number)
-    copies = _copies(ids, same[text])
-    order = np.argsort(copies.ids, kind="stable")
-    starts = np.cumsum(copies.rows) - copies.rows
-    for i, earlier in zip(order.tolist(), strategy.earlier([distinct_texts[k] for k in copies.text[order].tolist()], copies.ids[order]), strict=True):
-        if len(earlier):
-            first, last = _spans(earlier)
-            member = copies.member[starts[i] : starts[i] + copies.rows[i]]
-            yield np.stack([np.repeat(member, len(first)), np.tile(first, len(member)), np.tile(last, len(member))])
+    order = np.lexsort((ids, same[text]))
+    own, of = ids[order], same[text][order]
+    start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    end = np.append(start[1:], len(of))
+    n_first = np.add.reduceat((own == own[start][of]).astype(np.int64), start) if len(of) else start
+    more = start + n_first < end
+    later = np.where(more, own[np.minimum(start + n_first, len(own) - 1)], NO_ID) if len(of) else start
+    by_id = np.argsort(own[start], kind="stable")
+    found = strategy.earlier([distinct_texts[k] for k in by_id.tolist()], own[start][by_id], later[by_id])
+    for k, windows in zip(by_id.tolist(), found, strict=True):
+        cut = start[k] + n_first[k]
+        for earlier, member in zip(windows, (order[start[k] : cut], order[cut : end[k]]), strict=True):
+            if len(earlier) and len(member):
+                lo, hi = _spans(earlier)
+                yield np.stack([np.repeat(member, len(lo)), np.tile(lo, len(member)), np.tile(hi, len(member))])
 
 
 def _judge_part(strategy: Strategy, judged_bytes: int):

@@ -131,9 +131,9 @@ def test_the_arrays_decide_alone(spark, blind):
     """Copies of whole texts, inside a block and across blocks, are removed by the arrays or not at all."""
 
     class Told(SuffixArrayStrategy):
-        def earlier(self, texts, ids):
-            found = SuffixArrayStrategy.earlier(self, texts, ids)
-            return [x[:0] for x in found] if blind else found
+        def earlier(self, texts, first, later):
+            found = SuffixArrayStrategy.earlier(self, texts, first, later)
+            return [(x[:0], y[:0]) for x, y in found] if blind else found
 
         def finer(self):
             return None
