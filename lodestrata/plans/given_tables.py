@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import json_pointer as J
 from ..operators.automaton import Marker, marker_hits
 from ..operators.budget import within_budget
+from ..operators.findings import severity_rank
 from ..operators.graph import reachable_modules
 from ..operators.markers import marker_rules, rule_markers
+from ..operators.ranges import places
 from ..operators.trees import digests, segments, stored_by_depth, tree_changes_by_descent, walk_order, within_walk
+from ..operators.type_signatures import SIGNATURES, n_bytes, weight, with_kind
+from ..report.sink import report_lines, write_reports
+from ..schemas import SEVERITIES
+from ..storage import work_dir
+from ..streaming.risk import latest_sessions, risk_stream
 from .corpora import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,3 +262,122 @@ def trade_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     modules, edges, roots = _trade_graph(spark, sf_dir)
     reached, _ = reachable_modules(roots, edges, modules, GRAPH_LEVELS + 2)
     return reached.select("id", F.col("depth").cast("long").alias("depth"), F.array_join("route", " > ").alias("route"))
+
+
+# JSON pointers
+
+#: Pointers into the wrapped properties of an event: escapes, an index, a key that isn't there.
+POINTERS = {"k": "/a~1b/~0x/0/k", "whole": "/a~1b/~0x/0", "nothing": "/a~1b/none/0", "flag": "/a~1b/~0x/1"}
+
+
+@query(
+    """
+WITH w AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN left(props, length(props) - 1) WHEN event_id % 10 = 1 THEN NULL ELSE '{"a/b": {"~x": [' || props || ', true]}}' END AS doc FROM events),
+v AS (SELECT event_id, doc, CASE WHEN json_valid(doc) THEN doc END AS j FROM w)
+SELECT event_id, CAST(json_extract(j, '/a~1b/~0x/0/k') AS BIGINT) AS k, json_type(json_extract(j, '/a~1b/~0x/0')) = 'OBJECT' AS whole, json_extract(j, '/a~1b/none/0') IS NULL AS nothing, CAST(json_extract(j, '/a~1b/~0x/1') AS BOOLEAN) AS flag,
+  CASE WHEN doc IS NULL THEN 'no configuration: event ' || event_id WHEN j IS NULL THEN 'cannot parse event ' || event_id END AS reason FROM v"""
+)
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of all events by JSON pointer; a tenth of them broken and a tenth missing, with the reason."""
+    wrapped = F.concat(F.lit('{"a/b": {"~x": ['), "props", F.lit(", true]}}"))
+    broken = F.expr("left(props, length(props) - 1)")
+    doc = F.when(F.col("event_id") % 10 == 0, broken).when(F.col("event_id") % 10 == 1, F.lit(None)).otherwise(wrapped)
+    events = table(spark, sf_dir, "events").select("event_id", doc.alias("doc")).withColumn("v", J.parsed(F.col("doc")))
+    at = {name: J.at_pointer(F.col("v"), pointer) for name, pointer in POINTERS.items()}
+    return events.select(
+        "event_id", F.try_variant_get(at["k"], "$", "bigint").alias("k"), (J.kind(at["whole"]) == "object").alias("whole"), at["nothing"].isNull().alias("nothing"), F.try_variant_get(at["flag"], "$", "boolean").alias("flag"),
+        J.parse_reason(F.col("doc"), F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("reason"),
+    )
+
+
+# Types of files
+
+
+def _types_sql() -> str:
+    rows = []
+    for i, s in enumerate(SIGNATURES):
+        pattern = f"^.{{{2 * s.offset}}}" + s.pattern.replace("??", "..")
+        rows.append(f"({i}, {_quoted(s.kind)}, '{pattern}', {weight(s)})")
+    heads = f"upper(hex(encode(substr(coalesce({{}}, ''), 1, {n_bytes(tuple(SIGNATURES))}))))"
+    return f"""
+WITH s(i, kind, pattern, w) AS (VALUES {', '.join(rows)}),
+magic AS (SELECT i, kind, regexp_replace(substr(regexp_replace(pattern, '^\\^\\.\\{{[0-9]+\\}}', ''), 1, 200), '\\.\\.', '00', 'g') AS own, CAST(regexp_extract(pattern, '\\{{([0-9]+)\\}}', 1) AS BIGINT) AS zeros FROM s),
+t AS (
+  SELECT 'document' AS origin, doc_id AS id, {heads.format('text')} AS head FROM documents UNION ALL SELECT 'page', page_id, {heads.format('html')} FROM pages
+  UNION ALL SELECT 'made', page_id, repeat('0', zeros) || own || {heads.format('html')} FROM pages JOIN magic ON i = page_id % {len(SIGNATURES)} WHERE zeros = 0),
+fits AS (SELECT origin, id, kind, row_number() OVER (PARTITION BY origin, id ORDER BY w DESC, i) AS r FROM t JOIN s ON regexp_matches(head, pattern))
+SELECT origin, id, kind AS type FROM t LEFT JOIN (SELECT * FROM fits WHERE r = 1) USING (origin, id)"""
+
+
+@query(_types_sql())
+def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types by first bytes of documents, of pages, and of pages behind the bytes of each signature in turn."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("content"))
+    own = F.element_at(F.array(*[F.lit(bytes.fromhex(s.pattern.replace("??", "00")) if s.offset == 0 else None).cast("binary") for s in SIGNATURES]), (F.col("id") % len(SIGNATURES) + 1).cast("int"))
+    made = pages.withColumn("own", own).filter("own is not null").select(F.lit("made").alias("origin"), "id", F.concat("own", "content").alias("content"))
+    return with_kind(docs.unionByName(pages.select(F.lit("page").alias("origin"), "id", "content")).unionByName(made), "content", "type")
+
+
+# Reports and streams
+
+
+def findings_of_documents(docs: DataFrame) -> DataFrame:
+    """Findings over documents by simple text rules."""
+    rules = [("LONG-TEXT", "medium", 40, F.length("text") > 5000), ("SYMBOLS", "high", 75, F.col("text").contains("###")), ("SHORT-TEXT", "low", 10, F.length("text") < 400), ("PIPES", "critical", 97, F.col("text").contains(" | "))]
+    found = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(i).alias("id"), F.lit(s).alias("severity"), F.lit(n).alias("score"))) for i, s, n, hit in rules]))
+    rows = docs.select(F.col("source").alias("repo_id"), "doc_id", F.concat("lang", F.lit("/n "), F.col("doc_id") % 50).alias("file"), F.posexplode(found).alias("position", "f"))
+    named = rows.select(
+        "repo_id", "f.*", F.lit("high").alias("confidence"), F.concat(F.lit("rule "), "f.id").alias("title"), F.lit('says "so"').alias("message"), "file", F.col("doc_id").alias("line"), F.array(F.lit("é")).alias("evidence"), (F.col("doc_id") * 10 + F.col("position")).alias("emit_seq")
+    )
+    return named.withColumn("severity_rank", severity_rank(F.col("severity")))
+
+
+@query(
+    """
+WITH f AS (
+  SELECT source AS repo_id, lang || '/n ' || doc_id % 50 AS file, id, severity, score, doc_id * 10 + row_number() OVER (PARTITION BY doc_id ORDER BY rule) - 1 AS emit_seq, doc_id FROM (
+    SELECT *, 1 AS rule, 'LONG-TEXT' AS id, 'medium' AS severity, 40 AS score FROM documents WHERE length(text) > 5000 UNION ALL SELECT *, 2, 'SYMBOLS', 'high', 75 FROM documents WHERE contains(text, '###')
+    UNION ALL SELECT *, 3, 'SHORT-TEXT', 'low', 10 FROM documents WHERE length(text) < 400 UNION ALL SELECT *, 4, 'PIPES', 'critical', 97 FROM documents WHERE contains(text, ' | ')))
+SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY list_position(['informational', 'low', 'medium', 'high', 'critical'], severity) DESC, file, id, emit_seq) AS place, id AS rule_id,
+  dense_rank() OVER (PARTITION BY repo_id ORDER BY id) - 1 AS rule_index, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level,
+  CAST(score AS BIGINT) AS score, replace(file, ' ', '%20') AS uri, doc_id AS start_line FROM f"""
+)
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings over documents as a SARIF report of each source, written by tasks and read back line by line."""
+    found = findings_of_documents(table(spark, sf_dir, "documents"))
+    total = found.groupBy("repo_id").agg(F.count("*").alias("n"), F.max("score").alias("score"), F.max("severity_rank").alias("rank"))
+    severity = F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("rank") + 1)
+    summary = total.select("repo_id", F.lit("complete").alias("status"), F.struct(severity.alias("severity"), "score").alias("risk"), F.struct(F.col("n").alias("findings")).alias("summary"))
+    folder = f"{work_dir(spark)}/reports-{uuid.uuid4().hex}"
+    write_reports(report_lines(summary, found), folder, "sarif")
+    lines = spark.read.text(f"{folder}/*.sarif").select(F.regexp_extract(F.input_file_name(), r"([^/]*)[.]sarif$", 1).alias("repo_id"), F.regexp_replace("value", r"(,|\\], \"properties\".*)$", "").alias("line"))
+    schema = "ruleId string, ruleIndex long, level string, properties struct<riskScore: long>, locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: long>>>>"
+    results = lines.filter(F.col("line").startswith('{"ruleId"')).select("repo_id", F.from_json("line", schema).alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    rows = results.select("repo_id", F.col("r.ruleId").alias("rule_id"), F.col("r.ruleIndex").alias("rule_index"), F.col("r.level").alias("level"), F.col("r.properties.riskScore").alias("score"), place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start_line"))
+    order = found.select("repo_id", F.col("id").alias("rule_id"), F.col("line").alias("start_line"), "severity_rank", "file", "emit_seq")
+    placed = places(order, ["repo_id"], [F.desc("severity_rank"), "file", "rule_id", "emit_seq"], "place").select("repo_id", "rule_id", "start_line", "place")
+    return rows.join(placed, ["repo_id", "rule_id", "start_line"])
+
+
+RISK_GAP = timedelta(hours=24)
+
+
+@query(
+    """
+WITH e AS (
+  SELECT CAST(user_id AS VARCHAR) AS key, ts, CASE event_type WHEN 'error' THEN CASE WHEN value > 50 THEN 4 ELSE 3 END WHEN 'signup' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS rank, CAST(least(floor(value), 100) AS BIGINT) AS score FROM events),
+n AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY key ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) > INTERVAL 24 HOUR THEN 1 ELSE 0 END AS new FROM e))
+SELECT key, min(ts) AS opened, max(ts) AS last_event, count(*) AS events, CAST(count(*) FILTER (rank >= 3) AS BIGINT) AS severe, ['informational', 'low', 'medium', 'high', 'critical'][max(rank) + 1] AS severity, max(score) AS score FROM n GROUP BY key, s"""
+)
+def running_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk sessions of users over the events as a stream."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    kind = F.col("event_type")
+    rank = F.when(kind == "error", F.when(F.col("value") > 50, 4).otherwise(3)).when(kind == "signup", 2).when(kind == "purchase", 1).otherwise(0)
+    score = F.least(F.floor("value"), F.lit(100)).cast("int")
+    folder = f"{work_dir(spark)}/risk-{uuid.uuid4().hex}"
+    risk_stream(stream.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), rank.alias("rank"), score.alias("score")), f"{folder}/out", f"{folder}/state", RISK_GAP).awaitTermination()
+    return latest_sessions(spark, f"{folder}/out").select("key", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("opened", "last_event")], "events", "severe", "severity", F.col("score").cast("long").alias("score"))

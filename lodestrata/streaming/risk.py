@@ -26,7 +26,10 @@ from ..schemas import SEVERITIES
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Built here and not read by Spark, as workers have no session.
-STATE = T.StructType([T.StructField(n, T.TimestampType()) for n in ("opened", "first", "last")] + [T.StructField(n, T.LongType()) for n in ("events", "severe", "rank", "score")])
+STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("opened", "first", "last", "events", "severe", "rank", "score")])
+#: Times inside the processor are microseconds since 1970, so that no time zone of a worker matters.
+TIMES = ("opened", "first_event", "last_event")
+RAW = "key string, opened long, first_event long, last_event long, events long, severe long, severity string, score int, closed boolean"
 SESSIONS = "key string, opened timestamp, first_event timestamp, last_event timestamp, events long, severe long, severity string, score int, closed boolean"
 #: Events of at least this rank count as severe.
 SEVERE = SEVERITIES.index("high")
@@ -34,7 +37,7 @@ SEVERE = SEVERITIES.index("high")
 
 class RiskSessions(StatefulProcessor):
     def __init__(self, gap: timedelta) -> None:
-        self.gap = gap
+        self.gap = gap // timedelta(microseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -48,11 +51,10 @@ class RiskSessions(StatefulProcessor):
         return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SESSIONS.split(", ")])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("ts")  # what one batch has for one key
+        events = pd.concat(list(rows)).sort_values("at")  # what one batch has for one key
         now = list(self.session.get()) if self.session.exists() else None
         out = []
-        for ts, rank, score in zip(events["ts"], events["rank"].tolist(), events["score"].tolist(), strict=True):
-            ts = ts.to_pydatetime()
+        for ts, rank, score in zip(events["at"].tolist(), events["rank"].tolist(), events["score"].tolist(), strict=True):
             if now is not None and ts > now[2] + self.gap:
                 out.append(self._row(key, now, True))
                 now = None
@@ -63,7 +65,7 @@ class RiskSessions(StatefulProcessor):
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         self.session.update(tuple(now))
-        self.handle.registerTimer(int((now[2] + self.gap).timestamp() * 1000) + 1)
+        self.handle.registerTimer((now[2] + self.gap) // 1000 + 1)
         yield self._frame([*out, self._row(key, now, False)])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -84,11 +86,12 @@ def risk_stream(events: DataFrame, output: str, checkpoint: str, gap: timedelta,
     spark = events.sparkSession
     if "RocksDB" not in spark.conf.get(STATE_PROVIDER, ""):
         spark.conf.set(STATE_PROVIDER, ROCKS_DB)  # the only one that keeps several states of a key
-    keyed = events.select("key", "ts", "rank", "score").withWatermark("ts", delay).groupBy("key")
-    sessions = keyed.transformWithStateInPandas(RiskSessions(gap), outputStructType=SESSIONS, outputMode="Update", timeMode="EventTime")
+    keyed = events.select("key", "ts", F.unix_micros("ts").alias("at"), "rank", "score").withWatermark("ts", delay).groupBy("key")
+    sessions = keyed.transformWithStateInPandas(RiskSessions(gap), outputStructType=RAW, outputMode="Update", timeMode="EventTime")
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        timed = batch.withColumns({c: F.timestamp_micros(c) for c in TIMES})
+        timed.write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return sessions.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
