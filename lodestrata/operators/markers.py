@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import Marker, marker_hits
+from .automaton import Marker
 from .files import EXECUTABLE_MARKERS
 from .languages import INDICATORS
 from .signatures import SIGNATURES

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}  # application: folder of this process, for local sessions without a shared folder
+_tables: dict[str, str] = {}  # path: name of the catalog's table over it
 _noted: list[list[str]] = []  # of each open noting(), innermost last
 
 
@@ -45,7 +46,7 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 def durable_by(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     """As durable, dealt by key into n buckets, which a later join or group by key reads as they are, without a shuffle.
 
-    Spark knows of buckets by name only, so this is an external table of the session's catalog.
+    Spark knows of buckets by name only, so this is an external table of the session's catalog, until it is removed.
     """
     name = f"{label}-{uuid.uuid4().hex}"
     path = f"{work_dir(df.sparkSession)}/{name}"
@@ -53,6 +54,7 @@ def durable_by(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
         paths.append(path)
     table = f"lodestrata_{name.replace('-', '_')}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+    _tables[path] = table
     return df.sparkSession.table(table)
 
 
@@ -68,6 +70,8 @@ def noting() -> Iterator[list[str]]:
 
 def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
+        for table in [p for p in _tables if p == path or p.startswith(f"{path}/")]:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(table)}")
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 

@@ -13,21 +13,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..api import register_functions, with_raw_signals
-from ..js.analyse import analyse_file
-from ..js.extract import extract_scripts
-from ..js.names import capability, indirect_target, is_persistence_command, is_persistence_path, is_sensitive_path
-from ..js.tables import analyse_sources
-from ..limits import DEFAULT
-from ..operators.commands import Commands, file_roots
-from ..report.render import RENDERERS, exit_code, report_of
-from ..rules import rules_df
-from ..sources.walk import walk_repositories
-from ..storage import work_dir
+from lodestrata.api import with_raw_signals
+from lodestrata.js.analyse import analyse_file
+from lodestrata.js.extract import extract_scripts
+from lodestrata.js.names import capability, indirect_target, is_persistence_command, is_persistence_path, is_sensitive_path
+from lodestrata.js.tables import analyse_sources
+from lodestrata.limits import DEFAULT
+from lodestrata.operators.commands import Commands, file_roots
+from lodestrata.report.render import RENDERERS, exit_code, report_of
+from lodestrata.rules import rules_df
+from lodestrata.sources.walk import walk_repositories
+from lodestrata.storage import work_dir
 from . import cases as C
 from . import corpora
-from .history import compare_commits, diff_text, scan_history
-from .scan import ScanResult, scan_repositories
+from lodestrata.plans.history import compare_commits, diff_text, scan_history
+from lodestrata.plans.scan import ScanResult, scan_repositories
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -387,11 +387,3 @@ def git_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, _ = _history(spark)
     found, _ = scan_history(spark, paths)
     return found.select("file", "id", "title", F.element_at("evidence", -1).alias("commit"))
-
-
-@query
-def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The functions for SQL, over all documents."""
-    register_functions(spark)
-    corpora.table(spark, sf_dir, "documents").createOrReplaceTempView("lodestrata_documents")
-    return spark.sql("SELECT doc_id, round(byte_entropy(encode(text, 'UTF-8')), 6) AS entropy, cast(longest_run(text, '[0-9A-Fa-f]+') AS bigint) AS hex_run, cast(line_count(text) AS bigint) AS lines FROM lodestrata_documents")
