@@ -25,7 +25,6 @@ moves; a language may have all rows.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
