@@ -37,5 +37,8 @@ def comparable(rows, columns):
 @pytest.mark.parametrize("name", sorted(inline.QUERIES))
 def test_inline_queries_match_their_sql(spark, name):
     found = inline.QUERIES[name](spark, "")
+    if name not in inline_sql.ORACLE_SQL:  # routes and whole scans are written out
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, EXPECTED[name][1]))
+        return
     told = duckdb.connect().execute(inline_sql.ORACLE_SQL[name])
     assert comparable([tuple(r) for r in found.collect()], found.columns) == comparable(told.fetchall(), [c[0] for c in told.description])

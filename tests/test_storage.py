@@ -46,3 +46,13 @@ def test_buckets_are_joined_where_they_lie(spark):
     assert joined.count() == 50
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_catalog_entries_go_with_their_files(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    with storage.noting() as paths:
+        storage.durable_by(spark.range(10), "listed", "id", 2)
+        storage.durable_by(spark.range(10), "listed", "id", 2)
+    assert len({t.name for t in spark.catalog.listTables()} - before) == 2
+    storage.remove(spark, *paths)
+    assert {t.name for t in spark.catalog.listTables()} == before
