@@ -234,7 +234,7 @@ class RecompressionStrategy:
     def n_windows(self, text: bytes) -> int:
         return text.count(b" ") + 2 - self.window
 
-    def earlier(self, texts: list[bytes], first: np.ndarray, later: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def earlier(self, texts: list[bytes], first: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows by their words; texts come in ascending order of their first owners, so the owner that a window was met with first is its smallest one."""
         joined = b" ".join(texts)
         gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
@@ -246,8 +246,7 @@ class RecompressionStrategy:
         met: dict[bytes, int] = {}
         owners = np.repeat(first, counts)
         least = np.array([met.setdefault(joined[a:b], own) for a, b, own in zip(starts[at].tolist(), ends[at + self.window - 1].tolist(), owners.tolist(), strict=True)], np.int64)
-        gone = (least < owners, least < np.repeat(later, counts))
-        return [(np.flatnonzero(x), np.flatnonzero(y)) for x, y in zip(*(np.split(g, before[1:]) for g in gone), strict=True)]
+        return counts, least < owners, least < np.repeat(later, counts)
 
     def finer(self) -> WindowStrategy | None:
         return WindowStrategy(self.window)

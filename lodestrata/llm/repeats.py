@@ -102,8 +102,8 @@ class Strategy(Protocol):
 
     def units(self, texts: list[bytes]) -> Units: ...
 
-    def earlier(self, texts: list[bytes], first: np.ndarray, later: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each of the distinct texts, in ascending order of first: the numbers of its windows that start in a text with an owner smaller than its first one, and than its later one (NO_ID and more: none)."""
+    def earlier(self, texts: list[bytes], first: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct texts in ascending order of first: their numbers of windows, and for all windows, one text's after another, whether each starts in a text with an owner smaller than its text's first one, and than its later one (NO_ID: none)."""
 
     def finer(self) -> Strategy | None:
         """The same windows with names that fewer of them share; None where a name is a whole window's."""
@@ -416,10 +416,15 @@ def _open_verdicts(blob: bytes) -> np.ndarray:
     return np.frombuffer(_open(blob), "<i8").reshape(3, -1)
 
 
-def _spans(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each stretch of consecutive ascending numbers."""
-    cut = np.flatnonzero(np.diff(windows) != 1)
-    return windows[np.concatenate([[0], cut + 1])], windows[np.concatenate([cut, [len(windows) - 1]])]
+def _spans(mask: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, last) of each stretch of windows in mask, which holds counts windows of each text."""
+    at = np.flatnonzero(mask)
+    text = np.repeat(np.arange(len(counts)), counts)[at]
+    window = at - (np.cumsum(counts) - counts)[text]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
+    start = np.flatnonzero(new)
+    return text[start], window[start], window[np.append(start[1:], len(at)) - 1] if len(at) else window
 
 
 def _judge(strategy: Strategy, ids: np.ndarray, text: np.ndarray, texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -435,13 +440,12 @@ def _judge(strategy: Strategy, ids: np.ndarray, text: np.ndarray, texts: list[by
     more = start + n_first < end
     later = np.where(more, own[np.minimum(start + n_first, len(own) - 1)], NO_ID) if len(of) else start
     by_id = np.argsort(own[start], kind="stable")
-    found = strategy.earlier([distinct_texts[k] for k in by_id.tolist()], own[start][by_id], later[by_id])
-    for k, windows in zip(by_id.tolist(), found, strict=True):
-        cut = start[k] + n_first[k]
-        for earlier, member in zip(windows, (order[start[k] : cut], order[cut : end[k]]), strict=True):
-            if len(earlier) and len(member):
-                lo, hi = _spans(earlier)
-                yield np.stack([np.repeat(member, len(lo)), np.tile(lo, len(member)), np.tile(hi, len(member))])
+    counts, *gone = strategy.earlier([distinct_texts[k] for k in by_id.tolist()], own[start][by_id], later[by_id])
+    owners = (start, n_first), (start + n_first, end - start - n_first)
+    for mask, (begin, size) in zip(gone, owners, strict=True):
+        text_of, lo, hi = _spans(mask, counts)
+        n = size[by_id[text_of]]
+        yield np.stack([order[_spread(begin[by_id[text_of]], n)], np.repeat(lo, n), np.repeat(hi, n)])
 
 
 def _judge_part(strategy: Strategy, judged_bytes: int):
@@ -465,8 +469,8 @@ def _judge_part(strategy: Strategy, judged_bytes: int):
             ids, doc, first = (np.concatenate([getattr(x, c) for x in picks]) for c in ("ids", "doc", "first"))
             source = np.repeat(np.arange(len(sent)), [len(x.ids) for x in picks])
             text = np.repeat(np.arange(sum(len(x.rows) for x in picks)), np.concatenate([x.rows for x in picks]))
-            if verdicts := list(_judge(strategy, ids, text, [t for x in picks for t in x.texts()])):
-                i, lo, hi = np.concatenate(verdicts, axis=1)
+            i, lo, hi = np.concatenate(list(_judge(strategy, ids, text, [t for x in picks for t in x.texts()])), axis=1)
+            if len(i):
                 made.append(np.stack([source[i], doc[i], first[i] + lo, first[i] + hi]))
         if made:
             source, *columns = np.concatenate(made, axis=1)

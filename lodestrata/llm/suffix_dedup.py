@@ -169,7 +169,7 @@ class SuffixArrayStrategy:
     def units(self, texts: list[bytes]) -> ByteUnits:
         return ByteUnits(texts, self.window, self.gram)
 
-    def earlier(self, texts: list[bytes], first: np.ndarray, later: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def earlier(self, texts: list[bytes], first: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A suffix stands once for all owners of its text, under the first of them. For a later one, that place is an earlier match itself, and as long as it can be."""
         joined = np.frombuffer(b"".join(texts), np.uint8)
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -180,7 +180,7 @@ class SuffixArrayStrategy:
         owners = np.cumsum(np.concatenate([[0], np.diff(first) != 0]))  # ranks, so that rows with equal ids are one owner
         found = longest_previous_factors(joined, np.repeat(owners, counts), at, self.window)
         for_later = np.where(np.repeat(first < later, counts), self.window, found)
-        return [(np.flatnonzero(x), np.flatnonzero(y)) for x, y in zip(*(np.split(f >= self.window, before[1:]) for f in (found, for_later)), strict=True)]
+        return counts, found >= self.window, for_later >= self.window
 
     def finer(self) -> SuffixArrayStrategy | None:
         """Grams twice as long, then whole windows."""
