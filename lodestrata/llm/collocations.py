@@ -15,7 +15,7 @@
    longest of its state always follows the same word: the suffix links, which
    give each state's shortest string, tell that; a state with one transition to
    a state of its own count is always followed by the same word.
-4. Counts are summed over all blocks. A phrase lies inside a longer one with
+4. Parts of the phrases sum the counts of all blocks. A phrase lies inside a longer one with
    its own count exactly if all blocks name the same word before it, or after.
 5. Frequent parts give scores, and each language's best phrases are ranked.
 
@@ -317,29 +317,63 @@ def _runs(block: _Block) -> Counter:
     return Counter(tuple(block.ids[a : b + 2].tolist()) for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True))
 
 
-def _list_phrases(least: int, most: int):
+_PHRASES = "part int, lang string, phrases binary, counts binary"
+
+
+def _list_phrases(least: int, most: int, parts: int):
+    """The block's phrases with their counts and the words that always stand before and after them, packed for each part."""
+
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64()), ("before", pa.string()), ("after", pa.string())])
+        schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())])
         if not blocks.num_rows:
             return schema.empty_table()
         block = _Block(blocks, replies)
-        words = [w.decode() for w in block.words]
-        words[0] = None
-        columns: list[list] = [[], [], [], []]
-        automaton = Automaton()
+        words, automaton = block.words, Automaton()
+        lines: list[bytes] = []
+        counts: list[int] = []
+        part: list[int] = []
+        seed = xxhash.xxh64_intdigest(block.lang)
 
-        def send() -> None:
+        def take() -> None:
             for phrase, count, before, after in automaton.substrings(least, most):
-                for column, value in zip(columns, (" ".join([words[w] for w in phrase]), count, words[before], words[after]), strict=True):
-                    column.append(value)
+                text = b" ".join([words[w] for w in phrase])
+                lines.append(b"\t".join((text, words[before], words[after])))
+                counts.append(count)
+                part.append(xxhash.xxh64_intdigest(text, seed) % parts)
 
         for sequence, weight in _runs(block).items():
             if automaton.words and len(automaton.words) + len(sequence) > AUTOMATON_WORDS:
-                send()
+                take()
                 automaton = Automaton()
             automaton.add(sequence, weight)
-        send()
-        return pa.Table.from_arrays([pa.array([block.lang] * len(columns[0]), pa.string()), *(pa.array(c, t) for c, t in zip(columns, schema.types[1:], strict=True))], schema=schema)
+        take()
+        order = np.argsort(np.array(part, np.int64), kind="stable")
+        numbers, starts = np.unique(np.array(part, np.int32)[order], return_index=True)
+        picks = np.split(order, starts[1:]) if len(order) else []
+        sent = [_shut(b"\n".join([lines[i] for i in p.tolist()])) for p in picks]
+        sums = [_shut(_planes(np.array(counts, np.int64)[p])) for p in picks]
+        return pa.Table.from_arrays([pa.array(numbers, pa.int32()), pa.array([block.lang] * len(picks), pa.string()), pa.array(sent, pa.binary()), pa.array(sums, pa.binary())], schema=schema)
+
+    return run
+
+
+def _sum_phrases(enough: int):
+    """The phrases of one part that are frequent, and whether every block names the same word before or after it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sums: dict[tuple[str, bytes], list] = {}
+        for lang, phrases, counts in zip(*(table.column(c).to_pylist() for c in ("lang", "phrases", "counts")), strict=True):
+            for line, n in zip(_open(phrases).split(b"\n"), _from_planes(_open(counts)).tolist(), strict=True):
+                text, before, after = line.split(b"\t")
+                found = sums.setdefault((lang, text), [0, before, after])
+                found[0] += n
+                if before != found[1]:
+                    found[1] = b""
+                if after != found[2]:
+                    found[2] = b""
+        kept = [(lang, text.decode(), n, bool(before or after)) for (lang, text), (n, before, after) in sums.items() if n >= enough]
+        columns = list(zip(*kept, strict=True)) or [(), (), (), ()]
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("lang", "phrase", "a", "inside"), columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)})
 
     return run
 
@@ -360,14 +394,9 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     told = of_block.cogroup(replies.groupBy("block"))
     counted = told.applyInArrow(_list_words(parts), _WORDS).groupBy("part")
     words = durable(counted.applyInArrow(_sum_words(min_count), "lang string, phrase string, a long"), "phrase-words")
-    schema = "lang string, phrase string, a long, before string, after string"
-    listed = told.applyInArrow(_list_phrases(MIN_WORDS, max_words), schema)
-
-    def always(c: str):
-        return (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
-
-    summed = listed.groupBy("lang", "phrase").agg(F.sum("a").alias("a"), F.coalesce(always("before") | always("after"), F.lit(False)).alias("inside"))
-    return sizes, words, durable(summed.filter(F.col("a") >= min_count), "phrase-phrases")
+    listed = told.applyInArrow(_list_phrases(MIN_WORDS, max_words, parts), _PHRASES).groupBy("part")
+    phrases = durable(listed.applyInArrow(_sum_phrases(min_count), "lang string, phrase string, a long, inside boolean"), "phrase-phrases")
+    return sizes, words, phrases
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP) -> DataFrame:
