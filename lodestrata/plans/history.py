@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..js.tables import analyse_sources
@@ -82,7 +82,7 @@ def scan_history(spark: SparkSession, paths: dict[str, str], profile: str = "def
     rows = result.findings.withColumn("title", F.concat(F.lit("Historical commit introduced: "), "title")).withColumn("message", told).withColumn("evidence", F.concat("evidence", F.array(F.concat(F.lit("commit: "), "commit"))))
     ordered = G.numbered(rows, ["commit_no", "place", "key"])
     # The cap ends a commit, not the walk: once it is reached, each later commit still adds its first finding.
-    first = G.Window.partitionBy("repo_id", "commit_no").orderBy("emit_seq")
+    first = Window.partitionBy("repo_id", "commit_no").orderBy("emit_seq")
     shown = ordered.withColumn("n", F.row_number().over(first)).filter((F.col("emit_seq") <= limits.git_history_findings) | (F.col("n") == 1)).drop("n")
     _, over = cap_per_repo(ordered.withColumn("emit_seq", F.col("emit_seq") + 1), limits.git_history_findings)
     reasons = result.coverage.unionByName(over.select("repo_id", F.lit(f"Git history finding limit of {limits.git_history_findings} reached").alias("reason"))).distinct()
