@@ -121,3 +121,15 @@ def test_reachability_ties_and_limits(spark):
     assert {r.id for r in reached.collect()} == set("abcd") and limited.count() == 1
     signals = spark.createDataFrame([(["x", "_0x-style identifiers: 9", "unicode escape sequences: 40", "long timer delay", "high-entropy text: 6.00 bits per byte"],)], "s array<string>")
     assert signals.select(first_obfuscations(F.col("s"))).first()[0] == ["_0x-style identifiers: 9", "long timer delay"]
+
+
+def test_levels_move_neither_edges_nor_routes(spark):
+    modules = spark.createDataFrame([("r", i, n, n) for i, n in enumerate("abcd")], "repo_id string, seq long, id string, path string")
+    # The edge from a to c is there twice; d is reached from b, too, which is later in the queue than c.
+    edges = spark.createDataFrame([("r", s, d, n, n, ord(d)) for n, (s, d) in enumerate(["ac", "ab", "ac", "bd", "cd"])], "repo_id string, src string, dst string, line long, seq long, dst_seq long")
+    roots = spark.createDataFrame([("r", 0, "a", "start", None)], "repo_id string, seq long, file string, trigger string, line long")
+    reached, _ = reachable_modules(roots, edges, modules)
+    assert sorted((r.id, r.depth, r.route[-1]) for r in reached.collect()) == [("a", 0, "entry: a"), ("b", 1, "a:1 imports b"), ("c", 1, "a:0 imports c"), ("d", 2, "c:4 imports d")]
+    _, limited = reachable_modules(roots, edges, modules, max_route=3)
+    plan = limited._jdf.queryExecution().executedPlan().toString()
+    assert limited.count() == 1 and "Bucketed: true" in plan and "route" not in plan
