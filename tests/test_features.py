@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,13 @@ def test_levels_move_neither_edges_nor_routes(spark):
     _, limited = reachable_modules(roots, edges, modules, max_route=3)
     plan = limited._jdf.queryExecution().executedPlan().toString()
     assert limited.count() == 1 and "Bucketed: true" in plan and "route" not in plan
+
+
+def test_entropy_reads_contents_where_they_lie():
+    large = bytes(range(256)) * (1 << 15) + b"x"
+    batch = pa.array([b"skipped", None, b"", b"aab", large], pa.binary()).slice(1)
+    tracemalloc.start()
+    got = byte_entropy.func(batch).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:2] == [None, 0.0] and got[2] == pytest.approx(0.9182958) and got[3] == pytest.approx(8.0) and peak < len(large) / 4
