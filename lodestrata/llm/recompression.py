@@ -31,8 +31,8 @@ from .rolling import PIECE, SliceHash, long_slice, mix
 
 WINDOW_WORDS = 13
 LEVELS = 2
-#: Words that are compressed at once; windows across pieces belong to the later one.
-PIECE_WORDS = PIECE // 4
+#: Words that are compressed at once: some 30 arrays of so many numbers are held. Windows across pieces belong to the later one.
+PIECE_WORDS = PIECE // 16
 _RUN, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
